@@ -73,3 +73,36 @@ def remove_stopwords(df: DataFrame, stopwords: DataFrame, col: str = "token") ->
 def voice(df: DataFrame, sentence_col: str = "sentence") -> DataFrame:
     """``is_active`` unless the sentence matches the passive surface pattern."""
     return df.withColumn("is_active", ~FT.passive_voice(F.col(sentence_col)))
+
+
+# Capitalised word runs ("Rio Tinto", "Canada") stand in for named entities (T9, re-aimed).
+ENTITY_RE = r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"
+
+
+def candidate_terms(paras: DataFrame, keys: Sequence[str], text_col: str = "paragraph",
+                    stopwords: Sequence[str] = C.STOPWORDS, lemmas: DataFrame | None = None) -> DataFrame:
+    """Candidate terms per paragraph as a long table ``(keys..., kind, term)``.
+
+    * ``key``: content tokens (lemmatised, stopwords removed);
+    * ``ent``: capitalised word runs, lower-cased;
+    * ``nck``: bigrams of adjacent tokens where neither is a stopword.
+    All three are array expressions over the paragraph (no Python); the fixed stopword list is
+    an ``isin`` literal list, which the optimizer turns into a hash ``InSet``.
+    """
+    tk = FT.raw_tokens(F.col(text_col))
+    sw = list(stopwords)
+    n = F.size(tk)
+    left = F.slice(tk, 1, F.greatest(n - 1, F.lit(0)))
+    right = F.slice(tk, 2, F.greatest(n - 1, F.lit(0)))
+    pairs = F.zip_with(left, right, lambda a, b: F.when(~a.isin(*sw) & ~b.isin(*sw),
+                                                          F.concat(a, F.lit(" "), b)))
+    base = paras.select(*keys, tk.alias("_tk"), F.filter(pairs, lambda x: x.isNotNull()).alias("_bi"),
+                        F.regexp_extract_all(F.col(text_col), F.lit(ENTITY_RE), 0).alias("_ent"))
+    key = base.select(*keys, F.lit("key").alias("kind"), F.explode("_tk").alias("term"))
+    if lemmas is not None:
+        key = lemmatize(key, lemmas, col="term")
+    key = key.where(~F.col("term").isin(*sw))
+    ent = base.select(*keys, F.lit("ent").alias("kind"), F.explode("_ent").alias("term"))
+    ent = ent.withColumn("term", F.lower("term"))
+    nck = base.select(*keys, F.lit("nck").alias("kind"), F.explode("_bi").alias("term"))
+    return key.unionByName(ent).unionByName(nck)
