@@ -89,15 +89,17 @@ def candidate_terms(paras: DataFrame, keys: Sequence[str], text_col: str = "para
     All three are array expressions over the paragraph (no Python); the fixed stopword list is
     an ``isin`` literal list, which the optimizer turns into a hash ``InSet``.
     """
-    tk = FT.raw_tokens(F.col(text_col))
     sw = list(stopwords)
-    n = F.size(tk)
-    left = F.slice(tk, 1, F.greatest(n - 1, F.lit(0)))
-    right = F.slice(tk, 2, F.greatest(n - 1, F.lit(0)))
-    pairs = F.zip_with(left, right, lambda a, b: F.when(~a.isin(*sw) & ~b.isin(*sw),
-                                                          F.concat(a, F.lit(" "), b)))
-    base = paras.select(*keys, tk.alias("_tk"), F.filter(pairs, lambda x: x.isNotNull()).alias("_bi"),
+    # tokens once per paragraph; later expressions reference the column instead of re-running the regex
+    toks = paras.select(*keys, FT.raw_tokens(F.col(text_col)).alias("_tk"),
                         F.regexp_extract_all(F.col(text_col), F.lit(ENTITY_RE), 0).alias("_ent"))
+    masked = F.transform("_tk", lambda x: F.when(~x.isin(*sw), x))
+    toks = toks.withColumn("_m", masked)
+    n = F.size("_m")
+    left = F.slice("_m", 1, F.greatest(n - 1, F.lit(0)))
+    right = F.slice("_m", 2, F.greatest(n - 1, F.lit(0)))
+    pairs = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
+    base = toks.select(*keys, "_tk", "_ent", F.filter(pairs, lambda x: x.isNotNull()).alias("_bi"))
     key = base.select(*keys, F.lit("key").alias("kind"), F.explode("_tk").alias("term"))
     if lemmas is not None:
         key = lemmatize(key, lemmas, col="term")
