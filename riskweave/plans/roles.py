@@ -96,7 +96,7 @@ def doc_tokens(t: Tables, spark: SparkSession) -> DataFrame:
 
 
 def topic_lexicon(t: Tables, spark: SparkSession) -> DataFrame:
-    """Lexicon role: ``topic_num, keyword, drop, topic_name``.
+    """Lexicon role: ``topic_num, keyword, drop, cosine_score, topic_name``.
 
     Top tokens per source ``src0..src8`` by count desc, token asc. The window keeps
     ``row_number() <= k``, which Catalyst turns into a partial top-k before the shuffle.
@@ -107,10 +107,12 @@ def topic_lexicon(t: Tables, spark: SparkSession) -> DataFrame:
     w = Window.partitionBy("source").orderBy(F.desc("count"), F.asc("token"))
     top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= LEXICON_TOP)
     topic_num = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    # score: count relative to the topic's most frequent keyword (window over <= 20 rows per topic)
+    score = F.round(F.col("count") / F.max("count").over(Window.partitionBy("source")), 4)
     return top.select(
         topic_num.alias("topic_num"), F.col("token").alias("keyword"),
         F.when(F.length("token") % 5 == 0, F.lit(1)).cast("int").alias("drop"),
-        F.col("source").alias("topic_name"))
+        score.alias("cosine_score"), F.col("source").alias("topic_name"))
 
 
 def word_vectors(tokens: DataFrame, embeddings: DataFrame, slots: int = VECTOR_SLOTS) -> DataFrame:

@@ -74,7 +74,8 @@ CTE = {
     "lex_counts": (f"SELECT source, token, count(*) AS cnt FROM doc_tokens WHERE source IN "
                    f"({', '.join(lit(s) for s in R.LEXICON_SOURCES)}) AND length(token) >= {R.LEXICON_MIN_LEN} GROUP BY 1, 2"),
     "lexicon": ("SELECT CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS topic_num, token AS keyword, "
-                "CASE WHEN length(token) % 5 = 0 THEN 1 END AS \"drop\", source AS topic_name FROM ("
+                "CASE WHEN length(token) % 5 = 0 THEN 1 END AS \"drop\", round(cnt / max(cnt) OVER (PARTITION BY source), 4) AS cosine_score, "
+                "source AS topic_name FROM ("
                 "SELECT *, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, token ASC) AS rn FROM lex_counts) "
                 f"WHERE rn <= {R.LEXICON_TOP}"),
     "lex_trim": "SELECT * FROM lexicon WHERE \"drop\" IS DISTINCT FROM 1",
