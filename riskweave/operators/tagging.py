@@ -21,6 +21,9 @@ from riskweave import constants as C
 # Topic-side vectors shipped to tasks. A bank is topics × words-per-bag, bounded by definition;
 # a larger one is refused (never streamed through the driver).
 MAX_BANK_ROWS = 100_000
+# Similarities are rounded to this many decimals so that ties and thresholds do not depend on
+# BLAS summation order (which varies with batch shape).
+SIM_DECIMALS = 10
 
 
 class BankTooLarge(ValueError):
@@ -62,7 +65,7 @@ def maxsim_table(word_vectors: DataFrame, bank_topics: np.ndarray, bank: np.ndar
         for pdf in batches:
             if pdf.empty:
                 continue
-            sims = _unit_rows(pdf[vec_col]) @ bank.T
+            sims = np.round(_unit_rows(pdf[vec_col]) @ bank.T, SIM_DECIMALS)
             outs = []
             for t, idx in groups:
                 best = sims[:, idx].max(axis=1)
@@ -95,7 +98,7 @@ def cosine_to_bank(df: DataFrame, keys: Sequence[str], vec_col: str, bank_topics
                                   for lst in pdf[vec_col]])
             else:
                 vecs = pdf[vec_col]
-            sims = _unit_rows(vecs) @ bank.T
+            sims = np.round(_unit_rows(vecs) @ bank.T, SIM_DECIMALS)
             rep = {k: np.repeat(pdf[k].values, n_bank) for k in keys}
             rep["topic"] = np.tile(bank_topics, len(pdf))
             rep["sim"] = sims.reshape(-1)
@@ -137,7 +140,8 @@ def tfidf_sentence_cosine(sent_tokens: DataFrame, weights: DataFrame, idf: DataF
     norm = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (tf.join(F.broadcast(weights), "term")
             .groupBy(*keys, "topic").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
-    return dots.join(norm, list(keys)).select(*keys, "topic", (F.col("dot") / F.col("norm")).alias("sim"))
+    sim = F.round(F.col("dot") / F.col("norm"), SIM_DECIMALS)
+    return dots.join(norm, list(keys)).select(*keys, "topic", sim.alias("sim"))
 
 
 def argmax_topic(scores: DataFrame, keys: Sequence[str], score_col: str = "sim") -> DataFrame:

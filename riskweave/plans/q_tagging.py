@@ -76,8 +76,8 @@ _VEC = """,
 wv AS (SELECT token, vector::DOUBLE[] AS v, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS n FROM word_vectors),
 bv AS (SELECT topic, vector::DOUBLE[] AS v, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS n FROM bag_vectors)"""
 _MAXSIM = S.with_ctes(["sent_tokens", "word_vectors", "bag_vectors", "sentences"]).rstrip() + _VEC + f""",
-tt AS (SELECT wv.token, bv.topic, max(list_dot_product(wv.v, bv.v) / (wv.n * bv.n)) AS maxsim FROM wv, bv
-       GROUP BY wv.token, bv.topic HAVING max(list_dot_product(wv.v, bv.v) / (wv.n * bv.n)) > {MAXSIM_MATCH}),
+tt AS (SELECT wv.token, bv.topic, max(round(list_dot_product(wv.v, bv.v) / (wv.n * bv.n), 10)) AS maxsim FROM wv, bv
+       GROUP BY wv.token, bv.topic HAVING max(round(list_dot_product(wv.v, bv.v) / (wv.n * bv.n), 10)) > {MAXSIM_MATCH}),
 sc AS (SELECT t.doc_id, t.sent_pos, tt.topic, sum(tt.maxsim) AS score FROM sent_tokens t JOIN tt USING (token) GROUP BY 1, 2, 3)
 """
 _TFIDF = S.with_ctes(["sent_tokens", "lex_trim", "sentences"]).rstrip() + """,
@@ -87,7 +87,7 @@ raw AS (SELECT topic, term, idf AS r FROM tf_b JOIN idf USING (term)),
 wts AS (SELECT topic, term, r / sqrt(sum(r * r) OVER (PARTITION BY topic)) AS weight FROM raw),
 stf AS (SELECT doc_id, sent_pos, term, count(*) * any_value(idf) AS w FROM (SELECT doc_id, sent_pos, token AS term FROM sent_tokens) JOIN idf USING (term) GROUP BY doc_id, sent_pos, term),
 snorm AS (SELECT doc_id, sent_pos, sqrt(sum(w * w)) AS norm FROM stf GROUP BY 1, 2),
-sims AS (SELECT s.doc_id, s.sent_pos, x.topic, sum(s.w * x.weight) / any_value(n.norm) AS sim
+sims AS (SELECT s.doc_id, s.sent_pos, x.topic, round(sum(s.w * x.weight) / any_value(n.norm), 10) AS sim
          FROM stf s JOIN wts x USING (term) JOIN snorm n USING (doc_id, sent_pos) GROUP BY s.doc_id, s.sent_pos, x.topic)
 """
 _DENSE = S.with_ctes(["sent_tokens", "word_vectors", "bag_vectors", "sentences"]).rstrip() + """,
@@ -98,7 +98,7 @@ bu AS (SELECT topic, unnest(vector::DOUBLE[]) / sqrt(list_dot_product(vector::DO
 ce AS (SELECT topic, i, avg(x) AS x FROM bu GROUP BY 1, 2),
 cn AS (SELECT topic, sqrt(sum(x * x)) AS n FROM ce GROUP BY 1),
 sn AS (SELECT doc_id, sent_pos, sqrt(sum(x * x)) AS n FROM sv GROUP BY 1, 2),
-sims AS (SELECT sv.doc_id, sv.sent_pos, ce.topic, sum(sv.x * ce.x) / (any_value(sn.n) * any_value(cn.n)) AS sim
+sims AS (SELECT sv.doc_id, sv.sent_pos, ce.topic, round(sum(sv.x * ce.x) / (any_value(sn.n) * any_value(cn.n)), 10) AS sim
          FROM sv JOIN ce USING (i) JOIN sn USING (doc_id, sent_pos) JOIN cn USING (topic) GROUP BY 1, 2, 3)
 """
 

@@ -27,6 +27,7 @@ BAG_SIZE = 5
 LEXICON_TOP = 20
 LEXICON_MIN_LEN = 4
 LEXICON_SOURCES = tuple(f"src{i}" for i in range(N_TOPICS))
+PILLAR_SOURCES = ("src10", "src11", "src12")
 # FIXED VALUES: MaxSim match threshold suited to this vector fixture (API default stays 0.9).
 FIXTURE_MATCH_THRESH = 0.25
 FIXTURE_MAXSIM_TAG_THRESH = 0.5
@@ -95,18 +96,18 @@ def doc_tokens(t: Tables, spark: SparkSession) -> DataFrame:
     return TX.tokens(d, ["doc_id", "source"], stopwords=stopwords_df(spark), lemmas=lemmas_df(spark))
 
 
-def topic_lexicon(t: Tables, spark: SparkSession) -> DataFrame:
+def topic_lexicon(t: Tables, spark: SparkSession, sources=LEXICON_SOURCES) -> DataFrame:
     """Lexicon role: ``topic_num, keyword, drop, cosine_score, topic_name``.
 
     Top tokens per source ``src0..src8`` by count desc, token asc. The window keeps
     ``row_number() <= k``, which Catalyst turns into a partial top-k before the shuffle.
     """
-    tok = doc_tokens(t, spark).where(F.col("source").isin(*LEXICON_SOURCES)
+    tok = doc_tokens(t, spark).where(F.col("source").isin(*sources)
                                      & (F.length("token") >= LEXICON_MIN_LEN))
     counts = tok.groupBy("source", "token").count()
     w = Window.partitionBy("source").orderBy(F.desc("count"), F.asc("token"))
     top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= LEXICON_TOP)
-    topic_num = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    topic_num = (F.array_position(F.array(*[F.lit(x) for x in sources]), F.col("source")) - 1).cast("int")
     # score: count relative to the topic's most frequent keyword (window over <= 20 rows per topic)
     score = F.round(F.col("count") / F.max("count").over(Window.partitionBy("source")), 4)
     return top.select(

@@ -45,6 +45,20 @@ def passive(col: str) -> str:
     return f"regexp_matches(lower({col}), {lit(FT.PASSIVE_RE)})"
 
 
+def lex_counts_sql(sources) -> str:
+    return (f"SELECT source, token, count(*) AS cnt FROM doc_tokens WHERE source IN "
+            f"({', '.join(lit(x) for x in sources)}) AND length(token) >= {R.LEXICON_MIN_LEN} GROUP BY 1, 2")
+
+
+def lexicon_sql(sources, counts_rel: str) -> str:
+    srcs = "[" + ", ".join(lit(x) for x in sources) + "]"
+    return (f"SELECT CAST(list_position({srcs}, source) - 1 AS INTEGER) AS topic_num, token AS keyword, "
+            "CASE WHEN length(token) % 5 = 0 THEN 1 END AS \"drop\", round(cnt / max(cnt) OVER (PARTITION BY source), 4) AS cosine_score, "
+            "source AS topic_name FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, token ASC) AS rn FROM {counts_rel}) "
+            f"WHERE rn <= {R.LEXICON_TOP}")
+
+
 STOPWORDS = values([(w,) for w in C.STOPWORDS], ["word"])
 LEMMAS = values(R.LEMMA_ROWS, ["word", "pos", "lemma"])
 
@@ -71,13 +85,8 @@ CTE = {
     "doc_tokens": ("SELECT r.doc_id, r.source, coalesce(l.lemma, r.token) AS token FROM doc_tok_raw r "
                    "LEFT JOIN lemmas l ON r.token = l.word "
                    "WHERE coalesce(l.lemma, r.token) NOT IN (SELECT word FROM stopwords)"),
-    "lex_counts": (f"SELECT source, token, count(*) AS cnt FROM doc_tokens WHERE source IN "
-                   f"({', '.join(lit(s) for s in R.LEXICON_SOURCES)}) AND length(token) >= {R.LEXICON_MIN_LEN} GROUP BY 1, 2"),
-    "lexicon": ("SELECT CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS topic_num, token AS keyword, "
-                "CASE WHEN length(token) % 5 = 0 THEN 1 END AS \"drop\", round(cnt / max(cnt) OVER (PARTITION BY source), 4) AS cosine_score, "
-                "source AS topic_name FROM ("
-                "SELECT *, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, token ASC) AS rn FROM lex_counts) "
-                f"WHERE rn <= {R.LEXICON_TOP}"),
+    "lex_counts": lex_counts_sql(R.LEXICON_SOURCES),
+    "lexicon": lexicon_sql(R.LEXICON_SOURCES, "lex_counts"),
     "lex_trim": "SELECT * FROM lexicon WHERE \"drop\" IS DISTINCT FROM 1",
     "hits": ("SELECT DISTINCT t.doc_id, t.sent_pos, x.topic_num AS topic FROM sent_tokens t "
              "JOIN (SELECT DISTINCT keyword, topic_num FROM lex_trim) x ON t.token = x.keyword"),
