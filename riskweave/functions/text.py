@@ -74,6 +74,17 @@ def raw_tokens(c: Column) -> Column:
     )
 
 
+def stopword_share(c: Column, stopwords=C.STOPWORDS) -> Column:
+    """Share of a text's tokens that are stopwords (0 when it has no tokens).
+
+    Used as a transparent noise score: boilerplate and junk lines are mostly function words.
+    """
+    tk = raw_tokens(c)
+    n = F.size(tk)
+    hits = F.size(F.filter(tk, lambda x: x.isin(*stopwords)))
+    return F.when(n > 0, hits / n).otherwise(F.lit(0.0))
+
+
 def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -29,7 +29,8 @@ def tag_by_keywords(sentences: DataFrame, keys: Sequence[str], lexicon: DataFram
                     text_col: str = "sentence", carry: Sequence[str] = ()) -> DataFrame:
     """Tag each sentence with every topic whose bag shares a token with it.
 
-    Returns ``keys + carry + topic_ids`` (sorted ids, ``[-1]`` when nothing matches). Tokens are
+    Returns ``keys + carry + topic_ids, n_tokens, n_hit_tokens`` (sorted ids, ``[-1]`` when
+    nothing matches; content-token and keyword-hit counts). Tokens are
     exploded with only the small key/flag columns (never the text), the bounded lexicon is
     broadcast, and one aggregation by sentence key collapses the rows (partial aggregation
     map-side keeps the shuffle at about one row per sentence).
@@ -43,9 +44,14 @@ def tag_by_keywords(sentences: DataFrame, keys: Sequence[str], lexicon: DataFram
         sw = stopwords.select(F.col("word").alias("_sw"), F.lit(True).alias("_is_sw"))
         x = x.join(F.broadcast(sw), F.col("token") == F.col("_sw"), "left")
         x = x.withColumn("token", F.when(F.col("_is_sw"), F.lit(None)).otherwise(F.col("token"))).drop("_sw", "_is_sw")
-    lex = lexicon.select(F.col("keyword").alias("token"), F.col("topic_num").alias("topic")).distinct()
+    # one row per keyword with its topic list (bounded, broadcast): a token row never fans out
+    lex = (lexicon.groupBy(F.col("keyword").alias("token"))
+           .agg(F.collect_set(F.col("topic_num")).alias("_topics")))
     x = x.join(F.broadcast(lex), "token", "left")
-    agg = x.groupBy(*cols).agg(F.array_sort(F.collect_set("topic")).alias("topic_ids"))
+    agg = x.groupBy(*cols).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_topics")))).alias("topic_ids"),
+        F.count("token").cast("long").alias("n_tokens"),
+        F.count("_topics").cast("long").alias("n_hit_tokens"))
     return agg.withColumn("topic_ids", F.when(F.size("topic_ids") > 0, F.col("topic_ids"))
                           .otherwise(F.array(F.lit(C.NULL_TOPIC))))
 

@@ -47,3 +47,18 @@ def firm_year_topic_distribution(tagged: DataFrame, topics: Sequence[int],
     aggs += [_count_if(acn).alias("total_action_sentence_count")]
     aggs += [_count_if(acn & has[t]).alias(f"topic_reduced_action_{t}") for t in topics]
     return tagged.groupBy(*keys).agg(*aggs)
+
+
+def binary_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """tp/fp/fn/tn in ONE aggregate, then accuracy, precision, recall, F1."""
+    t, p = F.col(truth), F.col(pred)
+    c = df.agg(_count_if((p == 1) & (t == 1)).alias("tp"), _count_if((p == 1) & (t == 0)).alias("fp"),
+               _count_if((p == 0) & (t == 1)).alias("fn"), _count_if((p == 0) & (t == 0)).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+
+    def ratio(num, den):
+        return F.round(F.when(den > 0, num / den).otherwise(F.lit(0.0)), 6)
+
+    return c.select("tp", "fp", "fn", "tn", ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+                    ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
+                    ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))

@@ -21,7 +21,7 @@ def tagged_filing_sentences(spark, sf_dir, with_text: bool = False):
     t = Tables(spark, sf_dir)
     sent = R.filing_sentences(t)
     lex = LX.trim(R.topic_lexicon(t, spark))
-    carry = ["symbol", "filing_time", "is_active", "is_action", "is_noise"]
+    carry = ["symbol", "filing_time", "is_active", "p_noise", "is_action", "is_noise"]
     tagged = LX.tag_by_keywords(sent, ["doc_id", "sent_pos"], lex, R.stopwords_df(spark),
                                 R.lemmas_df(spark), carry=carry)
     if with_text:

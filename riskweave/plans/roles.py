@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from riskweave import constants as C
 from riskweave.functions.misc import hex4_int
+from riskweave.functions.text import stopword_share
 from riskweave.operators import text as TX
 from riskweave.sources.tables import Tables
 
@@ -77,7 +78,8 @@ def doc_labels(t: Tables) -> DataFrame:
 def filing_sentences(t: Tables) -> DataFrame:
     """Normalised filing sentences with voice and (left-joined) label flags.
 
-    Columns: ``doc_id, sent_pos, symbol, filing_time, sentence, is_active, is_action, is_noise``.
+    Columns: ``doc_id, sent_pos, symbol, filing_time, sentence, is_active, p_noise, is_action,
+    is_noise``.
     Unlabelled documents keep their sentences with ``false`` flags.
     """
     f = TX.normalize(filings(t))
@@ -86,6 +88,7 @@ def filing_sentences(t: Tables) -> DataFrame:
     lab = doc_labels(t)
     s = s.join(lab, "doc_id", "left")
     return s.select("doc_id", "sent_pos", "symbol", "filing_time", "sentence", "is_active",
+                    F.round(stopword_share(F.col("sentence")), 6).alias("p_noise"),
                     F.coalesce("is_action", F.lit(False)).alias("is_action"),
                     F.coalesce("is_noise", F.lit(False)).alias("is_noise"))
 

@@ -41,6 +41,13 @@ def sentence_parts(col: str) -> str:
     return f"string_split(regexp_replace({col}, '([.!?])' || {lit(ws)} || '+', '\\1' || chr(1), 'g'), chr(1))"
 
 
+def stopword_share(col: str) -> str:
+    sw = "[" + ", ".join(lit(w) for w in C.STOPWORDS) + "]"
+    tk = raw_tokens(col)
+    return (f"CASE WHEN len({tk}) > 0 THEN len(list_filter({tk}, lambda x: list_contains({sw}, x))) / len({tk}) "
+            "ELSE 0.0 END")
+
+
 def passive(col: str) -> str:
     return f"regexp_matches(lower({col}), {lit(FT.PASSIVE_RE)})"
 
@@ -74,6 +81,7 @@ CTE = {
     "sent_all": ("SELECT doc_id, symbol, filing_time, unnest(parts) AS sentence, "
                  "generate_subscripts(parts, 1) - 1 AS sent_pos FROM sent_split"),
     "sentences": (f"SELECT s.doc_id, s.sent_pos, s.symbol, s.filing_time, s.sentence, NOT {passive('s.sentence')} AS is_active, "
+                  f"round({stopword_share('s.sentence')}, 6) AS p_noise, "
                   "coalesce(l.quality = 1, false) AS is_action, coalesce(l.toxic = 1, false) AS is_noise "
                   f"FROM sent_all s LEFT JOIN labels l USING (doc_id) WHERE {word_count('s.sentence')} >= {C.SENTENCE_MIN_TOKENS}"),
     "sent_tok_raw": f"SELECT doc_id, sent_pos, unnest({raw_tokens('sentence')}) AS token FROM sentences",
@@ -90,9 +98,12 @@ CTE = {
     "lex_trim": "SELECT * FROM lexicon WHERE \"drop\" IS DISTINCT FROM 1",
     "hits": ("SELECT DISTINCT t.doc_id, t.sent_pos, x.topic_num AS topic FROM sent_tokens t "
              "JOIN (SELECT DISTINCT keyword, topic_num FROM lex_trim) x ON t.token = x.keyword"),
-    "tagged": ("SELECT s.*, coalesce(h.topic_ids, [-1]) AS topic_ids FROM sentences s LEFT JOIN "
+    "tagged": ("SELECT s.*, coalesce(h.topic_ids, [-1]) AS topic_ids, coalesce(c.n_tokens, 0) AS n_tokens, "
+               "coalesce(c.n_hit_tokens, 0) AS n_hit_tokens FROM sentences s LEFT JOIN "
                "(SELECT doc_id, sent_pos, list_sort(list(topic)) AS topic_ids FROM hits GROUP BY 1, 2) h "
-               "USING (doc_id, sent_pos)"),
+               "USING (doc_id, sent_pos) LEFT JOIN (SELECT t.doc_id, t.sent_pos, count(*) AS n_tokens, "
+               "count(x.keyword) AS n_hit_tokens FROM sent_tokens t LEFT JOIN (SELECT DISTINCT keyword FROM lex_trim) x "
+               "ON t.token = x.keyword GROUP BY 1, 2) c USING (doc_id, sent_pos)"),
     "transcripts": ("SELECT conv_id AS transcript_id, turn AS component_order, role AS speaker_type, text "
                     "FROM conversations"),
     "vec_slots": (f"SELECT token, (('0x' || substr(md5(token), 1, 4))::INTEGER % {R.VECTOR_SLOTS}) AS vec_id "
@@ -109,7 +120,7 @@ DEPS = {
     "sent_tok_raw": ["sentences"], "sent_tokens": ["sent_tok_raw", "lemmas", "stopwords"],
     "doc_norm": [], "doc_tok_raw": ["doc_norm"], "doc_tokens": ["doc_tok_raw", "lemmas", "stopwords"],
     "lex_counts": ["doc_tokens"], "lexicon": ["lex_counts"], "lex_trim": ["lexicon"],
-    "hits": ["sent_tokens", "lex_trim"], "tagged": ["sentences", "hits"],
+    "hits": ["sent_tokens", "lex_trim"], "tagged": ["sentences", "hits", "sent_tokens", "lex_trim"],
     "stopwords": [], "lemmas": [], "transcripts": [],
     "vec_slots": ["sent_tokens"], "word_vectors": ["vec_slots"], "bag_vectors": [],
 }
