@@ -55,7 +55,11 @@ def lemmas_df(spark: SparkSession) -> DataFrame:
 
 def filings(t: Tables) -> DataFrame:
     """documents as filings: ``doc_id, symbol, filing_time ('yyyy-MM'), text``."""
-    d = t.documents
+    return as_filings(t.documents)
+
+
+def as_filings(d: DataFrame) -> DataFrame:
+    """Filing columns from any documents-shaped DataFrame (batch or micro-batch)."""
     year = (F.lit(FIRST_FILING_YEAR) + F.col("doc_id") % FILING_YEARS).cast("string")
     month = F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")
     return d.select("doc_id", F.col("source").alias("symbol"),
