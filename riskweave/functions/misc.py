@@ -34,3 +34,9 @@ def stable_bucket(key: Column, buckets: int, seed: int = 0) -> Column:
 def hex4_int(c: Column) -> Column:
     """First four hex digits of ``md5(c)`` as an integer."""
     return F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("long")
+
+
+def round6(c: Column) -> Column:
+    """Output rounding to 6 decimals that agrees across engines: snap to 10 decimals first, so a
+    value sitting on a ...5 tie rounds the same way whatever its binary noise."""
+    return F.round(F.round(c, 10), 6)

@@ -48,7 +48,10 @@ def tag_by_keywords(sentences: DataFrame, keys: Sequence[str], lexicon: DataFram
     lex = (lexicon.groupBy(F.col("keyword").alias("token"))
            .agg(F.collect_set(F.col("topic_num")).alias("_topics")))
     x = x.join(F.broadcast(lex), "token", "left")
-    agg = x.groupBy(*cols).agg(
+    # group on the sentence key only; carried columns depend on it, so first() is exact
+    extra = [F.first(c).alias(c) for c in cols if c not in keys]
+    agg = x.groupBy(*keys).agg(
+        *extra,
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_topics")))).alias("topic_ids"),
         F.count("token").cast("long").alias("n_tokens"),
         F.count("_topics").cast("long").alias("n_hit_tokens"))

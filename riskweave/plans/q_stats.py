@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave import constants as C
 from riskweave.functions import text as FT
+from riskweave.functions.misc import round6
 from riskweave.operators import lexicon as LX
 from riskweave.operators import relational as RL
 from riskweave.operators import stats as ST
@@ -220,7 +221,7 @@ snorm AS (SELECT doc_id, sent_pos, sqrt(sum(w * w)) AS norm FROM stf GROUP BY 1,
 sims AS (SELECT s.doc_id, s.sent_pos, x.topic, round(sum(s.w * x.weight) / any_value(n.norm), 10) AS sim
          FROM stf s JOIN wts x USING (term) JOIN snorm n USING (doc_id, sent_pos) GROUP BY s.doc_id, s.sent_pos, x.topic),
 best AS (SELECT doc_id, sent_pos, max(sim) AS score FROM sims WHERE sim > 0.3 GROUP BY 1, 2)
-SELECT s.doc_id, s.sent_pos::BIGINT AS sent_pos, round(b.score, 6) AS score, s.sentence FROM best b JOIN sentences s USING (doc_id, sent_pos)
+SELECT s.doc_id, s.sent_pos::BIGINT AS sent_pos, round((b.score)::DECIMAL(38,10), 6)::DOUBLE AS score, s.sentence FROM best b JOIN sentences s USING (doc_id, sent_pos)
 WHERE NOT s.is_noise ORDER BY b.score DESC, s.doc_id, s.sent_pos LIMIT 100""")
 def review_top_actions(spark, sf_dir):
     """The 100 highest-scoring tagged, non-noise sentences for review (top-k is the feature)."""
@@ -228,7 +229,7 @@ def review_top_actions(spark, sf_dir):
     best = sims.where(F.col("sim") > C.TFIDF_TAG_DEFAULT).groupBy("doc_id", "sent_pos").agg(F.max("sim").alias("score"))
     j = best.join(sent.where(~F.col("is_noise")).select("doc_id", "sent_pos", "sentence"), ["doc_id", "sent_pos"])
     top = j.orderBy(F.desc("score"), "doc_id", "sent_pos").limit(REVIEW_N)
-    return top.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.round("score", 6).alias("score"), "sentence")
+    return top.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), round6(F.col("score")).alias("score"), "sentence")
 
 
 @register("tagged_sentence_samples", S.with_ctes(["tagged", "lexicon"]) + f"""

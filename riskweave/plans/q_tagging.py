@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave import constants as C
 from riskweave.functions import vectors as V
+from riskweave.functions.misc import round6
 from riskweave.operators import lexicon as LX
 from riskweave.operators import tagging as TG
 from riskweave.operators import text as TX
@@ -109,12 +110,12 @@ LEFT JOIN (SELECT doc_id, sent_pos, list_sort(list(topic)) AS tags FROM {score_r
 USING (doc_id, sent_pos)"""
 
 
-@register("maxsim_topic_scores", _MAXSIM + "SELECT doc_id, sent_pos::BIGINT AS sent_pos, topic, round(score, 6) AS score FROM sc")
+@register("maxsim_topic_scores", _MAXSIM + f"SELECT doc_id, sent_pos::BIGINT AS sent_pos, topic, {S.round6('score')} AS score FROM sc")
 def maxsim_topic_scores(spark, sf_dir):
     """A11 + V7: per (sentence, topic), sum over token occurrences of max cosine to the bag (> match)."""
     _, sc = maxsim_scores(spark, sf_dir)
     return sc.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "topic",
-                     F.round("score", 6).alias("score"))
+                     round6(F.col("score")).alias("score"))
 
 
 @register("maxsim_topic_tags", _MAXSIM + _tag_sql("sc", "score", MAXSIM_TAG))
@@ -124,11 +125,11 @@ def maxsim_topic_tags(spark, sf_dir):
     return _tags_out(TG.tags_from_scores(sent.select(*KEYS), sc, KEYS, MAXSIM_TAG))
 
 
-@register("tfidf_weights", _TFIDF + "SELECT topic, term, round(weight, 6) AS weight FROM wts")
+@register("tfidf_weights", _TFIDF + f"SELECT topic, term, {S.round6('weight')} AS weight FROM wts")
 def tfidf_weights(spark, sf_dir):
     """Bag TF-IDF weights (smooth idf with +1, L2 norm per bag)."""
     w, _ = tfidf_parts(spark, Tables(spark, sf_dir))
-    return w.select("topic", "term", F.round("weight", 6).alias("weight"))
+    return w.select("topic", "term", round6(F.col("weight")).alias("weight"))
 
 
 @register("tfidf_topic_tags", _TFIDF + _tag_sql("sims", "sim", C.TFIDF_TAG_DEFAULT))
@@ -155,14 +156,14 @@ def tfidf_argmax_tags(spark, sf_dir):
     return _tags_out(out)
 
 
-@register("argmax_topic", _TFIDF + """
-SELECT doc_id, sent_pos::BIGINT AS sent_pos, topic, round(sim, 6) AS sim FROM
+@register("argmax_topic", _TFIDF + f"""
+SELECT doc_id, sent_pos::BIGINT AS sent_pos, topic, {S.round6('sim')} AS sim FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY sim DESC, topic ASC) AS rn FROM sims) WHERE rn = 1""")
 def argmax_topic(spark, sf_dir):
     """Best topic per sentence by TF-IDF cosine, lowest topic id on ties."""
     _, sims = tfidf_sims(spark, sf_dir)
     best = TG.argmax_topic(sims, KEYS)
-    return best.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "topic", F.round("sim", 6).alias("sim"))
+    return best.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "topic", round6(F.col("sim")).alias("sim"))
 
 
 @register("dense_topic_tags", _DENSE + _tag_sql("sims", "sim", DENSE_TAG))
@@ -182,16 +183,16 @@ def top5_topics(spark, sf_dir):
     return _tags_out(TG.tags_from_scores(sent.select(*KEYS), top, KEYS, DENSE_TAG, "sim"))
 
 
-@register("cosine_pairs", """
+@register("cosine_pairs", f"""
 WITH u AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x,
                   generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2),
 e AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
-SELECT e.vec_id, e.label, round(sum(e.x * c.x) / (sqrt(sum(e.x * e.x)) * sqrt(sum(c.x * c.x))), 6) AS cosine
+SELECT e.vec_id, e.label, {S.round6('sum(e.x * c.x) / (sqrt(sum(e.x * e.x)) * sqrt(sum(c.x * c.x)))')} AS cosine
 FROM e JOIN c USING (label, i) GROUP BY e.vec_id, e.label""")
 def cosine_pairs(spark, sf_dir):
     """M2 + A15: cosine of every vector to its label centroid (JVM-side dot/norm on arrays)."""
     emb = Tables(spark, sf_dir).embeddings
     cents = TG.centroids(emb, "label", "embedding")
     j = emb.join(cents, "label")
-    return j.select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("centroid")), 6).alias("cosine"))
+    return j.select("vec_id", "label", round6(V.cosine(F.col("embedding"), F.col("centroid"))).alias("cosine"))

@@ -27,6 +27,11 @@ def norm(col: str) -> str:
     return f"regexp_replace({x}, {lit(FT.NOT_KEPT_RE)}, '', 'g')"
 
 
+def round6(expr: str) -> str:
+    """Mirror of ``functions.misc.round6``: exact decimal at 10 places, then half-up to 6."""
+    return f"round(({expr})::DECIMAL(38,10), 6)::DOUBLE"
+
+
 def word_count(col: str) -> str:
     return f"len(regexp_extract_all({col}, {lit(FT.WORD_RE)}))"
 
