@@ -34,12 +34,52 @@ def _fold_one(s):
     return unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii")
 
 
+def _fold_tables():
+    """Per-code-point NFKD → ASCII, derived from ``unicodedata`` (a rule, not a hand list).
+
+    NFKD followed by dropping non-ASCII is exact per code point (combining marks and jamo are
+    dropped anyway), so a string folds character by character. Returns (from, to) for the
+    code points that fold to ONE ASCII character, and a regex class of those that expand to
+    several (ligatures, fractions, ellipsis, ...), which are rare.
+    """
+    src, dst, multi = [], [], []
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        r = _fold_one(chr(cp))
+        if len(r) == 1:
+            src.append(chr(cp))
+            dst.append(r)
+        elif len(r) > 1:
+            multi.append(cp)
+    ranges = []
+    for cp in multi:
+        if ranges and cp == ranges[-1][1] + 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    cls = "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    return "".join(src), "".join(dst), cls
+
+
+FOLD_FROM, FOLD_TO, MULTI_FOLD_RE = _fold_tables()
+
+
 @F.pandas_udf(T.StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
+def ascii_fold_udf(s: pd.Series) -> pd.Series:
     """NFKD decomposition, then drop every non-ASCII code point (Arrow-batched)."""
     return s.map(_fold_one)
 
 
+def ascii_fold(c: Column) -> Column:
+    """NFKD → ASCII. JVM-side ``translate`` for single-character folds plus a non-ASCII
+    strip; only texts containing a multi-character expansion are sent to the Python fold (the
+    UDF receives null for every other row, so almost nothing crosses into Python)."""
+    jvm = F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), NON_ASCII_RE, "")
+    py = ascii_fold_udf(F.when(c.rlike(MULTI_FOLD_RE), c))
+    return F.coalesce(py, jvm)
+
+
 def strip_contacts(c: Column) -> Column:
     """Remove e-mail addresses (with one trailing space) and URLs."""
     return F.regexp_replace(F.regexp_replace(c, EMAIL_RE, ""), URL_RE, "")
