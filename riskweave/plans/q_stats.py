@@ -142,7 +142,7 @@ FROM tagged GROUP BY 1, 2""")
 def action_rule(spark, sf_dir):
     """Composite rule ``pos > neg AND pos > 0.2 AND active voice`` (pos = keyword-hit share,
     neg = noise score), counted per firm-year."""
-    tg = tagged_filing_sentences(spark, sf_dir)
+    tg = tagged_filing_sentences(spark, sf_dir, with_noise=True)
     return tg.groupBy("symbol", "filing_time").agg(F.count_if(action_rule_col()).cast("long").alias("n_rule_actions"),
                                                    F.count("*").cast("long").alias("n_sentences"))
 
@@ -150,7 +150,7 @@ def action_rule(spark, sf_dir):
 def doc_predictions(spark, sf_dir):
     """Document prediction = has at least one rule-action sentence; truth = labels.quality."""
     t = Tables(spark, sf_dir)
-    tg = tagged_filing_sentences(spark, sf_dir)
+    tg = tagged_filing_sentences(spark, sf_dir, with_noise=True)
     pred = tg.groupBy("doc_id").agg(F.max(action_rule_col().cast("int")).alias("pred"))
     return t.labels.select("doc_id", F.col("quality").alias("truth")).join(pred, "doc_id", "left") \
         .select("doc_id", "truth", F.coalesce("pred", F.lit(0)).alias("pred"))

@@ -16,12 +16,12 @@ from riskweave.sources.tables import Tables
 TOPICS = list(range(R.N_TOPICS))
 
 
-def tagged_filing_sentences(spark, sf_dir, with_text: bool = False):
+def tagged_filing_sentences(spark, sf_dir, with_text: bool = False, with_noise: bool = False):
     """Filing sentences tagged by keyword match against the trimmed lexicon."""
     t = Tables(spark, sf_dir)
     sent = R.filing_sentences(t)
     lex = LX.trim(R.topic_lexicon(t, spark))
-    carry = ["symbol", "filing_time", "is_active", "p_noise", "is_action", "is_noise"]
+    carry = ["symbol", "filing_time", "is_active", "is_action", "is_noise"] + (["p_noise"] if with_noise else [])
     tagged = LX.tag_by_keywords(sent, ["doc_id", "sent_pos"], lex, R.stopwords_df(spark),
                                 R.lemmas_df(spark), carry=carry)
     if with_text:
