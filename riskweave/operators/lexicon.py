@@ -59,13 +59,15 @@ def tag_by_keywords(sentences: DataFrame, keys: Sequence[str], lexicon: DataFram
                           .otherwise(F.array(F.lit(C.NULL_TOPIC))))
 
 
-def tfidf_weights(lexicon: DataFrame, topic_col: str = "topic_num", word_col: str = "keyword") -> DataFrame:
+def tfidf_weights(lexicon: DataFrame, topic_col: str = "topic_num", word_col: str = "keyword",
+                  n_docs: int | None = None) -> DataFrame:
     """TF-IDF of each bag treated as a document; smooth idf ``ln((1+n)/(1+df)) + 1``; L2 norm.
 
     Returns ``topic, term, weight``. The bag count ``n`` is one scalar aggregate.
     """
     tf = lexicon.groupBy(F.col(topic_col).alias("topic"), F.col(word_col).alias("term")).count()
-    n_docs = tf.agg(F.countDistinct("topic")).first()[0]
+    if n_docs is None:
+        n_docs = tf.agg(F.countDistinct("topic")).first()[0]
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
     x = tf.join(df_, "term")
     raw = F.col("count") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)

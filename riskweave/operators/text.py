@@ -99,12 +99,16 @@ def candidate_terms(paras: DataFrame, keys: Sequence[str], text_col: str = "para
     left = F.slice("_m", 1, F.greatest(n - 1, F.lit(0)))
     right = F.slice("_m", 2, F.greatest(n - 1, F.lit(0)))
     pairs = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
-    base = toks.select(*keys, "_tk", "_ent", F.filter(pairs, lambda x: x.isNotNull()).alias("_bi"))
-    key = base.select(*keys, F.lit("key").alias("kind"), F.explode("_tk").alias("term"))
+    # all three kinds in ONE array → one explode (the base projection is computed once)
+    tagged = F.concat(
+        F.transform("_tk", lambda x: F.struct(F.lit("key").alias("kind"), x.alias("term"))),
+        F.transform("_ent", lambda x: F.struct(F.lit("ent").alias("kind"), F.lower(x).alias("term"))),
+        F.transform(F.filter(pairs, lambda x: x.isNotNull()),
+                    lambda x: F.struct(F.lit("nck").alias("kind"), x.alias("term"))))
+    out = toks.select(*keys, F.inline(tagged))
     if lemmas is not None:
-        key = lemmatize(key, lemmas, col="term")
-    key = key.where(~F.col("term").isin(*sw))
-    ent = base.select(*keys, F.lit("ent").alias("kind"), F.explode("_ent").alias("term"))
-    ent = ent.withColumn("term", F.lower("term"))
-    nck = base.select(*keys, F.lit("nck").alias("kind"), F.explode("_bi").alias("term"))
-    return key.unionByName(ent).unionByName(nck)
+        lem = lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l"))
+        out = out.join(F.broadcast(lem), (F.col("kind") == "key") & (F.col("term") == F.col("_w")), "left")
+        out = out.withColumn("term", F.coalesce("_l", "term")).drop("_w", "_l")
+    return out.where(~((F.col("kind") == "key") & F.col("term").isin(*sw)))
+

@@ -13,6 +13,7 @@ from riskweave.operators import text as TX
 from riskweave.plans import roles as R
 from riskweave.plans import sqlfrag as S
 from riskweave.plans.registry import register
+from riskweave.session import checkpoint_dir
 from riskweave.sources.tables import Tables
 
 KEYS = ["doc_id", "sent_pos"]
@@ -41,9 +42,11 @@ def maxsim_scores(spark, sf_dir):
 
 def tfidf_parts(spark, t: Tables):
     """Bag TF-IDF weights and idf from the trimmed lexicon (each bag is one document)."""
-    lex = LX.trim(R.topic_lexicon(t, spark))
-    w = LX.tfidf_weights(lex)
+    checkpoint_dir(spark)
+    # bounded dimension used by several branches: materialise once (reliable checkpoint)
+    lex = LX.trim(R.topic_lexicon(t, spark)).checkpoint()
     n = lex.select("topic_num").distinct().count()
+    w = LX.tfidf_weights(lex, n_docs=n)
     df_ = lex.select("topic_num", "keyword").distinct().groupBy(F.col("keyword").alias("term")).count()
     idf = df_.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("count"))) + 1).alias("idf"))
     return w, idf
