@@ -12,8 +12,15 @@ def not_flagged(flag: Column, value=1) -> Column:
 
 
 def epoch_ms_to_date(c: Column) -> Column:
-    """Epoch milliseconds → ``yyyy-MM-dd`` in the session time zone (UTC)."""
-    return F.date_format(F.timestamp_millis(c), "yyyy-MM-dd")
+    """Epoch milliseconds → UTC ``yyyy-MM-dd``; day arithmetic, so the session time zone
+    cannot shift the date."""
+    days = F.floor(c / F.lit(86_400_000)).cast("int")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM-dd")
+
+
+def ntz_to_epoch_ms(c: Column) -> Column:
+    """``timestamp_ntz`` (wall clock in UTC) → epoch milliseconds, without any time zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
 def year_of_month_string(c: Column) -> Column:

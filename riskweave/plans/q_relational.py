@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.functions.misc import epoch_ms_to_date
+from riskweave.functions.misc import epoch_ms_to_date, ntz_to_epoch_ms
 from riskweave.operators import relational as RL
 from riskweave.plans import roles as R
 from riskweave.plans import sqlfrag as S
@@ -152,7 +152,7 @@ FROM (SELECT event_id, epoch_us(ts) // 1000 AS epoch_ms FROM events)""")
 def epoch_to_date(spark, sf_dir):
     """Epoch milliseconds → 'yyyy-MM-dd' (UTC session time zone)."""
     e = Tables(spark, sf_dir).events
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = ntz_to_epoch_ms(F.col("ts"))
     return e.select("event_id", ms.alias("epoch_ms"), epoch_ms_to_date(ms).alias("event_date"))
 
 
