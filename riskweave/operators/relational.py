@@ -19,10 +19,13 @@ def latest_version(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     return df.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") == 1).drop("_rk")
 
 
-def name_prefixes(name: Column, max_len: int = 256) -> Column:
-    """All prefixes of a (lower-cased) name, shortest first, up to ``max_len`` characters."""
-    n = F.least(F.length(name), F.lit(max_len))
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(name, 1, k))
+def name_prefixes(name: Column, lengths: list[int]) -> Column:
+    """The prefixes of ``name`` with the given lengths (only those not longer than the name)."""
+    ks = F.array(*[F.lit(int(k)) for k in sorted(set(lengths))])
+    return F.transform(F.filter(ks, lambda k: k <= F.length(name)), lambda k: F.substring(name, 1, k))
+
+
+MAX_QUERY_LENGTHS = 100_000
 
 
 def resolve_by_prefix(queries: DataFrame, entities: DataFrame, *, q_name: str = "name",
@@ -32,17 +35,22 @@ def resolve_by_prefix(queries: DataFrame, entities: DataFrame, *, q_name: str =
 
     Preference: an entity in the query's country (smallest id), else the entity with the highest
     country id (then smallest id), else not found. The theta join becomes two equi joins: every
-    entity emits its name prefixes (linear, bounded by name length) and is pre-aggregated to ONE
-    best candidate per (prefix, country) and per prefix, so a popular prefix never fans out and
-    every query joins against unique keys. Adds ``resolved_id`` and ``match_type``.
+    entity emits its name prefixes of exactly the lengths that occur among the query names (a
+    small distinct set; exact, no cap) and is pre-aggregated to ONE best candidate per (prefix,
+    country) and per prefix, so a popular prefix never fans out and every query joins against
+    unique keys. Adds ``resolved_id`` and ``match_type``.
     """
+    qk = F.lower(F.col(q_name))
+    lengths = [r[0] for r in queries.select(F.length(qk).alias("n")).where("n IS NOT NULL").distinct()
+               .limit(MAX_QUERY_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_QUERY_LENGTHS:
+        raise ValueError("too many distinct query-name lengths")
     e = entities.select(F.col(e_id).alias("_id"), F.col(e_country).alias("_cty"),
-                        F.explode(name_prefixes(F.lower(F.col(e_name)))).alias("_prefix"))
+                        F.explode(name_prefixes(F.lower(F.col(e_name)), lengths or [1])).alias("_prefix"))
     in_country = e.groupBy("_prefix", "_cty").agg(F.min("_id").alias("_id_in"))
     # highest country id, then smallest entity id: max of (country, -id)
     best = e.groupBy("_prefix").agg(F.max(F.struct(F.col("_cty"), (-F.col("_id")).alias("neg"))).alias("_b"))
     best = best.select(F.col("_prefix").alias("_prefix2"), (-F.col("_b.neg")).alias("_id_any"))
-    qk = F.lower(F.col(q_name))
     out = (queries
            .join(in_country, (qk == F.col("_prefix")) & (F.col(q_country) == F.col("_cty")), "left")
            .drop("_prefix", "_cty")
