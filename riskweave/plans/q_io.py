@@ -86,3 +86,17 @@ def stream_tagging(spark, sf_dir):
     res = spark.read.parquet(out)
     return res.groupBy("symbol").agg(F.count("*").cast("long").alias("n_sentences"),
                                      F.count_if(F.col("topic_ids") != F.array(F.lit(-1))).cast("long").alias("n_tagged"))
+
+
+@register("vectors_text_roundtrip", f"""
+SELECT CAST(vec_id AS VARCHAR) AS word, len(embedding)::BIGINT AS dim,
+       {S.round6('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS checksum FROM embeddings""")
+def vectors_text_roundtrip(spark, sf_dir):
+    """Vectors written in the word-vector text layout and parsed back in one scan."""
+    from riskweave.functions.misc import round6
+    emb = Tables(spark, sf_dir).embeddings
+    path = IO.scratch_path(spark, "vectors_txt")
+    IO.write_vectors_text(emb, path, "vec_id", "embedding")
+    back = IO.read_vectors_text(spark, path)
+    total = F.aggregate(back["vector"], F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return back.select("word", F.size("vector").cast("long").alias("dim"), round6(total).alias("checksum"))

@@ -66,3 +66,20 @@ def load_or_build(spark: SparkSession, root: str, name: str, build: Callable[[],
     except Exception:  # not staged yet
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
+
+
+def write_vectors_text(df: DataFrame, path: str, key: str, vec_col: str) -> None:
+    """Word-vector text layout: one ``key v1 v2 ... vN`` line per vector (Parquet is the better
+    store after the first load; this exists to read and write the interchange format)."""
+    line = F.concat_ws(" ", F.col(key).cast("string"), F.array_join(F.transform(vec_col, lambda x: x.cast("string")), " "))
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vectors_text(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    """``word v1 ... vN`` lines → ``(word, vector array<float>)``; a ``count dim`` header
+    line (two integers) is skipped. One parallel scan, no driver-side parsing."""
+    parts = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("p"))
+    parts = parts.where(F.size("p") > 2)  # drops the header line and blank lines
+    vec = F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float"))
+    out = parts.select(F.col("p")[0].alias("word"), vec.alias("vector"))
+    return out.where(F.size("vector") == dim) if dim else out
