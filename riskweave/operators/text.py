@@ -86,26 +86,28 @@ def candidate_terms(paras: DataFrame, keys: Sequence[str], text_col: str = "para
     * ``key``: content tokens (lemmatised, stopwords removed);
     * ``ent``: capitalised word runs, lower-cased;
     * ``nck``: bigrams of adjacent tokens where neither is a stopword.
-    All three are array expressions over the paragraph (no Python); the fixed stopword list is
-    an ``isin`` literal list, which the optimizer turns into a hash ``InSet``.
+    All three come from array expressions over the paragraph and ONE posexplode (no Python, one
+    lambda per token for the bigram zip); stopword tests are ``isin`` literal lists, which the
+    optimizer turns into a hash ``InSet`` inside generated code.
     """
     sw = list(stopwords)
-    # tokens once per paragraph; later expressions reference the column instead of re-running the regex
+    # tokens and entity runs once per paragraph (regex), bigrams by one zip over adjacent tokens
     toks = paras.select(*keys, FT.raw_tokens(F.col(text_col)).alias("_tk"),
                         F.regexp_extract_all(F.col(text_col), F.lit(ENTITY_RE), 0).alias("_ent"))
-    masked = F.transform("_tk", lambda x: F.when(~x.isin(*sw), x))
-    toks = toks.withColumn("_m", masked)
-    n = F.size("_m")
-    left = F.slice("_m", 1, F.greatest(n - 1, F.lit(0)))
-    right = F.slice("_m", 2, F.greatest(n - 1, F.lit(0)))
+    n = F.size("_tk")
+    left = F.slice("_tk", 1, F.greatest(n - 1, F.lit(0)))
+    right = F.slice("_tk", 2, F.greatest(n - 1, F.lit(0)))
     pairs = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
-    # all three kinds in ONE array → one explode (the base projection is computed once)
-    tagged = F.concat(
-        F.transform("_tk", lambda x: F.struct(F.lit("key").alias("kind"), x.alias("term"))),
-        F.transform("_ent", lambda x: F.struct(F.lit("ent").alias("kind"), F.lower(x).alias("term"))),
-        F.transform(F.filter(pairs, lambda x: x.isNotNull()),
-                    lambda x: F.struct(F.lit("nck").alias("kind"), x.alias("term"))))
-    out = toks.select(*keys, F.inline(tagged))
+    # one array, one posexplode: the position tells the kind (tokens | entities | bigrams)
+    base = toks.select(*keys, F.size("_tk").alias("_nk"), F.size("_ent").alias("_ne"),
+                       F.concat("_tk", "_ent", pairs).alias("_all"))
+    ex = base.select(*keys, "_nk", "_ne", F.posexplode("_all").alias("_p", "term"))
+    kind = (F.when(F.col("_p") < F.col("_nk"), F.lit("key"))
+            .when(F.col("_p") < F.col("_nk") + F.col("_ne"), F.lit("ent")).otherwise(F.lit("nck")))
+    out = ex.select(*keys, kind.alias("kind"), "term")
+    out = out.withColumn("term", F.when(F.col("kind") == "ent", F.lower("term")).otherwise(F.col("term")))
+    first, second = F.substring_index("term", " ", 1), F.substring_index("term", " ", -1)
+    out = out.where(~((F.col("kind") == "nck") & (first.isin(*sw) | second.isin(*sw))))
     if lemmas is not None:
         lem = lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l"))
         out = out.join(F.broadcast(lem), (F.col("kind") == "key") & (F.col("term") == F.col("_w")), "left")
