@@ -19,7 +19,15 @@ from riskweave.session import checkpoint_dir
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root (never reused, never deleted here)."""
-    return os.path.join(checkpoint_dir(spark), "riskweave", name, uuid.uuid4().hex)
+    return "/".join([checkpoint_dir(spark).rstrip("/"), "riskweave", name, uuid.uuid4().hex])
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh shared folder and read it back: cuts the lineage, is computed once,
+    and keeps column pruning for its readers (a row ``checkpoint()`` has none)."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

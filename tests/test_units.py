@@ -199,3 +199,21 @@ def test_stopword_share(spark):
     df = spark.createDataFrame([("the cat and the hat",), ("",)], "s string")
     got = [r.p for r in df.select(FT.stopword_share(F.col("s")).alias("p")).collect()]
     assert got == [0.6, 0.0]
+
+
+def test_competition_rank_matches_window_at_200k_scores(spark):
+    """Ranks equal an exact window rank with 200,000 distinct scores, ties, nulls, any partition count."""
+    from pyspark.sql import Window
+    from riskweave.operators.ranking import competition_rank
+
+    df = spark.range(240_000).select(
+        F.when(F.col("id") % 1000 == 7, None).otherwise(F.xxhash64("id") % 200_000).cast("double").alias("s"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None)
+        .otherwise((F.col("id") % 40).cast("string")).alias("g"), "id")
+    for n in (3, 8, 17):
+        for part in ([], ["g"]):
+            got = competition_rank(df, "s", "r", part, n)
+            want = df.where("s is not null").select("id", F.rank().over(Window.partitionBy(*part).orderBy("s")).alias("w"))
+            j = got.join(want, "id", "left")
+            assert j.count() == 240_000
+            assert j.where(~F.col("r").eqNullSafe(F.col("w"))).count() == 0
