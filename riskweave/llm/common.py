@@ -31,3 +31,8 @@ def crc_fold(id_col: str, folds: int) -> Column:
 def parallelism(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                df.sparkSession.sparkContext.defaultParallelism)
+
+
+def scan_partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of the table's own rows: as many as its scan has, or more."""
+    return max(parallelism(df), df.rdd.getNumPartitions())

@@ -7,7 +7,6 @@ regression on these values gives the score. The weights are a vector of fixed si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -108,33 +107,27 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return fit([r._text for r in rows], [r._y for r in rows], share)
 
 
-def score_texts(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-                keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col`` and the ``keep`` columns with ``score`` (0 to 1); one row per input row. A null or
+def score_texts(documents: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The input's rows and columns with ``score_col`` (0 to 1) added (in place of a column of that name). A null or
     empty text has no n-grams and gets the intercept's score. Texts of any length are scored whole."""
     spark = documents.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 4 bytes * 2**BITS, whatever the corpus
-    cols = [id_col, *[c for c in keep if c != id_col]]
-    rows = documents.select(*cols, F.col(text_col).cast("string").alias("_scored_text"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         weights, intercept = shared.value
         wanted = weights != 0
-        for b in batches:
-            margins = [float(weights[features(t, wanted)].sum(dtype=np.float64)) + intercept
-                       for t in b.column("_scored_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_sigmoid(np.array(margins, dtype=np.float64)), pa.float64())],
-                                             names=[*cols, "score"])
+        margins = [float(weights[features(t, wanted)].sum(dtype=np.float64)) + intercept for t in texts.to_pylist()]
+        return pa.array(_sigmoid(np.array(margins, dtype=np.float64)), pa.float64())
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", score double")
+    return documents.withColumn(score_col, score(F.col(text_col).cast("string")))
 
 
 @register("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where(crc_fold("doc_id", 4) != 2)
-    scored = score_texts(docs, train(docs, labels))
+    scored = score_texts(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
