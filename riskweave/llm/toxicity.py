@@ -1,8 +1,9 @@
 """Toxicity (operator 10): linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct hashed n-grams of its lower-cased whole text. Feature f has the value
-r[f] = log(share of f among the n-grams of label-1 texts / share among those of label-0 texts); a logistic
-regression on these values gives the score. The weights are a vector of fixed size (``2**BITS``).
+r[f] = log(share of label-1 texts that hold f / share of label-0 texts that do). The features of clearly positive
+ratio enter a logistic regression on these values, with weights of at least 0, so a text is judged by what marks label
+1 in it and not by what else it holds, however long it is. The weights are a vector of fixed size (``2**BITS``).
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from riskweave.sources.tables import read_table
 ORDERS = (4, 5)
 BITS = 20
 MAX_FEATURES = 20_000
-MIN_TEXTS = 5
+MIN_TEXTS = 3
+MIN_STRENGTH = 4.0  # standard errors that a feature's log ratio must be above 0
 # The fit's bounded sample of labelled rows: this many per class, of at most so many characters each.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
 STEPS = 120
 THRESHOLD = 0.3
@@ -60,11 +62,12 @@ def fit(texts: list[str], labels: list[int], positive_rate: float) -> Model:
     ones = np.bincount(ids, weights=y[row], minlength=1 << BITS)
     total = np.bincount(ids, minlength=1 << BITS)
     p, q = ones + 1, total - ones + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    strength = np.where(total >= MIN_TEXTS, np.abs(ratio) * np.sqrt(total), 0)
+    ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
+    strength = np.abs(ratio) / np.sqrt(1 / p + 1 / q)  # in standard errors of the log ratio
+    strength[(total < MIN_TEXTS) | (ratio < 0)] = 0
     chosen = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
     keep = np.zeros(1 << BITS, dtype=bool)
-    keep[chosen[strength[chosen] > 0]] = True
+    keep[chosen[strength[chosen] >= MIN_STRENGTH]] = True
     at = np.cumsum(keep) - 1
     used = keep[ids]
     col, row, size = at[ids[used]], row[used], int(keep.sum())
@@ -75,9 +78,10 @@ def fit(texts: list[str], labels: list[int], positive_rate: float) -> Model:
     for step in range(1, STEPS + 1):
         margin = np.bincount(row, weights=w[col] * value, minlength=len(y)) + w[-1]
         slope = (_sigmoid(margin) - y) * cost
-        grad = np.append(np.bincount(col, weights=slope[row] * value, minlength=size) + 1e-4 * w[:-1], slope.sum())
+        grad = np.append(np.bincount(col, weights=slope[row] * value, minlength=size) + 1e-3 * w[:-1], slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
     weights[keep] = w[:-1] * scale
     prior = min(max(positive_rate, 1e-6), 1 - 1e-6)
     return Model(weights, float(w[-1] + np.log(prior / (1 - prior))))

@@ -13,18 +13,19 @@ from riskweave.llm.chargrams import gram_ids, pieces
 from riskweave.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def test_toxicity_on_held_out_rows(spark):
     import __spark_entry__ as entry
     entry.queries()
-    got = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, SF).collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    got = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, LARGER).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{LARGER}/documents.parquet").count()
     for d, r in got.items():
         assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     tell = Counter((labels[d], r.predicted) for d, r in got.items() if r.held_out and d in labels)
-    assert tell[1, 1] >= 0.5 * (tell[1, 1] + tell[1, 0])  # few training rows at this size
+    assert tell[1, 1] >= 0.8 * (tell[1, 1] + tell[1, 0])
     assert tell[0, 1] <= 0.02 * (tell[0, 0] + tell[0, 1])
 
 
@@ -38,7 +39,7 @@ def test_toxicity_of_awkward_texts_and_one_class(spark):
     got = X.score_texts(docs, model).collect()
     assert len(got) == len(rows) + len(bad)
     assert all((r.score >= 0.3) == (r.doc_id is not None and r.doc_id >= 900) for r in got)
-    assert got[0].size == "z"  # other columns stay
+    assert got[0].size == "y"  # other columns stay
     for labelled, want in ((labels.where("toxic = 0"), 0.0), (labels.where("toxic = 1"), 1.0), (labels.where("false"), 0.0)):
         scores = [r.score for r in X.score_texts(docs, X.train(docs, labelled)).collect()]
         assert np.allclose(scores, want, atol=1e-9)
