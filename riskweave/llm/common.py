@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 # ASCII white space that splits words and is stripped from lines.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-# Rows in one Arrow batch: a worker holds one batch, so even very long texts stay within memory.
-BATCH_ROWS = 512
+# One Arrow batch: a worker holds few at a time, so that even very long texts stay within memory.
+BATCH_ROWS, BATCH_BYTES = 2048, "8m"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that carry whole texts to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that carry whole texts to Python workers, in rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def uniform_hash(*cols: Column | str, seed: int = 0) -> Column:

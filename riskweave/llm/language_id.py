@@ -105,7 +105,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, centroids, idf, floor = shared.value
         weighted = np.ascontiguousarray((centroids * idf).T)
-        for b in batches:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):  # 256 vectors at once
             texts = b.column(1).to_pylist()
             real = [i for i, t in enumerate(texts) if t and langs and _LETTER.search(t)]
             pred, score, out = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [True] * len(texts)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import scan_partitions, small_batches
-from riskweave.llm.tokens import TextEncoder
+from riskweave.llm.tokens import worker_encoder
 from riskweave.plans.registry import register
 from riskweave.sources.tables import read_table
 
@@ -116,7 +116,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, length: int = L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = TextEncoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         # Documents not yet packed: id, ids left, sentence ends in them, ids already packed, all ids.
         names, left, ends, done, total, size = [], [], [], [], [], 0
@@ -154,7 +154,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, length: int = L
         names_type = None
         for batch in batches:
             names_type = batch.schema.field(0).type
-            for d, (ids, sentence) in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for d, (ids, sentence) in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 names.append(d)
                 left.append(np.append(ids, np.uint32(end_id)))
                 ends.append(sentence[sentence < len(ids)])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import scan_partitions, small_batches
-from riskweave.llm.tokens import TextEncoder
+from riskweave.llm.tokens import worker_encoder
 from riskweave.plans.registry import register
 from riskweave.sources.files import scratch_path
 from riskweave.sources.tables import read_table
@@ -125,8 +125,8 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = TextEncoder(tokenizer_path)
-        bits = bits_for(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
+        encoder = worker_encoder(tokenizer_path)
+        bits = bits_for(max(encoder.size, end_id + 1))
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         ids, docs, size = [], [], 0
 
@@ -137,7 +137,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
                 names=["part", "seq", "first", "n_ids", "shard"])
 
         for b in batches:
-            for d, (tokens, _) in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+            for d, (tokens, _) in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
                 ids.append(d)
                 docs.append(np.append(tokens, np.uint32(end_id)))
                 size += len(tokens) + 1

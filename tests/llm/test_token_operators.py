@@ -26,8 +26,8 @@ def ids_of():
 
 def test_encoder_equals_tokenizer(ids_of, monkeypatch):
     texts = [r[1] for r in awkward()] + ODD
-    for piece in (K.PIECE_CHARS, 300):
-        monkeypatch.setattr(K, "PIECE_CHARS", piece)
+    for piece in (K.PIECE_BYTES, 300):
+        monkeypatch.setattr(K, "PIECE_BYTES", piece)
         for path in (PATH, public_tokenizers.path("byte_bpe_50k.json")):
             encoder, t = K.TextEncoder(path), Tokenizer.from_file(path)
             assert encoder.by_word == (path == PATH)
