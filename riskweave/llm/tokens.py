@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 # Fixed value: the split pattern of the public word-level BPE file; it never matches white space, and the
 # file's normaliser works character by character, so a text's ids are those of its words, one after another.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MAX_WORDS = 500_000  # words whose ids a Python worker remembers at once
+# What a Python worker remembers at once: words as they stand, and the stems and other parts they are made of.
+MAX_WORDS, MAX_PARTS = 250_000, 900_000
 PIECE_BYTES = 4_000_000  # text that is split into words at once
 _CLOSERS = "\"')]}»”’*"
 _SENTENCE = frozenset(".!?…")
@@ -87,12 +88,16 @@ class TextEncoder:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._clear()
 
-    def _clear(self):
-        self.words, self.parts = _Index(), _Index()
-        self.parts[""] = 0
+    def _clear_words(self):
+        self.words = _Index()
         self.first = np.zeros(0, dtype=np.int32)  # of each word: the part it starts with, the one behind
         self.second = np.zeros(0, dtype=np.int32)
         self.ends = np.zeros(0, dtype=bool)
+
+    def _clear(self):
+        self._clear_words()
+        self.parts = _Index()
+        self.parts[""] = 0
         self.starts, self.lens = np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)  # of each part in flat
         self.flat = np.zeros(0, dtype=np.uint32)
 
@@ -120,8 +125,10 @@ class TextEncoder:
             yield from self._words(column)
 
     def _words(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(self.words) > MAX_WORDS:
+        if len(self.parts) > MAX_PARTS:
             self._clear()
+        elif len(self.words) > MAX_WORDS:
+            self._clear_words()
         split = pc.ascii_split_whitespace(column)
         upto = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
@@ -159,11 +166,13 @@ class TextEncoder:
         ends = np.fromiter((tail[-1:] in _SENTENCE for _, tail in found), dtype=bool, count=len(found))
         stems = [p for p in self.parts.fresh if p[0].isalpha()]
         new, self.parts.fresh = [*stems, *[p for p in self.parts.fresh if not p[0].isalpha()]], []
+        known = len(self.parts)
         for i in odd:  # encoded as they are, and not shared with stems
             w = fresh[i]
-            first[i], second[i] = len(self.parts), 0
-            self.parts[w + "\n"] = len(self.parts)
-            new.append(w)
+            if w + "\n" not in self.parts:
+                dict.__setitem__(self.parts, w + "\n", len(self.parts))
+                new.append(w)
+            first[i], second[i] = self.parts[w + "\n"], 0
             ends[i] = w.rstrip(_CLOSERS)[-1:] in _SENTENCE
         self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
         self.ends = np.concatenate([self.ends, ends])
@@ -177,8 +186,8 @@ class TextEncoder:
         lens = np.concatenate([np.diff(stops, prepend=0), np.fromiter(map(len, rest), dtype=np.int32, count=len(rest))]).astype(np.int32)
         starts = len(self.flat) + np.cumsum(lens, dtype=np.int32) - lens
         # Part numbers were given in order of appearance; the new ones are in order of ``new``.
-        at = np.array([self.parts[p] for p in new[:len(new) - len(odd)]] + [int(first[i]) for i in odd], dtype=np.int32)
         size = len(self.parts)
+        at = np.array([self.parts[p] for p in new[:len(new) - size + known]] + list(range(known, size)), dtype=np.int32)
         self.starts, self.lens = np.resize(self.starts, size), np.resize(self.lens, size)
         self.starts[at], self.lens[at] = starts, lens
         self.flat = np.concatenate([self.flat, flat, *rest])
