@@ -3,13 +3,13 @@
 Shingles have one global order: their 64-bit hashes, the very common ones last. The order is cut into fragments.
 
 1. Texts with the same shingle set form a class; from here on only classes matter, so copies cost nothing more.
-2. A class sends the first part of its set (30 %, see ``prefix_length``) to the fragments. Each fragment counts in how
+2. A class sends the first part of its set (40 %, see ``prefix_length``) to the fragments. Each fragment counts in how
    many classes a shingle occurs. A linked pair has 80 % of its shingles in common, so each partner has at least
    ``spare(n) + 1`` of these shingles in common with it: classes with fewer shared ones are out, and of the others the
    ``spare(n)`` most frequent shingles are not needed to find the pair.
-3. The rest are blocks: classes that hold one shingle. Instead of all pairs of a block, each class meets the block's
-   first member; links join components, and only classes of different components meet again. When a round finds no new
-   link, the pairs of different components that are left are all verified.
+3. The rest are blocks: classes that hold one shingle. Instead of all pairs of a block, its members meet the block's
+   first member; linked classes get a common label, and only classes of different labels meet again, at the next first
+   member. When few pairs of different labels are left (or a round finds no link), these are all verified.
 4. A pair is verified exactly: both sets are cut into fragments, overlaps are counted per fragment and summed per pair.
 """
 
@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +47,7 @@ def needed(n: int) -> int:
 
 
 def extra(n: int) -> int:
-    return max(1, n // 10)
+    return max(1, n // 5)
 
 
 def prefix_length(n: int) -> int:
@@ -63,7 +62,7 @@ def spare(n: int) -> int:
 
 
 def _sets(batch: pa.RecordBatch, shingler: Shingler):
-    for text in batch.column("_text").to_pylist():
+    for text in batch.column("_text").cast(pa.large_binary()).to_pylist():
         s = shingler.sets(text)
         yield s, xxhash.xxh3_128_digest(s.tobytes())
 
@@ -106,7 +105,8 @@ def _signatures(rows: DataFrame) -> DataFrame:
 
 
 def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
-    """Prefix shingles of each chunk's classes, one row per fragment (-1: the very common ones): the shingles, for each
+    """Prefix shingles of each chunk's classes, one row per fragment (negative, and spread
+    over many: the very common ones): the shingles, for each
     the number of its class in the row's own list, and that list (16-byte keys, set sizes)."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
@@ -119,9 +119,10 @@ def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
             owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
             at = np.array((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), dtype=np.int64)
             if len(common):
-                at[common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat] = -1
+                late = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
+                at[late] = -1 - int.from_bytes(keys[0][:4], "big") % fragments
             order = np.argsort(at, kind="stable")
-            stops = np.flatnonzero(np.diff(at[order], append=fragments))
+            stops = np.flatnonzero(np.diff(at[order], append=fragments + 1))
             raw, n = np.frombuffer(b"".join(keys), dtype="V16"), np.array(sizes, dtype=np.int64)
             begin = 0
             for stop in (stops + 1).tolist():
@@ -154,30 +155,45 @@ def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
     return rows.mapInArrow(run, "fragment long, shingles binary, owners binary, keys binary, sizes binary")
 
 
-def _unfold(frame: pd.DataFrame):
-    """Shingles, class keys (V16) and set sizes of all rows of a frame."""
-    flat, keys, sizes = [], [], []
-    for s, o, k, n in zip(frame.shingles, frame.owners, frame["keys"], frame.sizes, strict=True):
-        number = np.frombuffer(o, np.uint32)
-        flat.append(np.frombuffer(s, np.uint64))
-        keys.append(np.frombuffer(k, "V16")[number])
-        sizes.append(np.frombuffer(n, np.int64)[number])
-    return np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes)
-
-
-def _shared_shingles(frame: pd.DataFrame) -> pd.DataFrame:
-    """One fragment: the shingles that occur in two classes or more, with each of these classes."""
-    flat, keys, sizes = _unfold(frame)
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    same = np.zeros(len(flat) + 1, dtype=bool)
-    same[1:-1] = flat[1:] == flat[:-1]
-    many = same[1:] | same[:-1]  # equal to a neighbour
-    flat, order = flat[many], order[many]
-    out = pd.DataFrame({"shingle": flat.view(np.int64), "c": [k.tobytes() for k in keys[order]], "n": sizes[order]})
-    out = out.drop_duplicates(["shingle", "c"])  # one class may come from several chunks
-    out["df"] = out.groupby("shingle").c.transform("size")
-    return out[out.df >= 2]
+def _keys16(keys: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
+
+
+def _shared_shingles(frequent: dict[int, int]):
+    """One fragment: the shingles that occur in two classes or more, with each of these classes and their number.
+    Very common ones are known to be shared; ``frequent`` has their (approximate) numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat, keys, sizes = [], [], []
+        for s, o, k, n in zip(*[table.column(c).to_pylist() for c in ("shingles", "owners", "keys", "sizes")], strict=True):
+            number = np.frombuffer(o, np.uint32)
+            flat.append(np.frombuffer(s, np.uint64))
+            keys.append(np.frombuffer(k, "<u8").reshape(-1, 2)[number])
+            sizes.append(np.frombuffer(n, np.int64)[number])
+        flat, keys, sizes = np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes)
+        common = table.column("fragment")[0].as_py() < 0
+        if not common:
+            order = np.argsort(flat)
+            same = np.zeros(len(flat) + 1, dtype=bool)
+            same[1:-1] = flat[order][1:] == flat[order][:-1]
+            many = order[same[1:] | same[:-1]]  # equal to a neighbour
+            flat, keys, sizes = flat[many], keys[many], sizes[many]
+        # One class may come from several chunks.
+        order = np.lexsort((keys[:, 1], keys[:, 0], flat))
+        flat, keys, sizes = flat[order], keys[order], sizes[order]
+        again = (flat[1:] == flat[:-1]) & (keys[1:] == keys[:-1]).all(axis=1)
+        new = np.concatenate([[True], ~again])[:len(flat)]
+        flat, keys, sizes = flat[new], keys[new], sizes[new]
+        if common:
+            df = np.array([frequent[s] for s in flat.view(np.int64).tolist()], dtype=np.int64)
+        else:
+            _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+            df = count[at]
+            more = df >= 2
+            flat, keys, sizes, df = flat[more], keys[more], sizes[more], df[more]
+        return pa.table({"shingle": pa.array(flat.view(np.int64)), "c": _keys16(keys), "n": pa.array(sizes), "df": pa.array(df.astype(np.int64))})
+
+    return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,37 +249,35 @@ def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> Dat
     """(a, b): classes that have links, and the smallest class of their component (as ``components`` gives them)."""
     sets = stage(spark, _asked_sets(rows, _bloom(blocks.select("c").distinct())), "asked_sets")
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    label, tried, links = None, None, None
-    members = blocks
+    here, links, tried = blocks.withColumn("label", F.col("c")), None, None
     while True:
-        if label is None:
-            here = members.withColumn("label", F.col("c"))
-        else:
-            here = members.join(label.select(F.col("a").alias("c"), F.col("b").alias("_to")), "c", "left").select(
-                "shingle", "c", "n", F.coalesce("_to", "c").alias("label"))
-        # Each block's first member; blocks within one component are done.
+        # Each block's first member; blocks under one label are done.
         first = here.groupBy("shingle").agg(F.min(F.struct("c", "n", "label")).alias("h"), F.min("label").alias("_l"), F.max("label").alias("_m"))
         first = first.where(F.col("_l") != F.col("_m")).select("shingle", F.col("h.c").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la"))
-        here = stage(spark, here.join(first, "shingle"), "block_members")
-        members = here.where(F.col("c") != F.col("a")).select("shingle", "c", "n")
-        pairs = here.where((F.col("c") != F.col("a")) & (F.col("label") != F.col("la"))).select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb"))
-        pairs = pairs.where(near).distinct()
+        met = stage(spark, here.join(first, "shingle").where(F.col("c") != F.col("a")), "block_members")
+        pairs = met.where(F.col("label") != F.col("la")).select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).where(near).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(spark, pairs, "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         new = stage(spark, _linked(pairs, sets), "links")
-        if not new.take(1):
+        links = new if links is None else links.unionByName(new)
+        # A label: the smallest class one or two links away. (Not yet the whole component; it only saves verifying.)
+        up = links.groupBy(F.col("b").alias("_c")).agg(F.min("a").alias("_up"))
+        top = up.select(F.col("_c").alias("_d"), F.col("_up").alias("_top"))
+        label = up.join(top, F.col("_up") == F.col("_d"), "left").select("_c", F.coalesce("_top", "_up").alias("_to"))
+        here = met.join(label, F.col("c") == F.col("_c"), "left").select("shingle", "c", "n", F.coalesce("_to", "c").alias("label"))
+        here = stage(spark, here, "relabelled")
+        same = here.groupBy("shingle", "label").agg(F.count("*").alias("k"))
+        left = same.groupBy("shingle").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"))
+        size = left.where(F.col("m") * F.col("m") > F.col("s")).agg(
+            F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if size[0] <= 4 * size[1] or not new.take(1):
             break
-        links = new if label is None else new.unionByName(label)
-        label = components(links)
-    # No first member links any more: what is left of the blocks, between different components, is verified pair by pair.
-    rest = here.where(F.col("c") != F.col("a")).select("shingle", "c", "n", "label")
-    x = rest.select("shingle", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = rest.select("shingle", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    x = here.select("shingle", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = here.select("shingle", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b", "na", "nb").distinct()
-    new = _linked(pairs.join(tried, ["a", "b"], "left_anti"), sets)
-    return components(new if label is None else new.unionByName(label))
+    return components(links.unionByName(_linked(pairs.join(tried, ["a", "b"], "left_anti"), sets)))
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,22 +295,12 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     common = both.where("kind = 1").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(16, HOT_SHARE * total.docs))
     frequent = {r.shingle: r.texts for r in common.collect()}  # bounded: see HOT_SHARE
     hot = np.sort(np.array(list(frequent), dtype=np.int64).view(np.uint64))
-    fragments = max(parallelism(documents), math.ceil(0.3 * total.shingles / FRAGMENT_SHINGLES))
-    sent = stage(spark, _postings(rows, hot, fragments), "postings")
-    cold = sent.where("fragment >= 0").groupBy("fragment").applyInPandas(_shared_shingles, "shingle long, c binary, n long, df long")
-
-    def unfold(frames):
-        for f in frames:
-            if len(f):
-                flat, keys, sizes = _unfold(f)
-                yield pd.DataFrame({"shingle": flat.view(np.int64), "c": [k.tobytes() for k in keys], "n": sizes,
-                                    "df": [frequent[s] for s in flat.view(np.int64).tolist()]})
-
-    warm = sent.where("fragment < 0").mapInPandas(unfold, "shingle long, c binary, n long, df long").distinct()
+    fragments = max(parallelism(documents), math.ceil(0.4 * total.shingles / FRAGMENT_SHINGLES))
+    shared = _postings(rows, hot, fragments).groupBy("fragment").applyInArrow(_shared_shingles(frequent), "shingle long, c binary, n long, df long")
     # The most frequent shared shingles of a class come first; a class has at most prefix_length(n) of them.
-    listed = cold.unionByName(warm).groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle")), asc=False).alias("s"))
+    listed = shared.groupBy("c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "shingle")), asc=False).alias("s"))
     least = F.expr(f"({PERCENT} * n + 99) div 100")
-    aside = F.greatest(F.lit(1), F.expr(f"(({PERCENT} * n + 99) div 100) div 10")) - 1
+    aside = F.greatest(F.lit(1), F.expr(f"(({PERCENT} * n + 99) div 100) div 5")) - 1
     kept = listed.select("c", "n", F.size("s").alias("m"), F.slice("s", (aside + 1).cast("int"), F.size("s")).alias("s"), aside.alias("aside"), least.alias("least"))
     blocks = stage(spark, kept.where(F.col("m") > F.col("aside")).select("c", "n", F.explode("s").alias("s")).select("c", "n", F.col("s.shingle").alias("shingle")), "blocks")
     links = _class_links(spark, blocks, rows)
