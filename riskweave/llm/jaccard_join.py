@@ -7,9 +7,11 @@ Shingles have one global order: their 64-bit hashes, the very common ones last.
    many classes a shingle occurs. A linked pair has 80 % of its shingles in common, so each partner has at least
    ``spare(n) + 1`` of these shingles in common with it: classes with fewer shared ones are out, and of the others the
    ``spare(n)`` most frequent shingles are not needed to find the pair.
-3. The rest are blocks: classes that hold one shingle. Instead of all pairs of a block, its members meet the block's
-   first member; linked classes get a common label, and only classes of different labels meet again, at the next first
-   member. When few pairs of different labels are left (or a round finds no link), these are all verified.
+3. The rest are blocks: classes that hold one shingle; of blocks with the same members one is kept. Instead of all pairs
+   of a block, its members meet the block's most central member (whose shingles are the most shared ones, as those of a
+   text that others were copied from); linked classes get a common label, and only classes of different labels meet
+   again, at the next central member. When few pairs of different labels are left (or a round finds no link), these are
+   all verified.
 4. A pair is verified exactly: both sets are cut into fragments, overlaps are counted per fragment and summed per pair.
 """
 
@@ -251,8 +253,8 @@ def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> Dat
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
     here, links, tried = blocks.withColumn("label", F.col("c")), None, None
     while True:
-        # Each block's first member; blocks under one label are done.
-        first = here.groupBy("shingle").agg(F.min(F.struct("c", "n", "label")).alias("h"), F.min("label").alias("_l"), F.max("label").alias("_m"))
+        # Each block's most central member; blocks under one label are done.
+        first = here.groupBy("shingle").agg(F.max(F.struct("w", "c", "n", "label")).alias("h"), F.min("label").alias("_l"), F.max("label").alias("_m"))
         first = first.where(F.col("_l") != F.col("_m")).select("shingle", F.col("h.c").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la"))
         met = stage(spark, here.join(first, "shingle").where(F.col("c") != F.col("a")), "block_members")
         pairs = met.where(F.col("label") != F.col("la")).select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).where(near).distinct()
@@ -266,13 +268,14 @@ def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> Dat
         up = links.groupBy(F.col("b").alias("_c")).agg(F.min("a").alias("_up"))
         top = up.select(F.col("_c").alias("_d"), F.col("_up").alias("_top"))
         label = up.join(top, F.col("_up") == F.col("_d"), "left").select("_c", F.coalesce("_top", "_up").alias("_to"))
-        here = met.join(label, F.col("c") == F.col("_c"), "left").select("shingle", "c", "n", F.coalesce("_to", "c").alias("label"))
+        here = met.join(label, F.col("c") == F.col("_c"), "left").select("shingle", "c", "n", "w", F.coalesce("_to", "c").alias("label"))
         here = stage(spark, here, "relabelled")
         same = here.groupBy("shingle", "label").agg(F.count("*").alias("k"))
         left = same.groupBy("shingle").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"))
         size = left.where(F.col("m") * F.col("m") > F.col("s")).agg(
-            F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if size[0] <= 4 * size[1] or not new.take(1):
+            F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs"), F.sum("m").alias("members")).first()
+        # Pairs of different labels that a member has in a block, on average, are about what its class has left.
+        if not size.members or size.pairs / size.members <= 4 or not new.take(1):
             break
     x = here.select("shingle", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = here.select("shingle", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
@@ -301,8 +304,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     listed = shared.groupBy("c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "shingle")), asc=False).alias("s"))
     least = F.expr(f"({PERCENT} * n + 99) div 100")
     aside = F.greatest(F.lit(1), F.expr(f"(({PERCENT} * n + 99) div 100) div 5")) - 1
-    kept = listed.select("c", "n", F.size("s").alias("m"), F.slice("s", (aside + 1).cast("int"), F.size("s")).alias("s"), aside.alias("aside"), least.alias("least"))
-    blocks = stage(spark, kept.where(F.col("m") > F.col("aside")).select("c", "n", F.explode("s").alias("s")).select("c", "n", F.col("s.shingle").alias("shingle")), "blocks")
+    # How central a class is: the mean number of classes that hold one of its prefix shingles.
+    prefix = F.col("n") - least + F.greatest(F.lit(1), F.expr("n div 5"))
+    central = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.df) / prefix
+    kept = listed.where(F.size("s") > aside).select("c", "n", central.alias("w"), F.explode(F.slice("s", (aside + 1).cast("int"), F.size("s"))).alias("s"))
+    every = stage(spark, kept.select("c", "n", "w", F.col("s.shingle").alias("shingle")), "all_blocks")
+    members = every.groupBy("shingle").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
+    one = members.where(F.col("k") > 1).groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
+    blocks = stage(spark, every.join(one, "shingle"), "blocks")
     links = _class_links(spark, blocks, rows)
     # Components of classes, then of rows; a class or component of any size is one partial minimum per task.
     least_id = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
