@@ -38,9 +38,9 @@ def stable_bucket(key: Column, buckets: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
 
 
-def hex4_int(c: Column) -> Column:
-    """First four hex digits of ``md5(c)`` as an integer."""
-    return F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("long")
+def md5_int(c: Column) -> Column:
+    """First eight hex digits of ``md5(c)`` as an integer."""
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
 
 def round6(c: Column) -> Column:

@@ -117,7 +117,7 @@ def stopword_share(c: Column) -> Column:
     """Share of a text's tokens that are stopwords (0 when it has no tokens).
 
     Used as a transparent noise score: boilerplate and junk lines are mostly function words.
-    Two regex counts over the lower-cased text (tokens; whole-run stopword tokens), no arrays.
+    Two regex counts over the lower-cased text (tokens; whole-run stopword tokens).
     """
     low = F.lower(c)
     n = F.regexp_count(low, F.lit(TOKEN_RUN_RE))

@@ -28,12 +28,12 @@ def _tokens(df, keys, text_col, stopwords, lemmas):
 def make_maxsim_tagger(bag_vectors: DataFrame, vectors_for: Callable[[DataFrame], DataFrame],
                        thresh_matching: float = C.MAXSIM_MATCH_DEFAULT, stopwords=None, lemmas=None) -> Tagger:
     """V1: ``bag_vectors(topic, vector)``; ``vectors_for(tokens) -> (token, vector)``."""
-    topics, bank = TG.collect_bank(bag_vectors, "topic", "vector")
+    bank = TG.bank_of(bag_vectors, "topic", "vector")
 
     def tag(df: DataFrame, keys: Sequence[str], text_col: str = "sentence",
             thresh: float = C.MAXSIM_TAG_DEFAULT, return_all_scores: bool = False) -> DataFrame:
         toks = _tokens(df, keys, text_col, stopwords, lemmas)
-        tt = TG.maxsim_table(vectors_for(toks), topics, bank, thresh_matching)
+        tt = TG.maxsim_table(vectors_for(toks), bank, thresh_matching)
         scores = TG.maxsim_scores(toks, tt, keys)
         if return_all_scores:
             return scores
@@ -71,13 +71,13 @@ def make_dense_tagger(topic_vectors: DataFrame, vectors_for: Callable[[DataFrame
                       top_k: int | None = None, stopwords=None, lemmas=None) -> Tagger:
     """V4 / V5: cosine of the sentence's mean token vector to each topic vector (optionally the
     ``top_k`` nearest only), tags ``> thresh``."""
-    topics, bank = TG.collect_bank(topic_vectors, "topic", "vector")
+    bank = TG.bank_of(topic_vectors, "topic", "vector")
 
     def tag(df: DataFrame, keys: Sequence[str], text_col: str = "sentence", thresh: float = C.DENSE_TAG_DEFAULT,
             return_all_scores: bool = False) -> DataFrame:
         toks = _tokens(df, keys, text_col, stopwords, lemmas)
-        per = toks.join(vectors_for(toks), "token").groupBy(*keys).agg(F.collect_list("vector").alias("vecs"))
-        sims = TG.cosine_to_bank(per, keys, "vecs", topics, bank, mean_of_list=True)
+        per = TG.mean_vectors(toks.join(vectors_for(toks), "token"), keys, "vector")
+        sims = TG.cosine_to_bank(per, keys, "vector", bank)
         if top_k:
             sims = TG.top_k_topics(sims, keys, top_k, float("-inf"))
         if return_all_scores:

@@ -19,15 +19,6 @@ def latest_version(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     return df.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") == 1).drop("_rk")
 
 
-def name_prefixes(name: Column, lengths: list[int]) -> Column:
-    """The prefixes of ``name`` with the given lengths (only those not longer than the name)."""
-    ks = F.array(*[F.lit(int(k)) for k in sorted(set(lengths))])
-    return F.transform(F.filter(ks, lambda k: k <= F.length(name)), lambda k: F.substring(name, 1, k))
-
-
-MAX_QUERY_LENGTHS = 100_000
-
-
 def resolve_by_prefix(queries: DataFrame, entities: DataFrame, *, q_name: str = "name",
                       q_country: str = "country_id", e_id: str = "entity_id", e_name: str = "entity_name",
                       e_country: str = "country_id") -> DataFrame:
@@ -36,17 +27,16 @@ def resolve_by_prefix(queries: DataFrame, entities: DataFrame, *, q_name: str =
     Preference: an entity in the query's country (smallest id), else the entity with the highest
     country id (then smallest id), else not found. The theta join becomes two equi joins: every
     entity emits its name prefixes of exactly the lengths that occur among the query names (a
-    small distinct set; exact, no cap) and is pre-aggregated to ONE best candidate per (prefix,
+    join on the length; exact, no cap) and is pre-aggregated to ONE best candidate per (prefix,
     country) and per prefix, so a popular prefix never fans out and every query joins against
     unique keys. Adds ``resolved_id`` and ``match_type``.
     """
     qk = F.lower(F.col(q_name))
-    lengths = [r[0] for r in queries.select(F.length(qk).alias("n")).where("n IS NOT NULL").distinct()
-               .limit(MAX_QUERY_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_QUERY_LENGTHS:
-        raise ValueError("too many distinct query-name lengths")
-    e = entities.select(F.col(e_id).alias("_id"), F.col(e_country).alias("_cty"),
-                        F.explode(name_prefixes(F.lower(F.col(e_name)), lengths or [1])).alias("_prefix"))
+    lengths = queries.select(F.length(qk).alias("_n")).where("_n IS NOT NULL").distinct()
+    name = F.lower(F.col(e_name))
+    e = entities.select(F.col(e_id).alias("_id"), F.col(e_country).alias("_cty"), name.alias("_name"),
+                        F.explode(F.sequence(F.lit(0), F.length(name))).alias("_n"))
+    e = e.join(lengths, "_n").select("_id", "_cty", F.expr("substring(_name, 1, _n)").alias("_prefix"))
     in_country = e.groupBy("_prefix", "_cty").agg(F.min("_id").alias("_id_in"))
     # highest country id, then smallest entity id: max of (country, -id)
     best = e.groupBy("_prefix").agg(F.max(F.struct(F.col("_cty"), (-F.col("_id")).alias("neg"))).alias("_b"))
@@ -63,9 +53,10 @@ def resolve_by_prefix(queries: DataFrame, entities: DataFrame, *, q_name: str =
 
 
 def lookup_ci(df: DataFrame, col: str, dim: DataFrame, dim_name: str, dim_id: str, out: str) -> DataFrame:
-    """Case-insensitive name → id through a broadcast dimension (names unique after lower())."""
-    d = dim.select(F.lower(F.col(dim_name)).alias("_k"), F.col(dim_id).alias(out))
-    return df.join(F.broadcast(d), F.lower(F.col(col)) == F.col("_k"), "left").drop("_k")
+    """Case-insensitive name → id. Names that are equal after lower() count once, with their
+    smallest id, so no row is doubled."""
+    d = dim.groupBy(F.lower(F.col(dim_name)).alias("_k")).agg(F.min(dim_id).alias(out))
+    return df.join(d, F.lower(F.col(col)) == F.col("_k"), "left").drop("_k")
 
 
 def has_child(parents: DataFrame, key: str, children: DataFrame, child_key: str, out: str) -> DataFrame:

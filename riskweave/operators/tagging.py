@@ -1,49 +1,57 @@
 """Topic taggers: MaxSim keyword matching, TF-IDF cosine, dense cosine, top-k, argmax.
 
-Large side (sentences, tokens) always stays distributed. The topic side is a *bounded* bank
-(topics × words per bag): it is collected only after a size check and shipped to tasks inside
-the closure of an Arrow ``mapInPandas`` step, where numpy does the small matrix products.
+The large side (sentences, tokens) always stays distributed. A topic bank (topics × words per bag) of
+checked size is shipped to tasks inside an Arrow ``mapInPandas`` step, where numpy does the small matrix
+products; a larger one stays a table and meets the large side block by block, with the same result.
 Every per-sentence score is then a plain Spark join + aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave import constants as C
+from riskweave.sources.files import stage
 
-# Topic-side vectors shipped to tasks. A bank is topics × words-per-bag, bounded by definition;
-# a larger one is refused (never streamed through the driver).
+# A bank of at most this many vectors is shipped to tasks; a larger one is joined in blocks of this size.
 MAX_BANK_ROWS = 100_000
+# Rows of the large side that meet one block of a large bank in one task, about.
+BLOCK_ROWS = 100_000
 # Similarities are rounded to this many decimals so that ties and thresholds do not depend on
 # BLAS summation order (which varies with batch shape).
 SIM_DECIMALS = 10
 
 
-class BankTooLarge(ValueError):
-    pass
+class Bank(NamedTuple):
+    """Topic vectors: a table of (topic, vector), and arrays of the same where it is small."""
 
+    frame: DataFrame
+    rows: int
+    topics: np.ndarray | None
+    unit: np.ndarray | None
 
-def collect_bank(bank: DataFrame, topic_col: str, vec_col: str, max_rows: int = MAX_BANK_ROWS):
-    """Bounded collect of a topic-side table: ``(topics int array, unit vectors float64 matrix)``.
 
-    Raises ``BankTooLarge`` instead of pulling an unbounded table to the driver.
-    """
-    rows = bank.select(topic_col, vec_col).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise BankTooLarge(f"topic bank exceeds {max_rows} rows")
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    topics = np.array([r[0] for r in rows], dtype=np.int64)
-    m = np.array([r[1] for r in rows], dtype=np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return topics, np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def bank_of(bank: DataFrame, topic_col: str, vec_col: str) -> Bank:
+    spark = bank.sparkSession
+    frame = stage(spark, bank.select(F.col(topic_col).cast("int").alias("topic"), F.col(vec_col).cast("array<double>").alias("vector")), "bank")
+    n = frame.count()
+    if n > MAX_BANK_ROWS:
+        return Bank(frame, n, None, None)
+    return Bank(frame, n, *_arrays(frame.toPandas()))
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values("topic", kind="stable")
+    return pdf.topic.to_numpy(), _unit_rows(pdf.vector) if len(pdf) else np.zeros((0, 0))
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -52,59 +60,78 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def maxsim_table(word_vectors: DataFrame, bank_topics: np.ndarray, bank: np.ndarray,
-                 thresh_matching: float, key: str = "token", vec_col: str = "vector") -> DataFrame:
+def _with_bank(df: DataFrame, bank: Bank, run, schema: T.StructType) -> DataFrame:
+    """``run(rows, topics, unit vectors)`` on batches of ``df`` and the whole bank, or each of its blocks."""
+    if bank.unit is not None:
+        topics, unit = bank.topics, bank.unit
+
+        def each(batches):
+            for pdf in batches:
+                if len(pdf) and len(topics):
+                    yield run(pdf, topics, unit)
+
+        return df.mapInPandas(each, schema)
+    spark = df.sparkSession
+    df = stage(spark, df, "bank_side")
+    blocks = -(-bank.rows // MAX_BANK_ROWS)
+    groups = max(1, -(-df.count() // BLOCK_ROWS))
+    key = F.xxhash64(*df.columns)
+    left = df.select("*", F.pmod(key, F.lit(groups)).alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    right = bank.frame.select("topic", "vector", F.pmod(F.xxhash64("topic", "vector"), F.lit(blocks)).alias("_b"),
+                              F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_g"))
+
+    def meet(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(block):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        return run(rows, *_arrays(block))
+
+    return left.groupBy("_g", "_b").cogroup(right.groupBy("_g", "_b")).applyInPandas(meet, schema)
+
+
+def maxsim_table(word_vectors: DataFrame, bank: Bank, thresh_matching: float, key: str = "token",
+                 vec_col: str = "vector") -> DataFrame:
     """Step 1 of MaxSim: per distinct word, the best cosine to each topic's words, kept only if
     ``> thresh_matching`` (pruning before the join removes common off-topic tokens)."""
-    uniq = np.unique(bank_topics)
-    groups = [(int(t), np.where(bank_topics == t)[0]) for t in uniq]
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("topic", T.IntegerType()),
                            T.StructField("maxsim", T.DoubleType())])
 
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            sims = np.round(_unit_rows(pdf[vec_col]) @ bank.T, SIM_DECIMALS)
-            outs = []
-            for t, idx in groups:
-                best = sims[:, idx].max(axis=1)
-                keep = best > thresh_matching
-                if keep.any():
-                    outs.append(pd.DataFrame({key: pdf[key].values[keep], "topic": t, "maxsim": best[keep]}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    return word_vectors.select(key, vec_col).mapInPandas(run, schema)
+    def run(pdf, topics, unit):
+        sims = np.round(_unit_rows(pdf[vec_col]) @ unit.T, SIM_DECIMALS)
+        outs = []
+        for t in np.unique(topics):
+            best = sims[:, topics == t].max(axis=1)
+            keep = best > thresh_matching
+            outs.append(pd.DataFrame({key: pdf[key].values[keep], "topic": np.full(int(keep.sum()), t, np.int32), "maxsim": best[keep]}))
+        return pd.concat(outs, ignore_index=True)
 
+    out = _with_bank(word_vectors.select(key, vec_col), bank, run, schema)
+    return out if bank.unit is not None else out.groupBy(key, "topic").agg(F.max("maxsim").alias("maxsim"))
 
-def cosine_to_bank(df: DataFrame, keys: Sequence[str], vec_col: str, bank_topics: np.ndarray,
-                   bank: np.ndarray, mean_of_list: bool = False) -> DataFrame:
-    """Cosine of each row's vector (or of the mean of a list of vectors) to every bank vector.
 
-    Output: ``keys + topic, sim`` (one row per bank row). The bank is bounded (topics).
-    """
+def cosine_to_bank(df: DataFrame, keys: Sequence[str], vec_col: str, bank: Bank, above: float | None = None,
+                   least: float | None = None) -> DataFrame:
+    """Cosine of each row's vector to every bank vector: ``keys + topic, sim``, one row per bank row, or
+    only those with ``sim > above`` and ``sim >= least`` (dropped in the task that computes them)."""
     key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("topic", T.IntegerType()),
-                                        T.StructField("sim", T.DoubleType())])
-    n_bank = len(bank_topics)
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if mean_of_list:
-                vecs = pd.Series([np.mean(np.stack([np.asarray(v, dtype=np.float64) for v in lst]), axis=0)
-                                  for lst in pdf[vec_col]])
-            else:
-                vecs = pdf[vec_col]
-            sims = np.round(_unit_rows(vecs) @ bank.T, SIM_DECIMALS)
-            rep = {k: np.repeat(pdf[k].values, n_bank) for k in keys}
-            rep["topic"] = np.tile(bank_topics, len(pdf))
-            rep["sim"] = sims.reshape(-1)
-            yield pd.DataFrame(rep)
-
-    return df.select(*keys, vec_col).mapInPandas(run, schema)
+    schema = T.StructType(key_fields + [T.StructField("topic", T.IntegerType()), T.StructField("sim", T.DoubleType())])
+
+    def run(pdf, topics, unit):
+        sims = np.round(_unit_rows(pdf[vec_col]) @ unit.T, SIM_DECIMALS)
+        keep = np.ones(sims.shape, dtype=bool)
+        if above is not None:
+            keep &= sims > above
+        if least is not None:
+            keep &= sims >= least
+        row, col = np.nonzero(keep)
+        return pd.DataFrame({**{k: pdf[k].values[row] for k in keys}, "topic": topics[col], "sim": sims[row, col]})
+
+    return _with_bank(df.select(*keys, vec_col), bank, run, schema)
+
+
+def mean_vectors(rows: DataFrame, keys: Sequence[str], vec_col: str) -> DataFrame:
+    """Mean vector per key, summed on the map side (no list of vectors is ever shuffled)."""
+    mean = Summarizer.mean(array_to_vector(F.col(vec_col)))
+    return rows.groupBy(*keys).agg(vector_to_array(mean).alias(vec_col))
 
 
 def maxsim_scores(sent_tokens: DataFrame, token_topic: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -131,14 +158,14 @@ def tfidf_sentence_cosine(sent_tokens: DataFrame, weights: DataFrame, idf: DataF
     """V2: cosine between each sentence's TF-IDF vector (bag vocabulary, same idf) and each bag.
 
     ``weights(topic, term, weight)`` are L2-normalised bag vectors; ``idf(term, idf)`` is bounded
-    by the vocabulary, so both are broadcast. Output ``keys + topic, sim`` for sim > 0.
+    by the vocabulary; Spark broadcasts them where they are small. Output ``keys + topic, sim`` for sim > 0.
     """
     tf = (sent_tokens.select(*keys, F.col("token").alias("term"))
-          .join(F.broadcast(idf), "term")
+          .join(idf, "term")
           .groupBy(*keys, "term", "idf").agg(F.count("*").alias("tf")))
     tf = tf.withColumn("w", F.col("tf") * F.col("idf"))
     norm = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = (tf.join(F.broadcast(weights), "term")
+    dots = (tf.join(weights, "term")
             .groupBy(*keys, "topic").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
     sim = F.round(F.col("dot") / F.col("norm"), SIM_DECIMALS)
     return dots.join(norm, list(keys)).select(*keys, "topic", sim.alias("sim"))

@@ -59,15 +59,22 @@ def tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
 
 def lemmatize(df: DataFrame, lemmas: DataFrame, col: str = "token") -> DataFrame:
     """Replace a word by its lemma where the dictionary has one (identity otherwise)."""
-    lem = lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l"))
-    joined = df.join(F.broadcast(lem), F.col(col) == F.col("_w"), "left")
+    joined = df.join(first_lemmas(lemmas), F.col(col) == F.col("_w"), "left")
     return joined.withColumn(col, F.coalesce(F.col("_l"), F.col(col))).drop("_w", "_l")
 
 
+def first_lemmas(lemmas: DataFrame) -> DataFrame:
+    """(_w, _l): one lemma per word, of its first part of speech in the order n, v, a, r, s (words of
+    a dictionary without a ``pos`` column: the smallest lemma)."""
+    rank = F.instr(F.lit("nvars"), F.col("pos")) if "pos" in lemmas.columns else F.lit(0)
+    return lemmas.groupBy(F.col("word").alias("_w")).agg(F.min(F.struct(rank.alias("r"), "lemma")).alias("_b")).select(
+        "_w", F.col("_b.lemma").alias("_l"))
+
+
 def remove_stopwords(df: DataFrame, stopwords: DataFrame, col: str = "token") -> DataFrame:
-    """Anti join against a broadcast stopword list."""
+    """Anti join against the stopword list (Spark broadcasts it where it is small)."""
     sw = stopwords.select(F.col("word").alias("_sw"))
-    return df.join(F.broadcast(sw), F.col(col) == F.col("_sw"), "left_anti")
+    return df.join(sw, F.col(col) == F.col("_sw"), "left_anti")
 
 
 def voice(df: DataFrame, sentence_col: str = "sentence") -> DataFrame:
@@ -107,8 +114,7 @@ def candidate_terms(paras: DataFrame, keys: Sequence[str], text_col: str = "para
                     lambda x: F.struct(F.lit("nck").alias("kind"), x.alias("term"))))
     out = toks.select(*keys, F.inline(tagged))
     if lemmas is not None:
-        lem = lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l"))
-        out = out.join(F.broadcast(lem), (F.col("kind") == "key") & (F.col("term") == F.col("_w")), "left")
+        out = out.join(first_lemmas(lemmas), (F.col("kind") == "key") & (F.col("term") == F.col("_w")), "left")
         out = out.withColumn("term", F.coalesce("_l", "term")).drop("_w", "_l")
     return out.where(~((F.col("kind") == "key") & F.col("term").isin(*sw)))
 

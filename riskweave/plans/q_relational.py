@@ -12,11 +12,10 @@ from riskweave.plans.q_text import tagged_filing_sentences
 from riskweave.plans.registry import register
 from riskweave.sources.tables import Tables
 
-# FIXED VALUES: transcript-version role on `events` (FIXTURES.md B).
+# Transcript-version role on `events` (FIXTURES.md B).
 VERSION_EVENT_TYPE = "purchase"
 VERSION_DATE_FLOOR = "2024-01-08"
-# FIXED VALUES: company-resolution role: query name = first 17 characters of the customer name.
-QUERY_PREFIX_LEN = 17
+# Company-resolution role: a query name is the customer's name without its last character.
 EXEC_SPEAKER = "assistant"
 
 
@@ -80,7 +79,7 @@ def _resolution_queries(t: Tables):
     c = t.customer.select("c_custkey", "c_name", "c_nationkey")
     cq = c.join(nat, ((F.col("c_nationkey") + F.col("c_custkey")) % 25) == F.col("n_nationkey")).select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"),
-        F.substring("c_name", 1, QUERY_PREFIX_LEN).alias("name"), F.lower("n_name").alias("country_name"))
+        F.expr("substring(c_name, 1, length(c_name) - 1)").alias("name"), F.lower("n_name").alias("country_name"))
     s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     sq = s.join(nat, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("query_id"),
@@ -89,7 +88,7 @@ def _resolution_queries(t: Tables):
 
 
 _RESOLUTION_Q_SQL = f"""
-q0 AS (SELECT 'c' || c_custkey AS query_id, substr(c_name, 1, {QUERY_PREFIX_LEN}) AS name, lower(n_name) AS country_name
+q0 AS (SELECT 'c' || c_custkey AS query_id, substr(c_name, 1, length(c_name) - 1) AS name, lower(n_name) AS country_name
        FROM customer JOIN nation ON (c_nationkey + c_custkey) % 25 = n_nationkey
        UNION ALL
        SELECT 's' || s_suppkey, s_name, upper(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey),

@@ -18,21 +18,20 @@ from riskweave.plans.q_text import TOPICS, tagged_filing_sentences
 from riskweave.plans.registry import register
 from riskweave.sources.tables import Tables
 
-# FIXED VALUES: target topic set for overlap filters, pillar id offset, sample / review sizes.
+# Target topic set for overlap filters, pillar id offset, sample / review sizes.
 TARGET_TOPICS = (2, 5, 7)
 PILLAR_OFFSET = 100
 REVIEW_N = 100
 SAMPLE_N = 50
-TARGET_WORDS_N = 10
 
-CLUSTER_NAMES = list(R.LEXICON_SOURCES)
-PILLAR_NAMES = list(R.PILLAR_SOURCES)
+CLUSTER_NAMES = list(R.CLUSTERS)
+PILLAR_NAMES = list(R.PILLARS)
 
 
 def both_lexicons(spark, t: Tables):
     """Cluster ∪ pillar lexicons (pillar ids offset by 100), trimmed — one tagging pass for both."""
     cl = LX.trim(R.topic_lexicon(t, spark)).select("topic_num", "keyword")
-    pl = LX.trim(R.topic_lexicon(t, spark, R.PILLAR_SOURCES)).select(
+    pl = LX.trim(R.topic_lexicon(t, spark, R.PILLARS)).select(
         (F.col("topic_num") + PILLAR_OFFSET).alias("topic_num"), "keyword")
     return cl.unionByName(pl)
 
@@ -50,7 +49,10 @@ def doc_topic_statistics_df(spark, sf_dir):
         for i, name in enumerate(names):
             aggs += [F.count_if(has(off + i)).cast("long").alias(f"n_sentences_topic_{kind}_{name}"),
                      F.count_if(act & has(off + i)).cast("long").alias(f"n_actions_topic_{kind}_{name}")]
-    out = tagged.groupBy("doc_id", "symbol", "filing_time").agg(*aggs)
+    out = tagged.groupBy("doc_id").agg(*aggs)
+    # every filing has a row, also one without a sentence
+    out = R.filings(t).select("doc_id", "symbol", "filing_time").join(out, "doc_id", "left").fillna(
+        0, [c for c in out.columns if c.startswith("n_")])
     for kind, names in (("cluster", CLUSTER_NAMES), ("pillar", PILLAR_NAMES)):
         for what in ("sentences", "actions"):
             total = sum((F.col(f"n_{what}_topic_{kind}_{n}") for n in names), F.lit(0))
@@ -59,8 +61,8 @@ def doc_topic_statistics_df(spark, sf_dir):
 
 
 def _doc_stats_sql():
-    extra = [("pillar_counts", S.lex_counts_sql(R.PILLAR_SOURCES)),
-             ("pillar", S.lexicon_sql(R.PILLAR_SOURCES, "pillar_counts")),
+    extra = [("pillar_counts", S.lex_counts_sql(R.PILLARS)),
+             ("pillar", S.lexicon_sql(R.PILLARS, "pillar_counts")),
              ("lex_all", f"SELECT topic_num, keyword FROM lex_trim UNION ALL SELECT topic_num + {PILLAR_OFFSET}, keyword FROM pillar WHERE \"drop\" IS DISTINCT FROM 1"),
              ("hits2", "SELECT DISTINCT t.doc_id, t.sent_pos, x.topic_num AS topic FROM sent_tokens t JOIN lex_all x ON t.token = x.keyword"),
              ("tg", "SELECT s.doc_id, s.sent_pos, s.symbol, s.filing_time, s.is_action, coalesce(h.ids, []) AS ids FROM sentences s "
@@ -74,7 +76,9 @@ def _doc_stats_sql():
         for what in ("sentences", "actions"):
             tots.append(" + ".join(f"n_{what}_topic_{kind}_{n}" for n in names) + f" AS n_{what}_topic_{kind}_total")
     base = S.with_ctes(["sentences", "sent_tokens", "lex_trim"], extra)
-    return base + f"SELECT *, {', '.join(tots)} FROM (SELECT doc_id, symbol, filing_time, {', '.join(cols)} FROM tg GROUP BY 1, 2, 3)"
+    names = [c.rsplit(" AS ", 1)[1] for c in cols]
+    full = f"SELECT d.doc_id, d.symbol, d.filing_time, {', '.join(f'coalesce({n}, 0) AS {n}' for n in names)} FROM (SELECT doc_id, source AS symbol, {S.FILING_TIME} AS filing_time FROM documents) d LEFT JOIN (SELECT doc_id, {', '.join(cols)} FROM tg GROUP BY 1) g USING (doc_id)"
+    return base + f"SELECT *, {', '.join(tots)} FROM ({full})"
 
 
 @register("doc_topic_statistics", _doc_stats_sql())
@@ -114,16 +118,19 @@ def component_counters(spark, sf_dir):
 
 
 @register("threshold_label", S.with_ctes(["sentences"]) + """
-SELECT doc_id, count(*)::BIGINT AS n_sentences, count_if(p_noise > 0.5)::BIGINT AS n_label_gt,
-       count_if(p_noise >= 0.5)::BIGINT AS n_label_ge, round(avg(p_noise), 6) AS avg_p FROM sentences GROUP BY doc_id""")
+SELECT d.doc_id, count(s.doc_id)::BIGINT AS n_sentences, count_if(p_noise > 0.5)::BIGINT AS n_label_gt,
+       count_if(p_noise >= 0.5)::BIGINT AS n_label_ge, round(avg(p_noise), 6) AS avg_p
+FROM documents d LEFT JOIN sentences s ON d.doc_id = s.doc_id GROUP BY d.doc_id""")
 def threshold_label(spark, sf_dir):
     """P13 + Q9: probability → 0/1 with the classifier's strict ``>`` and the statistics' ``>=``."""
     from riskweave.functions.misc import prob_label
-    s = R.filing_sentences(Tables(spark, sf_dir))
-    return s.groupBy("doc_id").agg(F.count("*").cast("long").alias("n_sentences"),
-                                   F.sum(prob_label(F.col("p_noise"), 0.5)).cast("long").alias("n_label_gt"),
-                                   F.count_if(F.col("p_noise") >= 0.5).cast("long").alias("n_label_ge"),
-                                   F.round(F.avg("p_noise"), 6).alias("avg_p"))
+    t = Tables(spark, sf_dir)
+    s = R.filing_sentences(t)
+    per = s.groupBy("doc_id").agg(F.count("*").cast("long").alias("n_sentences"),
+                                  F.sum(prob_label(F.col("p_noise"), 0.5)).cast("long").alias("n_label_gt"),
+                                  F.count_if(F.col("p_noise") >= 0.5).cast("long").alias("n_label_ge"),
+                                  F.round(F.avg("p_noise"), 6).alias("avg_p"))
+    return t.documents.select("doc_id").join(per, "doc_id", "left").fillna(0, ["n_sentences", "n_label_gt", "n_label_ge"])
 
 
 def action_rule_col():
@@ -252,39 +259,40 @@ def tagged_sentence_samples(spark, sf_dir):
 
 
 def _target_tokens(spark, df, keys):
-    """count.py-style tokens: English stopwords removed, verb lemmas."""
+    """Verb lemmas of all tokens but English stopwords (removed before the lemma is looked up)."""
     verb = R.lemmas_df(spark).where(F.col("pos") == "v")
     sw = spark.createDataFrame([(w,) for w in sorted(set(C.ENGLISH_STOPWORDS))], "word string")
-    return TX.tokens(df, keys, stopwords=sw, lemmas=verb)
+    return TX.lemmatize(TX.tokens(df, keys, stopwords=sw), verb)
 
 
 @register("target_word_counts", S.with_ctes(["filings"]) + f"""
-, vlem AS (SELECT * FROM {S.LEMMAS} WHERE pos = 'v'),
+, vlem AS (SELECT word, lemma FROM {S.values(R.LEMMA_ROWS, ['word', 'pos', 'lemma'])} WHERE pos = 'v'),
 esw AS (SELECT * FROM {S.values([(w,) for w in sorted(set(C.ENGLISH_STOPWORDS))], ['word'])}),
-bt AS (SELECT coalesce(l.lemma, r.token) AS token FROM (SELECT unnest({S.raw_tokens(S.norm('text'))}) AS token FROM benchmark) r
-       LEFT JOIN vlem l ON r.token = l.word WHERE coalesce(l.lemma, r.token) NOT IN (SELECT word FROM esw)),
-targets AS (SELECT token AS target FROM bt GROUP BY token ORDER BY count(*) DESC, token LIMIT {TARGET_WORDS_N}),
+bt AS (SELECT DISTINCT coalesce(l.lemma, r.token) AS target FROM (SELECT unnest({S.raw_tokens(S.norm('text'))}) AS token FROM benchmark) r
+       LEFT JOIN vlem l ON r.token = l.word WHERE r.token NOT IN (SELECT word FROM esw)),
 dt AS (SELECT r.doc_id, coalesce(l.lemma, r.token) AS token FROM (SELECT doc_id, unnest({S.raw_tokens('text')}) AS token FROM filings) r
-       LEFT JOIN vlem l ON r.token = l.word WHERE coalesce(l.lemma, r.token) NOT IN (SELECT word FROM esw)),
-tot AS (SELECT doc_id, count(*) AS n_tokens, count_if(token IN (SELECT target FROM targets)) AS n_total_hits FROM dt GROUP BY doc_id)
-SELECT dt.doc_id, dt.token AS target, count(*)::BIGINT AS n_hits, any_value(tot.n_tokens)::BIGINT AS n_tokens,
-       any_value(tot.n_total_hits)::BIGINT AS n_total_hits
-FROM dt JOIN targets ON dt.token = targets.target JOIN tot USING (doc_id) GROUP BY dt.doc_id, dt.token""".replace("\n, vlem AS", ",\nvlem AS", 1))
+       LEFT JOIN vlem l ON r.token = l.word WHERE r.token NOT IN (SELECT word FROM esw)),
+hit AS (SELECT doc_id, token AS target, count(*) AS n_hits FROM dt WHERE token IN (SELECT target FROM bt) GROUP BY 1, 2),
+tot AS (SELECT doc_id, count(*) AS n_tokens, count_if(token IN (SELECT target FROM bt)) AS n_total_hits FROM dt GROUP BY doc_id)
+SELECT d.doc_id, hit.target, coalesce(hit.n_hits, 0)::BIGINT AS n_hits, coalesce(tot.n_tokens, 0)::BIGINT AS n_tokens,
+       coalesce(tot.n_total_hits, 0)::BIGINT AS n_total_hits
+FROM documents d LEFT JOIN hit USING (doc_id) LEFT JOIN tot USING (doc_id)""".replace("\n, vlem AS", ",\nvlem AS", 1))
 def target_word_counts(spark, sf_dir):
-    """A10 + Q15: per filing, hits of each (de-duplicated) target word by verb lemma, token total
-    and total hits; long form (one row per document and target with hits)."""
+    """A10 + Q15: per filing, hits of every (de-duplicated) target word by verb lemma, token total
+    and total hits; long form (one row per filing and target with hits; a filing without hits has one
+    row with a null target)."""
     t = Tables(spark, sf_dir)
     bench = TX.normalize(t.benchmark.select("item_id", "text"))
-    bt = _target_tokens(spark, bench, ["item_id"])
-    cnt = bt.groupBy("token").count()
-    # top-k targets (distinct after the group-by, so duplicates cannot count twice: Q15)
-    targets = cnt.orderBy(F.desc("count"), F.asc("token")).limit(TARGET_WORDS_N).select(F.col("token").alias("target"))
+    targets = _target_tokens(spark, bench, ["item_id"]).select(F.col("token").alias("target")).distinct()
     dt = _target_tokens(spark, TX.normalize(R.filings(t)), ["doc_id"])
-    flagged = dt.join(F.broadcast(targets), dt.token == targets.target, "left")
-    per_doc = flagged.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count("target").alias("n_total_hits"))
-    hits = flagged.where(F.col("target").isNotNull()).groupBy("doc_id", "target").agg(F.count("*").cast("long").alias("n_hits"))
-    return hits.join(per_doc, "doc_id").select("doc_id", "target", "n_hits", F.col("n_tokens").cast("long"),
-                                               F.col("n_total_hits").cast("long"))
+    words = dt.groupBy("doc_id", "token").agg(F.count("*").cast("long").alias("n")).join(targets, F.col("token") == F.col("target"), "left")
+    per_doc = words.groupBy("doc_id").agg(
+        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("target").isNotNull(), F.col("n")).otherwise(0)).alias("n_total_hits"),
+        F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", F.col("n").alias("n_hits")))).alias("_hits"))
+    out = t.documents.select("doc_id").join(per_doc, "doc_id", "left")
+    return out.select("doc_id", F.explode_outer("_hits").alias("_h"), "n_tokens", "n_total_hits").select(
+        "doc_id", F.col("_h.target").alias("target"), F.coalesce("_h.n_hits", F.lit(0)).cast("long").alias("n_hits"),
+        F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("n_total_hits", F.lit(0)).cast("long").alias("n_total_hits"))
 
 
 @register("clean_strings", "SELECT c_custkey, lower(trim(c_name)) AS c_name, lower(trim(c_mktsegment)) AS c_mktsegment FROM customer")

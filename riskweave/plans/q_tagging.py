@@ -35,8 +35,8 @@ def maxsim_scores(spark, sf_dir):
     t = Tables(spark, sf_dir)
     sent, toks = sentence_tokens(spark, t)
     wv = R.word_vectors(toks, t.embeddings)
-    topics, bank = TG.collect_bank(R.bag_vectors(t.embeddings), "topic", "vector")
-    tt = TG.maxsim_table(wv, topics, bank, MAXSIM_MATCH)
+    bank = TG.bank_of(R.bag_vectors(t.embeddings), "topic", "vector")
+    tt = TG.maxsim_table(wv, bank, MAXSIM_MATCH)
     return sent, TG.maxsim_scores(toks, tt, KEYS)
 
 
@@ -59,15 +59,15 @@ def tfidf_sims(spark, sf_dir):
     return sent, TG.tfidf_sentence_cosine(toks, w, idf, KEYS)
 
 
-def dense_sims(spark, sf_dir):
+def dense_sims(spark, sf_dir, **options):
     """V4: mean token vector per sentence vs. topic centroid (mean of the bag's unit vectors)."""
     t = Tables(spark, sf_dir)
     sent, toks = sentence_tokens(spark, t)
     wv = R.word_vectors(toks, t.embeddings)
-    per = toks.join(wv, "token").groupBy(*KEYS).agg(F.collect_list("vector").alias("vecs"))
+    per = TG.mean_vectors(toks.join(wv, "token"), KEYS, "vector")
     cents = TG.centroids(R.bag_vectors(t.embeddings), "topic", "vector")
-    topics, bank = TG.collect_bank(cents, "topic", "centroid")
-    return sent, TG.cosine_to_bank(per, KEYS, "vecs", topics, bank, mean_of_list=True)
+    bank = TG.bank_of(cents, "topic", "centroid")
+    return sent, TG.cosine_to_bank(per, KEYS, "vector", bank, **options)
 
 
 def _tags_out(df):
@@ -172,7 +172,7 @@ def argmax_topic(spark, sf_dir):
 @register("dense_topic_tags", _DENSE + _tag_sql("sims", "sim", DENSE_TAG))
 def dense_topic_tags(spark, sf_dir):
     """V4: dense cosine tagger (sentence vector vs. topic vectors), thresh 0.3, else -1."""
-    sent, sims = dense_sims(spark, sf_dir)
+    sent, sims = dense_sims(spark, sf_dir, above=DENSE_TAG)
     return _tags_out(TG.tags_from_scores(sent.select(*KEYS), sims, KEYS, DENSE_TAG, "sim"))
 
 
@@ -181,7 +181,7 @@ def dense_topic_tags(spark, sf_dir):
 """.replace("\n, top", ",\ntop", 1) + _tag_sql("top", "sim", DENSE_TAG))
 def top5_topics(spark, sf_dir):
     """V5 + L6: the 5 nearest topics per sentence, kept when cosine > thresh, else -1."""
-    sent, sims = dense_sims(spark, sf_dir)
+    sent, sims = dense_sims(spark, sf_dir, above=DENSE_TAG)
     top = TG.top_k_topics(sims, KEYS, TOP_K, DENSE_TAG)
     return _tags_out(TG.tags_from_scores(sent.select(*KEYS), top, KEYS, DENSE_TAG, "sim"))
 

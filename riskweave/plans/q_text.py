@@ -55,19 +55,21 @@ def sentences(spark, sf_dir):
 
 
 @register("flatten_sentences", S.with_ctes(["filings"]) + f"""
-SELECT doc_id, count(*)::BIGINT AS n_sentences, max(pos)::BIGINT AS last_pos FROM (
+SELECT d.doc_id, count(x.doc_id)::BIGINT AS n_sentences, max(pos)::BIGINT AS last_pos FROM documents d LEFT JOIN (SELECT * FROM (
   SELECT doc_id, unnest(flat) AS sentence, generate_subscripts(flat, 1) - 1 AS pos FROM (
     SELECT doc_id, flatten(list_transform(regexp_split_to_array(text, '\\.\\n'),
                                           lambda p: {S.sentence_parts('p')})) AS flat FROM filings))
-WHERE {S.word_count('sentence')} >= 5 GROUP BY doc_id""")
+WHERE {S.word_count('sentence')} >= 5) x ON d.doc_id = x.doc_id GROUP BY d.doc_id""")
 def flatten_sentences(spark, sf_dir):
-    """Paragraph × sentence nesting (array<array<string>>) flattened to one ordered list."""
+    """Paragraph × sentence nesting (array<array<string>>) flattened to one ordered list; a
+    filing without sentences counts 0."""
     f = TX.normalize(R.filings(Tables(spark, sf_dir)))
     nested = f.select("doc_id", F.transform(F.split("text", r"\.\n", -1), FT.sentence_pieces).alias("nested"))
-    flat = nested.select("doc_id", F.posexplode(F.flatten("nested")).alias("pos", "sentence"))
-    flat = flat.where(FT.word_count(F.col("sentence")) >= 5)
-    return flat.groupBy("doc_id").agg(F.count("*").cast("long").alias("n_sentences"),
-                                      F.max("pos").cast("long").alias("last_pos"))
+    # Counted inside the row: no explode, no shuffle.
+    marked = F.transform(F.flatten("nested"), lambda s, i: F.when(FT.word_count(s) >= 5, i))
+    at = nested.select("doc_id", F.filter(marked, lambda i: i.isNotNull()).alias("at"))
+    return at.select("doc_id", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_sentences"),
+                     F.array_max("at").cast("long").alias("last_pos"))
 
 
 @register("stopword_removed_counts", S.with_ctes(["doc_norm", "stopwords", "lemmas"]) + f"""

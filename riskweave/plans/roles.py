@@ -11,29 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave import constants as C
-from riskweave.functions.misc import hex4_int
+from riskweave.functions.misc import md5_int
 from riskweave.functions.text import stopword_share
 from riskweave.operators import text as TX
 from riskweave.sources.tables import Tables
 
-# FIXED VALUES: the documents → filings role (FIXTURES.md B).
+# The documents → filings role (FIXTURES.md B).
 FIRST_FILING_YEAR = 2006
 FILING_YEARS = 15
-# FIXED VALUES: word-vector role: first four hex digits of md5(token), modulo this count.
-VECTOR_SLOTS = 500
-# FIXED VALUES: topic-bag role: bag t is the BAG_SIZE lowest vec_id with label t, t < N_TOPICS.
-N_TOPICS = 9
+# Word-vector role: a token's vector is the row md5(token) modulo the number of rows of embeddings.
+# Topic-bag role: one bag per label, its BAG_SIZE vectors nearest the label's mean (inner product).
 BAG_SIZE = 5
-# FIXED VALUES: lexicon role: top LEXICON_TOP tokens (length >= LEXICON_MIN_LEN) per source.
+# Lexicon role: every source belongs to one of N_TOPICS clusters (and one of N_PILLARS pillars) by its
+# hash; a topic's words are the LEXICON_TOP most frequent tokens (length >= LEXICON_MIN_LEN) of its sources.
+N_TOPICS = 9
+N_PILLARS = 3
 LEXICON_TOP = 20
 LEXICON_MIN_LEN = 4
-LEXICON_SOURCES = tuple(f"src{i}" for i in range(N_TOPICS))
-PILLAR_SOURCES = ("src10", "src11", "src12")
-# FIXED VALUES: MaxSim match threshold suited to this vector fixture (API default stays 0.9).
+CLUSTERS = tuple(f"cluster{i}" for i in range(N_TOPICS))
+PILLARS = tuple(f"pillar{i}" for i in range(N_PILLARS))
+# MaxSim match threshold suited to this vector fixture (API default stays 0.9).
 FIXTURE_MATCH_THRESH = 0.25
 FIXTURE_MAXSIM_TAG_THRESH = 0.5
 
-# FIXED VALUES: hand-written lemma dictionary (word, part of speech, lemma).
+# Hand-written lemma dictionary (word, part of speech, lemma).
 LEMMA_ROWS = (
     ("mines", "n", "mine"), ("mining", "v", "mine"), ("paid", "v", "pay"), ("risks", "n", "risk"),
     ("companies", "n", "company"), ("operations", "n", "operation"), ("prices", "n", "price"),
@@ -103,40 +104,49 @@ def doc_tokens(t: Tables, spark: SparkSession) -> DataFrame:
     return TX.tokens(d, ["doc_id", "source"], stopwords=stopwords_df(spark), lemmas=lemmas_df(spark))
 
 
-def topic_lexicon(t: Tables, spark: SparkSession, sources=LEXICON_SOURCES) -> DataFrame:
+def topic_lexicon(t: Tables, spark: SparkSession, names=CLUSTERS) -> DataFrame:
     """Lexicon role: ``topic_num, keyword, drop, cosine_score, topic_name``.
 
-    Top tokens per source ``src0..src8`` by count desc, token asc. The window keeps
-    ``row_number() <= k``, which Catalyst turns into a partial top-k before the shuffle.
+    Top tokens per topic by count desc, token asc, over the documents of all sources. The window
+    keeps ``row_number() <= k``, which Catalyst turns into a partial top-k before the shuffle.
     """
-    tok = doc_tokens(t, spark).where(F.col("source").isin(*sources)
-                                     & (F.length("token") >= LEXICON_MIN_LEN))
-    counts = tok.groupBy("source", "token").count()
-    w = Window.partitionBy("source").orderBy(F.desc("count"), F.asc("token"))
+    return lexicon_of(topic_token_counts(t, spark, names), names)
+
+
+def topic_token_counts(t: Tables, spark: SparkSession, names=CLUSTERS) -> DataFrame:
+    """``topic_num, token, count`` over all documents: a source's topic is its hash modulo the topics."""
+    tok = doc_tokens(t, spark).where(F.length("token") >= LEXICON_MIN_LEN)
+    topic = (md5_int(F.coalesce("source", F.lit(""))) % len(names)).cast("int")
+    return tok.groupBy(topic.alias("topic_num"), "token").count()
+
+
+def lexicon_of(counts: DataFrame, names=CLUSTERS) -> DataFrame:
+    w = Window.partitionBy("topic_num").orderBy(F.desc("count"), F.asc("token"))
     top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= LEXICON_TOP)
-    topic_num = (F.array_position(F.array(*[F.lit(x) for x in sources]), F.col("source")) - 1).cast("int")
     # score: count relative to the topic's most frequent keyword (window over <= 20 rows per topic)
-    score = F.round(F.col("count") / F.max("count").over(Window.partitionBy("source")), 4)
+    score = F.round(F.col("count") / F.max("count").over(Window.partitionBy("topic_num")), 4)
     return top.select(
-        topic_num.alias("topic_num"), F.col("token").alias("keyword"),
+        "topic_num", F.col("token").alias("keyword"),
         F.when(F.length("token") % 5 == 0, F.lit(1)).cast("int").alias("drop"),
-        score.alias("cosine_score"), F.col("source").alias("topic_name"))
+        score.alias("cosine_score"),
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("topic_num") + 1).alias("topic_name"))
 
 
-def word_vectors(tokens: DataFrame, embeddings: DataFrame, slots: int = VECTOR_SLOTS) -> DataFrame:
+def word_vectors(tokens: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Vector role: ``token, vector`` for the distinct tokens given."""
     distinct = tokens.select("token").distinct()
-    keyed = distinct.withColumn("vec_id", hex4_int(F.col("token")) % slots)
+    keyed = distinct.withColumn("vec_id", md5_int(F.col("token")) % F.lit(max(1, embeddings.count())))
     return keyed.join(embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
 
 
 def bag_vectors(embeddings: DataFrame) -> DataFrame:
-    """Topic-bag role: ``topic, vec_id, vector`` — BAG_SIZE lowest ``vec_id`` per label < N_TOPICS."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return (embeddings.where(F.col("label") < N_TOPICS)
-            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= BAG_SIZE)
-            .select(F.col("label").alias("topic"), "vec_id", F.col("embedding").alias("vector")))
-
-
-EMPTY_VECTOR_SCHEMA = T.StructType([T.StructField("token", T.StringType()),
-                                    T.StructField("vector", T.ArrayType(T.FloatType()))])
+    """Topic-bag role: ``topic, vec_id, vector`` — per label, the BAG_SIZE vectors with the largest
+    inner product with the label's mean vector (ties: the lowest ``vec_id``)."""
+    x = embeddings.select("label", "vec_id", F.posexplode("embedding").alias("i", "x"))
+    mean = x.groupBy(F.col("label").alias("_l"), F.col("i").alias("_i")).agg(F.avg("x").alias("m"))
+    near = x.join(mean, (F.col("label") == F.col("_l")) & (F.col("i") == F.col("_i"))).groupBy("label", "vec_id").agg(
+        F.round(F.sum(F.col("x") * F.col("m")), 8).alias("s"))
+    w = Window.partitionBy("label").orderBy(F.desc("s"), "vec_id")
+    top = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= BAG_SIZE)
+    return top.join(embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(
+        F.col("label").alias("topic"), "vec_id", "vector")

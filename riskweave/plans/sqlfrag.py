@@ -57,22 +57,28 @@ def passive(col: str) -> str:
     return f"regexp_matches(lower({col}), {lit(FT.PASSIVE_RE)})"
 
 
-def lex_counts_sql(sources) -> str:
-    return (f"SELECT source, token, count(*) AS cnt FROM doc_tokens WHERE source IN "
-            f"({', '.join(lit(x) for x in sources)}) AND length(token) >= {R.LEXICON_MIN_LEN} GROUP BY 1, 2")
+def md5_int(col: str) -> str:
+    return f"('0x' || substr(md5({col}), 1, 8))::BIGINT"
 
 
-def lexicon_sql(sources, counts_rel: str) -> str:
-    srcs = "[" + ", ".join(lit(x) for x in sources) + "]"
-    return (f"SELECT CAST(list_position({srcs}, source) - 1 AS INTEGER) AS topic_num, token AS keyword, "
-            "CASE WHEN length(token) % 5 = 0 THEN 1 END AS \"drop\", round(cnt / max(cnt) OVER (PARTITION BY source), 4) AS cosine_score, "
-            "source AS topic_name FROM ("
-            f"SELECT *, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, token ASC) AS rn FROM {counts_rel}) "
+def lex_counts_sql(names) -> str:
+    topic = f"({md5_int("coalesce(source, '')")} % {len(names)})::INTEGER"
+    return (f"SELECT {topic} AS topic_num, token, count(*) AS cnt FROM doc_tokens "
+            f"WHERE length(token) >= {R.LEXICON_MIN_LEN} GROUP BY 1, 2")
+
+
+def lexicon_sql(names, counts_rel: str) -> str:
+    return ("SELECT topic_num, token AS keyword, "
+            "CASE WHEN length(token) % 5 = 0 THEN 1 END AS \"drop\", round(cnt / max(cnt) OVER (PARTITION BY topic_num), 4) AS cosine_score, "
+            f"[{', '.join(lit(n) for n in names)}][topic_num + 1] AS topic_name FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY topic_num ORDER BY cnt DESC, token ASC) AS rn FROM {counts_rel}) "
             f"WHERE rn <= {R.LEXICON_TOP}")
 
 
 STOPWORDS = values([(w,) for w in C.STOPWORDS], ["word"])
-LEMMAS = values(R.LEMMA_ROWS, ["word", "pos", "lemma"])
+# One lemma per word, by part of speech in the order n, v, a, r, s.
+LEMMAS = ("(SELECT word, min_by(pos, instr('nvars', pos)) AS pos, min_by(lemma, instr('nvars', pos)) AS lemma FROM "
+          + values(R.LEMMA_ROWS, ["word", "pos", "lemma"]) + " GROUP BY word)")
 
 FILING_TIME = ("concat(CAST(2006 + doc_id % 15 AS VARCHAR), '-', "
                "lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0'))")
@@ -98,8 +104,8 @@ CTE = {
     "doc_tokens": ("SELECT r.doc_id, r.source, coalesce(l.lemma, r.token) AS token FROM doc_tok_raw r "
                    "LEFT JOIN lemmas l ON r.token = l.word "
                    "WHERE coalesce(l.lemma, r.token) NOT IN (SELECT word FROM stopwords)"),
-    "lex_counts": lex_counts_sql(R.LEXICON_SOURCES),
-    "lexicon": lexicon_sql(R.LEXICON_SOURCES, "lex_counts"),
+    "lex_counts": lex_counts_sql(R.CLUSTERS),
+    "lexicon": lexicon_sql(R.CLUSTERS, "lex_counts"),
     "lex_trim": "SELECT * FROM lexicon WHERE \"drop\" IS DISTINCT FROM 1",
     "hits": ("SELECT DISTINCT t.doc_id, t.sent_pos, x.topic_num AS topic FROM sent_tokens t "
              "JOIN (SELECT DISTINCT keyword, topic_num FROM lex_trim) x ON t.token = x.keyword"),
@@ -111,11 +117,13 @@ CTE = {
                "ON t.token = x.keyword GROUP BY 1, 2) c USING (doc_id, sent_pos)"),
     "transcripts": ("SELECT conv_id AS transcript_id, turn AS component_order, role AS speaker_type, text "
                     "FROM conversations"),
-    "vec_slots": (f"SELECT token, (('0x' || substr(md5(token), 1, 4))::INTEGER % {R.VECTOR_SLOTS}) AS vec_id "
+    "vec_slots": (f"SELECT token, {md5_int('token')} % (SELECT count(*) FROM embeddings) AS vec_id "
                   "FROM (SELECT DISTINCT token FROM sent_tokens)"),
     "word_vectors": "SELECT v.token, e.embedding AS vector FROM vec_slots v JOIN embeddings e USING (vec_id)",
-    "bag_vectors": ("SELECT label AS topic, vec_id, embedding AS vector FROM (SELECT *, row_number() OVER "
-                    f"(PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE label < {R.N_TOPICS}) "
+    "emb_x": ("SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"),
+    "bag_top": ("SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sum(x * m), 8) DESC, vec_id) AS rn FROM emb_x "
+                "JOIN (SELECT label, i, avg(x) AS m FROM emb_x GROUP BY 1, 2) USING (label, i) GROUP BY label, vec_id"),
+    "bag_vectors": ("SELECT b.label AS topic, vec_id, embedding AS vector FROM bag_top b JOIN embeddings USING (vec_id) "
                     f"WHERE rn <= {R.BAG_SIZE}"),
 }
 
@@ -127,7 +135,7 @@ DEPS = {
     "lex_counts": ["doc_tokens"], "lexicon": ["lex_counts"], "lex_trim": ["lexicon"],
     "hits": ["sent_tokens", "lex_trim"], "tagged": ["sentences", "hits", "sent_tokens", "lex_trim"],
     "stopwords": [], "lemmas": [], "transcripts": [],
-    "vec_slots": ["sent_tokens"], "word_vectors": ["vec_slots"], "bag_vectors": [],
+    "vec_slots": ["sent_tokens"], "word_vectors": ["vec_slots"], "emb_x": [], "bag_top": ["emb_x"], "bag_vectors": ["bag_top"],
 }
 
 

@@ -65,15 +65,16 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
 
 
 def load_or_build(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a staged Parquet table when present, otherwise build, write and reuse it.
+    """Reuse a staged Parquet table when it is complete (its success marker is there), otherwise
+    build, write and reuse it. A folder without the marker is a write that broke off and is replaced; any
+    other error surfaces. The name must tell the inputs: a stage is reused whatever ``build`` would give now.
 
     Writing the stage also cuts the lineage for everything downstream."""
     path = os.path.join(root, name)
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # not staged yet
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_vectors_text(df: DataFrame, path: str, key: str, vec_col: str) -> None:
@@ -86,8 +87,9 @@ def write_vectors_text(df: DataFrame, path: str, key: str, vec_col: str) -> None
 def read_vectors_text(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
     """``word v1 ... vN`` lines → ``(word, vector array<float>)``; a ``count dim`` header
     line (two integers) is skipped. One parallel scan, no driver-side parsing."""
-    parts = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("p"))
-    parts = parts.where(F.size("p") > 2)  # drops the header line and blank lines
+    lines = spark.read.text(path).select(F.trim("value").alias("v"))
+    lines = lines.where((F.col("v") != "") & ~F.col("v").rlike(r"^[0-9]+ +[0-9]+$"))  # blank lines, header
+    parts = lines.select(F.split("v", " +").alias("p"))
     vec = F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float"))
     out = parts.select(F.col("p")[0].alias("word"), vec.alias("vector"))
     return out.where(F.size("vector") == dim) if dim else out

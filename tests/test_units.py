@@ -150,9 +150,9 @@ def test_maxsim_matches_numpy(spark):
     bank_topics = np.array([0, 0, 1, 1, 1, 2])
     wv = spark.createDataFrame([(w, v.tolist()) for w, v in zip(words, vecs)], "token string, vector array<float>")
     bdf = spark.createDataFrame([(int(t), v.tolist()) for t, v in zip(bank_topics, bank)], "topic int, vector array<float>")
-    topics, b = TG.collect_bank(bdf, "topic", "vector")
+    bank_ = TG.bank_of(bdf, "topic", "vector")
     toks = spark.createDataFrame([(s, rng.choice(words).item()) for s in range(10) for _ in range(5)], "s int, token string")
-    got = {(r.s, r.topic): r.score for r in TG.maxsim_scores(toks, TG.maxsim_table(wv, topics, b, 0.2), ["s"]).collect()}
+    got = {(r.s, r.topic): r.score for r in TG.maxsim_scores(toks, TG.maxsim_table(wv, bank_, 0.2), ["s"]).collect()}
     u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     ub = bank / np.linalg.norm(bank, axis=1, keepdims=True)
     exp = {}
@@ -217,3 +217,59 @@ def test_competition_rank_matches_window_at_200k_scores(spark):
             j = got.join(want, "id", "left")
             assert j.count() == 240_000
             assert j.where(~F.col("r").eqNullSafe(F.col("w"))).count() == 0
+
+
+def test_large_bank_gives_the_same_as_a_shipped_one(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    left = spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(50, 6)))], "token string, vector array<double>")
+    bdf = spark.createDataFrame([(i % 4, v.tolist()) for i, v in enumerate(rng.normal(size=(23, 6)))], "topic int, vector array<double>")
+    small = TG.bank_of(bdf, "topic", "vector")
+    monkeypatch.setattr(TG, "MAX_BANK_ROWS", 5)
+    monkeypatch.setattr(TG, "BLOCK_ROWS", 7)
+    large = TG.bank_of(bdf, "topic", "vector")
+    assert small.unit is not None and large.unit is None
+    for run in (lambda b: TG.maxsim_table(left, b, 0.3), lambda b: TG.cosine_to_bank(left, ["token"], "vector", b, above=0.1)):
+        a, b = [sorted(map(tuple, run(x).collect())) for x in (small, large)]
+        assert a == b and a
+
+
+def test_one_lemma_per_word_and_one_id_per_name(spark):
+    lem = spark.createDataFrame([("leaves", "v", "leave"), ("leaves", "n", "leaf"), ("ran", "v", "run")], "word string, pos string, lemma string")
+    got = [r.token for r in TX.lemmatize(spark.createDataFrame([("leaves",), ("ran",), ("x",)], "token string"), lem).collect()]
+    assert sorted(got) == ["leaf", "run", "x"]
+    dim = spark.createDataFrame([("PERU", 3), ("peru", 2), ("Chile", 1)], "n string, id long")
+    got = RL.lookup_ci(spark.createDataFrame([("Peru",), ("chile",), ("x",)], "c string"), "c", dim, "n", "id", "out").collect()
+    assert sorted((r.c, r.out) for r in got) == [("Peru", 2), ("chile", 1), ("x", None)]
+
+
+def test_stage_without_success_marker_is_rebuilt(spark, tmp_path):
+    import os
+    from riskweave.sources.files import load_or_build
+    root = str(tmp_path)
+    one = lambda: spark.range(3)
+    assert load_or_build(spark, root, "s", one).count() == 3
+    assert load_or_build(spark, root, "s", lambda: spark.range(9)).count() == 3  # reused
+    os.remove(f"{root}/s/_SUCCESS")
+    assert load_or_build(spark, root, "s", lambda: spark.range(9)).count() == 9
+
+
+def test_vector_text_keeps_one_dimensional_rows(spark, tmp_path):
+    from riskweave.sources.files import read_vectors_text
+    (tmp_path / "v.txt").write_text("2 1\na 0.5\n\nb 1.5\n")
+    assert sorted((r.word, list(r.vector)) for r in read_vectors_text(spark, str(tmp_path / "v.txt")).collect()) == [("a", [0.5]), ("b", [1.5])]
+
+
+FILING = ("<html><body><table><tr><td>Item 1A.</td><td>Risk Factors</td></tr><tr><td>Item 1B. Unresolved Staff Comments</td></tr></table>"
+          "<p>As said in Item 1A Risk Factors above, nothing.</p><div><b>Item 1A.</b> <b>Risk&nbsp;Factors:</b></div>"
+          "<p>We may lose money in item 2 properties of others.</p>\n<p>Mines\nflood.</p><h2>ITEM 1B. Unresolved staff comments</h2><p>None</p></body></html>")
+
+
+def test_filing_section_by_whole_heading_lines(spark):
+    rows = [(1, FILING), (2, "<html><p>Item 1A. Risk Factors</p><p>text</p></html>"), (3, "<html><p>x</p></html>"), (4, "Item 1A Risk Factors"),
+            (5, None), (6, "<html><p>Item 1A Risk Factors (continued)</p><p>a.b</p><p>Item 2. Properties</p></html>"),
+            (7, "<html><p>item 2 properties</p><p>Item 1A Risk Factors</p><p>late</p></html>")]
+    got = {r.id: r for r in H.extract_filing_section(spark.createDataFrame(rows, "id int, html string"), "html", "id").collect()}
+    assert got[1].status == 0 and got[1].section == "We may lose money in item 2 properties of others.\nMines flood."
+    assert [(got[i].status, got[i].error) for i in (2, 3, 4, 5, 7)] == [
+        (1, "no end heading after a start"), (1, "no start heading"), (1, "no html body"), (1, "no html body"), (1, "no end heading after a start")]
+    assert got[6].section == "a.b" and got[6].is_short and got[5].section == "<FAILED>5</FAILED>"
