@@ -6,7 +6,8 @@ Shingles have one global order: their 64-bit hashes, the very common ones last.
 2. A class sends the first part of its set (40 %, see ``prefix_length``) to the fragments. Each fragment counts in how
    many classes a shingle occurs. A linked pair has 80 % of its shingles in common, so each partner has at least
    ``spare(n) + 1`` of these shingles in common with it: classes with fewer shared ones are out, and of the others the
-   ``spare(n)`` most frequent shingles are not needed to find the pair.
+   ``spare(n)`` most frequent shingles are not needed to find the pair. Unshared shingles also bound what any two
+   classes can have in common, so most pairs that share a passage only are never formed.
 3. The rest are blocks: classes that hold one shingle; of blocks with the same members one is kept. Instead of all pairs
    of a block, its members meet the block's most central member (whose shingles are the most shared ones, as those of a
    text that others were copied from); linked classes get a common label, and only classes of different labels meet
@@ -37,9 +38,10 @@ PERCENT = 80
 CHUNK = 1 << 20  # shingles that a task gathers before it sends them
 FRAGMENT_SHINGLES = 1 << 21  # shingles that one fragment of the first pass holds, about
 CUTS = 4  # fragments that verified sets are cut into
-# Very common shingles: in this share of a chunk's texts, and of all texts. There are at most
-# (shingles per text) / HOT_SHARE of them, whatever the corpus, so their list is broadcast.
-CHUNK_SHARE, HOT_SHARE = 0.01, 0.002
+# Common shingles go last in the global order: those in so many texts of a chunk, the most frequent so many of each
+# chunk, and of these the most frequent so many (a list of fixed size, which is broadcast). They only make the search
+# faster: any order gives the same links.
+CHUNK_TEXTS, CHUNK_COMMON, MOST_COMMON = 4, 20_000, 300_000
 BLOOM_BITS = 26  # of the filter that spares sending sets nobody asks for: 8 MB, whatever the corpus
 
 
@@ -79,8 +81,9 @@ def _signatures(rows: DataFrame) -> DataFrame:
 
         def common(id_type):
             every, count = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            hot = count >= max(16, CHUNK_SHARE * len(held))
-            m = int(hot.sum())
+            hot = np.flatnonzero(count >= CHUNK_TEXTS)
+            hot = hot[np.argsort(-count[hot], kind="stable")[:CHUNK_COMMON]]
+            m = len(hot)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(m, np.int32)), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
                  pa.array(every[hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], names=names)
@@ -161,9 +164,9 @@ def _keys16(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
 
 
-def _shared_shingles(frequent: dict[int, int]):
+def _shared_shingles(hot: np.ndarray, texts: np.ndarray):
     """One fragment: the shingles that occur in two classes or more, with each of these classes and their number.
-    Very common ones are known to be shared; ``frequent`` has their (approximate) numbers."""
+    The common ones (``hot``, sorted) are known to be shared; ``texts`` has their (approximate) numbers."""
 
     def run(table: pa.Table) -> pa.Table:
         flat, keys, sizes = [], [], []
@@ -187,7 +190,7 @@ def _shared_shingles(frequent: dict[int, int]):
         new = np.concatenate([[True], ~again])[:len(flat)]
         flat, keys, sizes = flat[new], keys[new], sizes[new]
         if common:
-            df = np.array([frequent[s] for s in flat.view(np.int64).tolist()], dtype=np.int64)
+            df = texts[np.searchsorted(hot, flat)]
         else:
             _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
             df = count[at]
@@ -250,14 +253,15 @@ def _asked_sets(rows: DataFrame, field: np.ndarray) -> DataFrame:
 def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): classes that have links, and the smallest class of their component (as ``components`` gives them)."""
     sets = stage(spark, _asked_sets(rows, _bloom(blocks.select("c").distinct())), "asked_sets")
-    near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    # Sizes that allow a link, and enough shingles that both can have in common.
+    near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & ((100 + PERCENT) * F.least("ea", "eb") >= PERCENT * (F.col("na") + F.col("nb")))
     here, links, tried = blocks.withColumn("label", F.col("c")), None, None
     while True:
         # Each block's most central member; blocks under one label are done.
-        first = here.groupBy("shingle").agg(F.max(F.struct("w", "c", "n", "label")).alias("h"), F.min("label").alias("_l"), F.max("label").alias("_m"))
-        first = first.where(F.col("_l") != F.col("_m")).select("shingle", F.col("h.c").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la"))
+        first = here.groupBy("shingle").agg(F.max(F.struct("w", "c", "n", "e", "label")).alias("h"), F.min("label").alias("_l"), F.max("label").alias("_m"))
+        first = first.where(F.col("_l") != F.col("_m")).select("shingle", F.col("h.c").alias("a"), F.col("h.n").alias("na"), F.col("h.e").alias("ea"), F.col("h.label").alias("la"))
         met = stage(spark, here.join(first, "shingle").where(F.col("c") != F.col("a")), "block_members")
-        pairs = met.where(F.col("label") != F.col("la")).select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).where(near).distinct()
+        pairs = met.where(F.col("label") != F.col("la")).select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb"), "ea", F.col("e").alias("eb")).where(near).select("a", "b", "na", "nb").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(spark, pairs, "pairs")
@@ -268,7 +272,7 @@ def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> Dat
         up = links.groupBy(F.col("b").alias("_c")).agg(F.min("a").alias("_up"))
         top = up.select(F.col("_c").alias("_d"), F.col("_up").alias("_top"))
         label = up.join(top, F.col("_up") == F.col("_d"), "left").select("_c", F.coalesce("_top", "_up").alias("_to"))
-        here = met.join(label, F.col("c") == F.col("_c"), "left").select("shingle", "c", "n", "w", F.coalesce("_to", "c").alias("label"))
+        here = met.join(label, F.col("c") == F.col("_c"), "left").select("shingle", "c", "n", "e", "w", F.coalesce("_to", "c").alias("label"))
         here = stage(spark, here, "relabelled")
         same = here.groupBy("shingle", "label").agg(F.count("*").alias("k"))
         left = same.groupBy("shingle").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"))
@@ -277,8 +281,8 @@ def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> Dat
         # Pairs of different labels that a member has in a block, on average, are about what its class has left.
         if not size.members or size.pairs / size.members <= 4 or not new.take(1):
             break
-    x = here.select("shingle", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = here.select("shingle", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    x = here.select("shingle", F.col("c").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("label").alias("la"))
+    y = here.select("shingle", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("label").alias("lb"))
     pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b", "na", "nb").distinct()
     return components(links.unionByName(_linked(pairs.join(tried, ["a", "b"], "left_anti"), sets)))
 
@@ -295,20 +299,22 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     both = stage(spark, _signatures(rows), "signatures")
     docs = both.where("kind = 0").select("id", "n", "c")
     total = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    common = both.where("kind = 1").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(16, HOT_SHARE * total.docs))
-    frequent = {r.shingle: r.texts for r in common.collect()}  # bounded: see HOT_SHARE
-    hot = np.sort(np.array(list(frequent), dtype=np.int64).view(np.uint64))
+    common = both.where("kind = 1").groupBy("shingle").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "shingle").limit(MOST_COMMON).toPandas()
+    hot, texts = common.shingle.to_numpy(np.int64).view(np.uint64), common.texts.to_numpy(np.int64)
+    hot, texts = hot[np.argsort(hot)], texts[np.argsort(hot)]
     fragments = max(parallelism(documents), math.ceil(0.4 * total.shingles / FRAGMENT_SHINGLES))
-    shared = _postings(rows, hot, fragments).groupBy("fragment").applyInArrow(_shared_shingles(frequent), "shingle long, c binary, n long, df long")
+    shared = _postings(rows, hot, fragments).groupBy("fragment").applyInArrow(_shared_shingles(hot, texts), "shingle long, c binary, n long, df long")
     # The most frequent shared shingles of a class come first; a class has at most prefix_length(n) of them.
-    listed = shared.groupBy("c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "shingle")), asc=False).alias("s"))
+    listed = shared.groupBy("c", "n").agg(F.collect_set(F.struct("df", "shingle")).alias("s"), F.sum("df").alias("t"))
     least = F.expr(f"({PERCENT} * n + 99) div 100")
     aside = F.greatest(F.lit(1), F.expr(f"(({PERCENT} * n + 99) div 100) div 5")) - 1
     # How central a class is: the mean number of classes that hold one of its prefix shingles.
     prefix = F.col("n") - least + F.greatest(F.lit(1), F.expr("n div 5"))
-    central = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.df) / prefix
-    kept = listed.where(F.size("s") > aside).select("c", "n", central.alias("w"), F.explode(F.slice("s", (aside + 1).cast("int"), F.size("s"))).alias("s"))
-    every = stage(spark, kept.select("c", "n", "w", F.col("s.shingle").alias("shingle")), "all_blocks")
+    # All but the unshared part of its prefix: the most shingles it can have in common with any other class.
+    most = F.col("n") - prefix + F.size("s")
+    kept = listed.where(most >= least).select("c", "n", most.cast("long").alias("e"), (F.col("t") / prefix).alias("w"),
+                                              F.explode(F.slice(F.sort_array("s", asc=False), (aside + 1).cast("int"), F.size("s"))).alias("s"))
+    every = stage(spark, kept.select("c", "n", "e", "w", F.col("s.shingle").alias("shingle")), "all_blocks")
     members = every.groupBy("shingle").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
     one = members.where(F.col("k") > 1).groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
     blocks = stage(spark, every.join(one, "shingle"), "blocks")
