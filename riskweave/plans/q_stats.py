@@ -118,8 +118,8 @@ def component_counters(spark, sf_dir):
 
 
 @register("threshold_label", S.with_ctes(["sentences"]) + """
-SELECT d.doc_id, count(s.doc_id)::BIGINT AS n_sentences, count_if(p_noise > 0.5)::BIGINT AS n_label_gt,
-       count_if(p_noise >= 0.5)::BIGINT AS n_label_ge, round(avg(p_noise), 6) AS avg_p
+SELECT d.doc_id, count(s.doc_id)::BIGINT AS n_sentences, coalesce(count_if(p_noise > 0.5), 0)::BIGINT AS n_label_gt,
+       coalesce(count_if(p_noise >= 0.5), 0)::BIGINT AS n_label_ge, round(avg(p_noise), 6) AS avg_p
 FROM documents d LEFT JOIN sentences s ON d.doc_id = s.doc_id GROUP BY d.doc_id""")
 def threshold_label(spark, sf_dir):
     """P13 + Q9: probability → 0/1 with the classifier's strict ``>`` and the statistics' ``>=``."""
