@@ -41,7 +41,7 @@ CUTS = 4  # fragments that verified sets are cut into
 # Common shingles go last in the global order: those in so many texts of a chunk, the most frequent so many of each
 # chunk, and of these the most frequent so many (a list of fixed size, which is broadcast). They only make the search
 # faster: any order gives the same links.
-CHUNK_TEXTS, CHUNK_COMMON, MOST_COMMON = 4, 20_000, 300_000
+CHUNK_TEXTS, CHUNK_COMMON, MOST_COMMON = 2, 40_000, 400_000
 BLOOM_BITS = 26  # of the filter that spares sending sets nobody asks for: 8 MB, whatever the corpus
 
 
