@@ -6,8 +6,8 @@ Shingles have one global order: their 64-bit hashes, the very common ones last.
 2. A class sends the first part of its set (40 %, see ``prefix_length``) to the fragments. Each fragment counts in how
    many classes a shingle occurs. A linked pair has 80 % of its shingles in common, so each partner has at least
    ``spare(n) + 1`` of these shingles in common with it: classes with fewer shared ones are out, and of the others the
-   ``spare(n)`` most frequent shingles are not needed to find the pair. Unshared shingles also bound what any two
-   classes can have in common, so most pairs that share a passage only are never formed.
+   ``spare(n)`` most frequent shingles are not needed to find the pair. Unshared shingles also bound what a class can
+   have in common with a linked one, so most pairs that share a passage only are never formed.
 3. The rest are blocks: classes that hold one shingle; of blocks with the same members one is kept. Instead of all pairs
    of a block, its members meet the block's most central member (whose shingles are the most shared ones, as those of a
    text that others were copied from); linked classes get a common label, and only classes of different labels meet
@@ -112,7 +112,8 @@ def _signatures(rows: DataFrame) -> DataFrame:
 def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
     """Prefix shingles of each chunk's classes, one row per fragment (negative, and spread
     over many: the very common ones): the shingles, for each
-    the number of its class in the row's own list, and that list (16-byte keys, set sizes)."""
+    the number of its class in the row's own list, and that list (16-byte keys, set sizes, and the place in the class's
+    prefix of its first shingle here; the others follow it there)."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,21 +123,22 @@ def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
         def send():
             flat = np.concatenate(parts)
             owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
+            place = np.concatenate([np.arange(len(p), dtype=np.uint32) for p in parts])
             at = np.array((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), dtype=np.int64)
             if len(common):
                 late = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
                 at[late] = -1 - int.from_bytes(keys[0][:4], "big") % fragments
             order = np.argsort(at, kind="stable")
             stops = np.flatnonzero(np.diff(at[order], append=fragments + 1))
-            raw, n = np.frombuffer(b"".join(keys), dtype="V16"), np.array(sizes, dtype=np.int64)
+            raw, n = np.frombuffer(b"".join(keys), dtype="V16"), np.array(sizes, dtype=np.uint32)
             begin = 0
             for stop in (stops + 1).tolist():
                 rows_ = order[begin:stop]
-                own, number = np.unique(owner[rows_], return_inverse=True)
+                own, first, number = np.unique(owner[rows_], return_index=True, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(at[rows_[0]])]), pa.array([flat[rows_].tobytes()], pa.binary()), pa.array([number.astype(np.uint32).tobytes()], pa.binary()),
-                     pa.array([raw[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())],
-                    names=["fragment", "shingles", "owners", "keys", "sizes"])
+                     pa.array([raw[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary()), pa.array([place[rows_[first]].tobytes()], pa.binary())],
+                    names=["fragment", "shingles", "owners", "keys", "sizes", "starts"])
                 begin = stop
 
         for b in batches:
@@ -157,7 +159,7 @@ def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
         if parts:
             yield from send()
 
-    return rows.mapInArrow(run, "fragment long, shingles binary, owners binary, keys binary, sizes binary")
+    return rows.mapInArrow(run, "fragment long, shingles binary, owners binary, keys binary, sizes binary, starts binary")
 
 
 def _keys16(keys: np.ndarray) -> pa.Array:
@@ -169,34 +171,38 @@ def _shared_shingles(hot: np.ndarray, texts: np.ndarray):
     The common ones (``hot``, sorted) are known to be shared; ``texts`` has their (approximate) numbers."""
 
     def run(table: pa.Table) -> pa.Table:
-        flat, keys, sizes = [], [], []
-        for s, o, k, n in zip(*[table.column(c).to_pylist() for c in ("shingles", "owners", "keys", "sizes")], strict=True):
+        flat, keys, sizes, places = [], [], [], []
+        for s, o, k, n, f in zip(*[table.column(c).to_pylist() for c in ("shingles", "owners", "keys", "sizes", "starts")], strict=True):
             number = np.frombuffer(o, np.uint32)
             flat.append(np.frombuffer(s, np.uint64))
             keys.append(np.frombuffer(k, "<u8").reshape(-1, 2)[number])
-            sizes.append(np.frombuffer(n, np.int64)[number])
-        flat, keys, sizes = np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes)
+            sizes.append(np.frombuffer(n, np.uint32)[number])
+            # A class's shingles stand together in the row, in the order of its prefix.
+            start = np.searchsorted(number, np.arange(number[-1] + 1))
+            places.append(np.frombuffer(f, np.uint32)[number] + (np.arange(len(number)) - start[number]).astype(np.uint32))
+        flat, keys, sizes, places = np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes), np.concatenate(places)
         common = table.column("fragment")[0].as_py() < 0
         if not common:
             order = np.argsort(flat)
             same = np.zeros(len(flat) + 1, dtype=bool)
             same[1:-1] = flat[order][1:] == flat[order][:-1]
             many = order[same[1:] | same[:-1]]  # equal to a neighbour
-            flat, keys, sizes = flat[many], keys[many], sizes[many]
+            flat, keys, sizes, places = flat[many], keys[many], sizes[many], places[many]
         # One class may come from several chunks.
         order = np.lexsort((keys[:, 1], keys[:, 0], flat))
-        flat, keys, sizes = flat[order], keys[order], sizes[order]
+        flat, keys, sizes, places = flat[order], keys[order], sizes[order], places[order]
         again = (flat[1:] == flat[:-1]) & (keys[1:] == keys[:-1]).all(axis=1)
         new = np.concatenate([[True], ~again])[:len(flat)]
-        flat, keys, sizes = flat[new], keys[new], sizes[new]
+        flat, keys, sizes, places = flat[new], keys[new], sizes[new], places[new]
         if common:
             df = texts[np.searchsorted(hot, flat)]
         else:
             _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
             df = count[at]
             more = df >= 2
-            flat, keys, sizes, df = flat[more], keys[more], sizes[more], df[more]
-        return pa.table({"shingle": pa.array(flat.view(np.int64)), "c": _keys16(keys), "n": pa.array(sizes), "df": pa.array(df.astype(np.int64))})
+            flat, keys, sizes, places, df = flat[more], keys[more], sizes[more], places[more], df[more]
+        return pa.table({"shingle": pa.array(flat.view(np.int64)), "c": _keys16(keys), "n": pa.array(sizes.astype(np.int64)),
+                         "df": pa.array(df.astype(np.int64)), "place": pa.array(places.astype(np.int32))})
 
     return run
 
@@ -303,17 +309,21 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     hot, texts = common.shingle.to_numpy(np.int64).view(np.uint64), common.texts.to_numpy(np.int64)
     hot, texts = hot[np.argsort(hot)], texts[np.argsort(hot)]
     fragments = max(parallelism(documents), math.ceil(0.4 * total.shingles / FRAGMENT_SHINGLES))
-    shared = _postings(rows, hot, fragments).groupBy("fragment").applyInArrow(_shared_shingles(hot, texts), "shingle long, c binary, n long, df long")
+    shared = _postings(rows, hot, fragments).groupBy("fragment").applyInArrow(_shared_shingles(hot, texts), "shingle long, c binary, n long, df long, place int")
     # The most frequent shared shingles of a class come first; a class has at most prefix_length(n) of them.
-    listed = shared.groupBy("c", "n").agg(F.collect_set(F.struct("df", "shingle")).alias("s"), F.sum("df").alias("t"))
+    listed = shared.groupBy("c", "n").agg(F.collect_set(F.struct("df", "shingle", "place")).alias("s"), F.sum("df").alias("t"))
     least = F.expr(f"({PERCENT} * n + 99) div 100")
     aside = F.greatest(F.lit(1), F.expr(f"(({PERCENT} * n + 99) div 100) div 5")) - 1
     # How central a class is: the mean number of classes that hold one of its prefix shingles.
     prefix = F.col("n") - least + F.greatest(F.lit(1), F.expr("n div 5"))
-    # All but the unshared part of its prefix: the most shingles it can have in common with any other class.
-    most = F.col("n") - prefix + F.size("s")
-    kept = listed.where(most >= least).select("c", "n", most.cast("long").alias("e"), (F.col("t") / prefix).alias("w"),
-                                              F.explode(F.slice(F.sort_array("s", asc=False), (aside + 1).cast("int"), F.size("s"))).alias("s"))
+    # All but the unshared shingles in front of the spare(n) + 1st shared one: the most shingles that it can have in common
+    # with a linked class. A common shingle that has at most spare(n) common ones before it is within the partner's prefix
+    # too, however many of its own the partner has; an unshared one further back may be common and behind that prefix.
+    most = F.col("n") - (F.try_element_at(F.sort_array(F.col("s.place")), (aside + 1).cast("int")) - aside)
+    # Computed before the explode, once per class and not per shingle.
+    bounded = listed.select("c", "n", most.cast("long").alias("e"), (F.col("t") / prefix).alias("w"),
+                            F.slice(F.sort_array("s", asc=False), (aside + 1).cast("int"), F.size("s")).alias("s")).where(F.col("e") >= least)
+    kept = bounded.select("c", "n", "e", "w", F.explode("s").alias("s"))
     every = stage(spark, kept.select("c", "n", "e", "w", F.col("s.shingle").alias("shingle")), "all_blocks")
     members = every.groupBy("shingle").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
     one = members.where(F.col("k") > 1).groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
