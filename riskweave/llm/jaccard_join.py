@@ -143,7 +143,7 @@ def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
 
         for b in batches:
             for s, key in _sets(b, shingler):
-                if needed(len(s)) == len(s) or key in seen:  # so small a set has no link but to equal ones
+                if 100 * len(s) < PERCENT * (len(s) + 1) or key in seen:  # so small a set has no link but to equal ones
                     continue
                 seen.add(key)
                 if len(common):

@@ -32,3 +32,16 @@ def test_texts_with_appended_words_stay_linked(spark, monkeypatch, most_common):
     want = Counter(plain_components(rows))
     assert sum(c == 2 for c in Counter(k[2] for k in want).values()) > 100  # most are linked
     assert found(spark, rows) == want
+
+
+def test_smallest_sets_with_links(spark):
+    """Four shingles in a set of five are a link; three in a set of four are none."""
+    rng, rows = random.Random(4), []
+    for n in (5, 6, 7, 8, 9, 10):
+        words = sentence(rng, n).split()
+        for text in (words, words + ["end"], ["start"] + words):
+            rows.append((len(rows), " ".join(text), "en", "s"))
+    got = found(spark, rows)
+    assert got == Counter(plain_components(rows))
+    eight = {(9, 4, 9), (10, 5, 9), (11, 5, 9)}
+    assert eight <= set(got)
