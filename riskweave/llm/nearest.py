@@ -6,7 +6,8 @@ squared distance / squared distance is chi-square with ``M_DIMS`` degrees of fre
 deals all vectors to cells; in a cell, a smaller kd-tree gives its leaves in order of projected distance. A search
 verifies original vectors leaf by leaf and stops where the next leaf is so far in projection that a nearer vector than
 the k-th verified one would project there with a chance below 1 - ``CONFIDENCE``. The first round searches a query's
-own cell, which bounds its k-th distance; the second all other cells that the stopping radius still reaches.
+own cell, which bounds its k-th distance; the second all other cells that the stopping radius still reaches. Cells
+become more as the table grows; a task gets a bounded part of one cell's vectors and of the queries that reach it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from riskweave.sources.tables import read_table
 M_DIMS = 8  # even, so that the chi-square distribution has a closed form
 CONFIDENCE = 0.95
 CELL_ROWS = 4096
-SAMPLE_ROWS = 20_000  # the cells' tree is fitted on about so many projected vectors; all are indexed
+SAMPLE_ROWS = 20_000  # the cells' tree is fitted on about so many projected vectors, or more (below); all are indexed
+CELL_SAMPLE = 8  # projected vectors per cell that the tree is fitted on, at least
+BLOCK_ROWS = 1 << 14  # vectors of a cell that one task searches, about
+BLOCK_QUERIES = 1 << 14  # queries that it answers, about
 LEAF_ROWS = 64
 STEP_LEAVES = 8
 
@@ -163,9 +167,17 @@ def nearest(table: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
         return spark.createDataFrame([], schema)
     projection = np.random.default_rng(seed).standard_normal((size.d + 1, M_DIMS))
     plain = Index(projection, size.m, np.zeros(1, dtype=np.int64), np.zeros(1))
-    few = vectors.where(uniform_hash("q", seed=seed) * size.n < SAMPLE_ROWS).select("vec").toPandas()
-    depth = max(0, min(math.ceil(math.log2(size.n / cell_rows)), int(math.log2(max(len(few) // 8, 1)))))
-    sample = project(plain, _array(few.vec), False) if len(few) else np.zeros((0, M_DIMS))
+    dims = range(M_DIMS)
+
+    def flat(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame(project(plain, _array(f.vec), False), columns=[f"p{i}" for i in dims])
+
+    want = max(SAMPLE_ROWS, CELL_SAMPLE * math.ceil(size.n / cell_rows))
+    few = vectors.where(uniform_hash("q", seed=seed) * size.n < want).select("vec")
+    sample = few.mapInPandas(flat, ", ".join(f"p{i} double" for i in dims)).toPandas().to_numpy(dtype=float)
+    depth = max(0, min(math.ceil(math.log2(size.n / cell_rows)), int(math.log2(max(len(sample) // CELL_SAMPLE, 1)))))
     shared = spark.sparkContext.broadcast(plain._replace(**dict(zip(("axis", "split"), fit_tree(sample, depth), strict=True))))
 
     def deal(is_query: bool):
@@ -181,10 +193,11 @@ def nearest(table: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     cells = stage(spark, vectors.mapInPandas(deal(False), "vec array<float>, ids array<long>, q long, cell long, point array<double>"), "ann_cells")
     asked = queries.select("q").distinct().join(vectors.select("q", "vec"), "q")
     asked = stage(spark, asked.mapInPandas(deal(True), "q long, vec array<float>, cell long, point array<double>"), "ann_asked")
-    dims = range(M_DIMS)
-    # One row per cell: at most SAMPLE_ROWS / 8 boxes.
-    boxes = cells.groupBy("cell").agg(*[f(F.col("point")[i]).alias(f"{n}{i}") for i in dims for n, f in (("low", F.min), ("high", F.max))]).toPandas()
+    # One row per cell.
+    boxes = cells.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("point")[i]).alias(f"{n}{i}") for i in dims for n, f in (("low", F.min), ("high", F.max))]).toPandas()
     number, low, high = boxes.cell.to_numpy(), boxes[[f"low{i}" for i in dims]].to_numpy(), boxes[[f"high{i}" for i in dims]].to_numpy()
+    parts = np.ceil(boxes.n.to_numpy() / BLOCK_ROWS).astype(np.int64)
+    data = cells.select("cell", "vec", "ids", "q")
 
     def search(data: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(qs):
@@ -196,28 +209,61 @@ def nearest(table: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
                              "score": np.concatenate([s for _, s in found])})
 
     out = "q long, ids array<long>, score double"
-    data = cells.select("cell", "vec", "ids")
+
+    def answers(asking: DataFrame, counts: pd.DataFrame) -> DataFrame:
+        """Each query of ``asking`` in its cell. Rows of a cell are dealt to parts, its queries to slots (``counts``: cell,
+        queries); every part meets every slot."""
+        k_parts = pd.Series(parts, index=number)
+        table_ = pd.DataFrame({"cell": counts.cell.astype(np.int64), "parts": k_parts.reindex(counts.cell).fillna(1).astype(np.int64).to_numpy(),
+                               "slots": np.ceil(counts.queries.astype(float) / BLOCK_QUERIES).astype(np.int64)})
+        if not len(table_):
+            return spark.createDataFrame([], out)
+        blocks = spark.createDataFrame(table_)
+
+        def own(n):
+            return F.pmod(F.xxhash64(F.lit(seed + 1), "q"), F.col(n))
+
+        def every(n):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+        x = data.join(blocks, "cell").select("cell", "vec", "ids", own("parts").alias("part"), every("slots").alias("slot"))
+        y = asking.join(blocks, "cell").select("q", "vec", "cell", "bound", own("slots").alias("slot"), every("parts").alias("part"))
+        return x.groupBy("cell", "part", "slot").cogroup(y.groupBy("cell", "part", "slot")).applyInPandas(search, out)
+
     home = asked.select("q", "vec", "cell", F.lit(float("inf")).alias("bound"))
-    first = stage(spark, data.groupBy("cell").cogroup(home.groupBy("cell")).applyInPandas(search, out), "ann_home")
+    first = stage(spark, answers(home, asked.groupBy("cell").agg(F.count("*").alias("queries")).toPandas()), "ann_home")
     # The k-th distance in the home cell (infinite where it holds fewer; one more than k, as the query is among them).
-    kth = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    kth = first.groupBy("q").agg(F.count("*").alias("n"), F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("least"))
     known = asked.join(kth, "q", "left").withColumn(
         "bound", F.when(F.col("n") > k, F.greatest(F.lit(0.0), square + F.lit(size.m) - 2 * F.col("least"))).otherwise(F.lit(float("inf"))))
 
+    limit = chi_square_quantile(CONFIDENCE, M_DIMS)
+
+    def reached(f):
+        todo = []
+        for p, cell, bound in zip(f.point, f.cell, f.bound, strict=True):
+            gap = np.maximum(np.maximum(low - p, p - high), 0)
+            todo.append(number[(np.einsum("ij,ij->i", gap, gap) <= limit * bound) & (number != cell)])
+        return todo
+
+    def count(frames):
+        for f in frames:
+            cell, queries_ = np.unique(np.concatenate([number[:0], *reached(f)]), return_counts=True)
+            yield pd.DataFrame({"cell": cell, "queries": queries_})
+
     def reach(frames):
-        limit = chi_square_quantile(CONFIDENCE, M_DIMS)
         for f in frames:
-            todo = []
-            for p, cell, bound in zip(f.point, f.cell, f.bound, strict=True):
-                gap = np.maximum(np.maximum(low - p, p - high), 0)
-                todo.append(number[(np.einsum("ij,ij->i", gap, gap) <= limit * bound) & (number != cell)])
-            n = [len(t) for t in todo]
-            if sum(n):
-                yield pd.DataFrame({"q": np.repeat(f.q.to_numpy(), n), "vec": np.repeat(f.vec.to_numpy(), n),
-                                    "bound": np.repeat(f.bound.to_numpy(), n), "cell": np.concatenate(todo)})
-
-    rest = known.select("q", "vec", "cell", "point", "bound").mapInPandas(reach, "q long, vec array<float>, bound double, cell long")
-    second = data.groupBy("cell").cogroup(rest.groupBy("cell")).applyInPandas(search, out)
+            todo = reached(f)
+            n = np.array([len(t) for t in todo], dtype=np.int64)
+            # A piece at a time: a query may reach most cells.
+            for some in np.split(np.arange(len(f)), np.flatnonzero(np.diff(np.cumsum(n) // BLOCK_QUERIES)) + 1):
+                if n[some].sum():
+                    yield pd.DataFrame({"q": np.repeat(f.q.to_numpy()[some], n[some]), "vec": np.repeat(f.vec.to_numpy()[some], n[some]),
+                                        "bound": np.repeat(f.bound.to_numpy()[some], n[some]), "cell": np.concatenate([todo[i] for i in some])})
+
+    known = stage(spark, known.select("q", "vec", "cell", "point", "bound"), "ann_known")
+    counts = known.mapInPandas(count, "cell long, queries long").groupBy("cell").agg(F.sum("queries").alias("queries")).toPandas()
+    second = answers(known.mapInPandas(reach, "q long, vec array<float>, bound double, cell long"), counts)
     return expand_neighbours(first.unionByName(second), queries, k, F.desc("score"), "score")
 
 
