@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,12 @@ def parallelism(df: DataFrame) -> int:
 def scan_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle of the table's own rows: as many as its scan has, or more."""
     return max(parallelism(df), df.rdd.getNumPartitions())
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column without nulls, one after another, and where each starts (one more than texts)."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return flat, ends - ends[0]
