@@ -11,7 +11,12 @@ their document counts are summed over the corpus, and the totals come back to th
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import small_batches
+from riskweave.llm.common import ASCII_SPACE, flat_bytes, small_batches
 from riskweave.plans.registry import register
 from riskweave.sources.files import stage
 from riskweave.sources.tables import read_table
 
-PIECE_BYTES = 1_000_000  # texts that are aligned at once hold so many bytes; a longer text is aligned alone
+PIECE_BYTES = 256_000  # texts that are aligned at once hold so many bytes; a longer text is aligned alone
+MAX_WORDS = 300_000  # distinct words whose tokens a task remembers at once
 ID_BITS = 32  # a pair's key: A's id in the upper bits, B's in the lower
+# Fixed value: Unicode's white space characters, at which byte-level vocabularies split before they merge.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -38,7 +46,8 @@ def byte_level_bytes() -> dict[str, int]:
 
 
 class ByteLevelSide:
-    """Tokens of space+text by a byte-level vocabulary file; strings of special tokens are plain text."""
+    """Tokens of texts that begin with a space, by a byte-level vocabulary file; strings of special tokens are plain
+    text. Its split never joins a blank to a character before it, so words with the blanks before them stand alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,24 +61,87 @@ class ByteLevelSide:
         names |= {t["id"]: t["content"] for t in config.get("added_tokens", [])}
         self.table = [bytes(byte[c] for c in names.get(i, "")) if all(c in byte for c in names.get(i, "")) else b""
                       for i in range(max(names) + 1)]
+        split = config.get("pre_tokenizer") or {}
+        self.by_word = (config.get("normalizer") is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex"))
+                        and not split.get("add_prefix_space"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceSide:
-    """Tokens of a text by a piece model that itself puts a space before the text."""
+    """Tokens of texts that begin with a space, by a piece model that itself puts a space before what it gets. Where no
+    piece goes on from another character to a space or newline, merges stay within a word and the blanks before it."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-                      for i, p in ((i, self.model.id_to_piece(i)) for i in range(size))]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.space = self.model.piece_to_id("▁")
+        crossing = re.compile(f"[^{BLANKS}][ \n]| \n")
+        self.by_word = (b"identity" in self.model.serialized_model_proto() and self._given_back(" a  b ")
+                        and not any(crossing.search(p.replace("▁", " ")) for p in pieces))
+
+    def _given_back(self, text: str) -> bool:
+        return b"".join(self.table[i] for i in self.model.encode(text)) == b" " + text.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        found = self.model.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return [([self.space] if t == " " else ids) if t[0] == " " else ids[1:] for t, ids in zip(texts, found, strict=True)]
+
+
+def word_starts(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where words begin, each with the blanks before it: at a text's start, and at a space or newline behind a character
+    that is surely no blank (after some rare characters a word goes on, which does no harm)."""
+    blank = np.isin(flat, np.frombuffer(ASCII_SPACE, dtype=np.uint8))
+    at = np.flatnonzero(((flat[1:] == ord(" ")) | (flat[1:] == ord("\n"))) & ~blank[:-1]) + 1
+    # Blanks beyond ASCII are C2 xx, or three bytes from E1, E2 or E3 on.
+    two, three = flat[np.maximum(at - 2, 0)], flat[np.maximum(at - 3, 0)]
+    other = (flat[at - 1] >= 0x80) & ((two == 0xC2) | (three == 0xE1) | (three == 0xE2) | (three == 0xE3))
+    begins = np.zeros(len(flat), dtype=bool)
+    begins[at[~other]] = True
+    begins[starts[:-1][np.diff(starts) > 0]] = True
+    return np.flatnonzero(begins)
+
+
+class Words:
+    """The tokens of both sides of the words met so far: flat ids, and each word's start and length in them."""
+
+    def __init__(self, sides: tuple):
+        self.sides = sides
+        self.clear()
+
+    def clear(self):
+        self.number: dict[bytes, int] = {}
+        self.good = np.zeros(0, dtype=bool)
+        self.flat = [np.zeros(0, dtype=np.int32) for _ in self.sides]
+        self.start = [np.zeros(0, dtype=np.int64) for _ in self.sides]
+        self.length = [np.zeros(0, dtype=np.int64) for _ in self.sides]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words; unknown ones are encoded."""
+        fresh = [w for w in words if w not in self.number]
+        if len(self.number) + len(fresh) > MAX_WORDS and self.number:
+            self.clear()
+            fresh = words
+        if fresh:
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+            texts = [w.decode() for w in fresh]
+            good = np.ones(len(fresh), dtype=bool)
+            for k, side in enumerate(self.sides):
+                found = side.encode(texts)
+                if b"".join(map(side.table.__getitem__, itertools.chain.from_iterable(found))) != b"".join(fresh):
+                    good &= np.fromiter((b"".join(map(side.table.__getitem__, ids)) == w for ids, w in zip(found, fresh, strict=True)),
+                                        dtype=bool, count=len(fresh))
+                length = np.fromiter(map(len, found), dtype=np.int64, count=len(fresh))
+                begin = len(self.flat[k]) + np.cumsum(length) - length
+                flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(length.sum()))
+                self.flat[k] = np.concatenate([self.flat[k], flat])
+                self.start[k], self.length[k] = np.concatenate([self.start[k], begin]), np.concatenate([self.length[k], length])
+            self.good = np.concatenate([self.good, good])
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 class Aligner:
@@ -77,35 +149,46 @@ class Aligner:
 
     def __init__(self, a, b):
         self.sides = (a, b)
+        self.by_word = a.by_word and b.by_word
+        self.words = Words(self.sides)
         self.lengths = [np.array([len(t) for t in s.table], dtype=np.int64) for s in self.sides]
         # Decimal ids with the sign behind them, as a document's groups are written.
         self.marked = [[np.array([f"{i}{sign}" for i in range(len(s.table))], dtype=object) for sign in (",", end)]
                        for s, end in zip(self.sides, "|;", strict=True)]
 
-    def tokens(self, texts: list[str | None]) -> tuple[list, list]:
-        """Both sides' ids per text; none for texts that are null or empty or that a side does not give back."""
-        whole = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        found = [s.encode([t or "" for t in texts]) for s in self.sides]
-        for i, w in enumerate(whole):
-            if not w or any(b"".join(map(s.table.__getitem__, ids[i])) != w for s, ids in zip(self.sides, found, strict=True)):
-                found[0][i], found[1][i] = [], []
-        return found[0], found[1]
-
-    def align(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
+    def tokens(self, flat: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Both sides' ids of all texts (each empty, or with a space before it), and how many each text has; none for
+        texts that a side does not give back."""
+        at = word_starts(flat, starts) if self.by_word else starts[:-1][np.diff(starts) > 0]
+        edges = np.append(at, len(flat)).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(flat)]).dictionary_encode()
+        word = self.words.numbers(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        text = np.searchsorted(starts, at, side="right") - 1
+        bad = np.zeros(len(starts) - 1, dtype=bool)
+        bad[text[~self.words.good[word]]] = True
+        held = ~bad[text]
+        word, text = word[held], text[held]
+        ids, counts = [], []
+        for all_ids, start, length in zip(self.words.flat, self.words.start, self.words.length, strict=True):
+            n = length[word]
+            ids.append(all_ids[np.arange(int(n.sum())) + np.repeat(start[word] - (np.cumsum(n) - n), n)].astype(np.int64))
+            counts.append(np.bincount(text, weights=n, minlength=len(starts) - 1).astype(np.int64))
+        return ids, counts
+
+    def align(self, flat: np.ndarray, starts: np.ndarray) -> dict[str, list | np.ndarray]:
         """Columns with one value per text: n_a, n_b, n_groups, groups (as written), and the distinct linked pairs of
         every text as (pairs, links) with ``starts`` where each text's begin."""
-        ids = self.tokens(texts)
-        counts = [np.array([len(x) for x in side], dtype=np.int64) for side in ids]
-        a, b = (np.fromiter((i for x in side for i in x), dtype=np.int64, count=int(n.sum())) for side, n in zip(ids, counts, strict=True))
-        docs = [np.repeat(np.arange(len(texts)), n) for n in counts]
+        (a, b), counts = self.tokens(flat, starts)
+        n_texts = len(starts) - 1
+        docs = [np.repeat(np.arange(n_texts), n) for n in counts]
         # Positions run on from text to text; both sides' bytes of a text are the same, so both run alike.
         ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, (a, b), strict=True)]
         group_a, group_b = groups(docs, ends, [e - length[x] for e, length, x in zip(ends, self.lengths, (a, b), strict=True)])
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
         first_a, first_b = np.searchsorted(group_a, np.arange(n_groups + 1)), np.searchsorted(group_b, np.arange(n_groups + 1))
         doc_of_group = docs[0][first_a[:-1]]
-        pairs, links, pair_starts = linked_pairs((a, b), (group_a, group_b), doc_of_group, len(texts))
-        return {"n_a": counts[0], "n_b": counts[1], "n_groups": np.bincount(doc_of_group, minlength=len(texts)),
+        pairs, links, pair_starts = linked_pairs((a, b), (group_a, group_b), doc_of_group, n_texts)
+        return {"n_a": counts[0], "n_b": counts[1], "n_groups": np.bincount(doc_of_group, minlength=n_texts),
                 "groups": self._written((a, b), (group_a, group_b), (first_a, first_b), counts),
                 "pairs": pairs, "links": links, "starts": pair_starts}
 
@@ -173,6 +256,18 @@ def linked_pairs(ids, group, doc_of_group: np.ndarray, n_docs: int) -> tuple[np.
     return known[key - doc * max(len(known), 1)], link, np.searchsorted(doc, np.arange(n_docs + 1))
 
 
+def worker_aligner(sides: tuple) -> Aligner:
+    """The aligner that this Python worker keeps from task to task: vocabularies and tables, of fixed size. The words
+    that a task has met are dropped when it ends."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    kept = sys.modules.setdefault("_riskweave_worker", types.ModuleType("_riskweave_worker")).__dict__
+    key = ("aligner", *((kind.__name__, path) for kind, path in sides))
+    if key not in kept:
+        kept[key] = Aligner(*(kind(path) for kind, path in sides))
+    kept[key].words.clear()  # a task that failed leaves some
+    return kept[key]
+
+
 STAGED = ("id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, block long, row long, "
           "pair_at array<int>, links array<long>, block_pairs array<long>, block_docs array<int>")
 
@@ -188,23 +283,21 @@ def align_documents(documents: DataFrame, sides: tuple, id_col: str = "doc_id",
     Repeated rows count as a document each; null ids stay."""
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = documents.select(F.col(id_col).alias("id"), F.when(text != "", F.concat(F.lit(" "), text)).otherwise("").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = None
+        aligner = worker_aligner(sides)
         block = TaskContext.get().partitionId() << 32
         for b in batches:
             if not b.num_rows:
                 continue
-            if aligner is None:
-                aligner = Aligner(*(kind(path) for kind, path in sides))
-            texts = b.column(1).to_pylist()
-            size = np.cumsum([len(t or "") for t in texts])
+            flat, starts = flat_bytes(b.column(1))
             # Cut where the next PIECE_BYTES begin.
-            cuts = [0, *(np.flatnonzero(np.diff(size // PIECE_BYTES)) + 1).tolist(), len(texts)]
-            parts = [aligner.align(texts[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if x < y]
+            cuts = [0, *(np.flatnonzero(np.diff(starts[1:] // PIECE_BYTES)) + 1).tolist(), b.num_rows]
+            parts = [aligner.align(flat[starts[x]:starts[y]], starts[x:y + 1] - starts[x]) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if x < y]
             pairs, links = np.concatenate([p["pairs"] for p in parts]), np.concatenate([p["links"] for p in parts])
             shift = np.cumsum([0, *[len(p["pairs"]) for p in parts]])
             starts = np.concatenate([*(p["starts"][:-1] + s for p, s in zip(parts, shift, strict=False)), shift[-1:]])
@@ -222,6 +315,7 @@ def align_documents(documents: DataFrame, sides: tuple, id_col: str = "doc_id",
                  pa.array([np.bincount(at, minlength=len(known)), *lead], pa.list_(pa.int32()))],
                 names=[c.split()[0] for c in STAGED.split(", ")])
             block += 1
+        aligner.words.clear()
 
     return rows.mapInArrow(run, STAGED.format(kind=dict(rows.dtypes)["id"]))
 

@@ -18,13 +18,15 @@ from tokenizers import Tokenizer
 from riskweave.llm import alignment as A
 from riskweave.llm import fill_middle as M
 from riskweave.llm import quality_rules as Q
+from riskweave.llm.common import flat_bytes
 from riskweave.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SIDES = ((A.ByteLevelSide, BYTE), (A.PieceSide, PIECE))
 ODD = ["a <M> b\n", "<P", "x<\nS>y\n\n\nz", "\n\n\n", "no newline", "<S>", "tail <", "<|endoftext|> plain <0x41> <s> </s>", "▁ odd ▁▁",
-       "  two  spaces \n", "é ﬁ ½ Ａ", "东京都の天気 \U0001f600\U0001f600", "\x00\x01 \x7f", "aaaa" * 300, "  x   y", "# * $ % & | < >"]
+       "  two  spaces \n", "é ﬁ ½ Ａ", "东京都の天気 \U0001f600\U0001f600", "\x00\x01 \x7f", "aaaa" * 300, "  x   y", "# * $ % & | < >",
+       "a\r\n b;\r c\t\t d\t\n e", "x\u00a0 y\u2003 z\u3000\nw\u1680 v \x1c u\x1c\x1d t!\x1c!", "é è\nà \n ü\n\nñ  \n", " lead\n", "\nstart", "don't I'll  we've 12 345 !!! ..."]
 
 
 def rows():
@@ -137,6 +139,19 @@ def test_alignment_matches_plain_version(spark, monkeypatch, piece):
     assert Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got) == want
 
 
+def test_word_wise_tokens_are_those_of_whole_texts():
+    sides = tuple(kind(path) for kind, path in SIDES)
+    assert all(s.by_word for s in sides)
+    aligner = A.Aligner(*sides)
+    texts = [" " + t for _, t, _, _ in short(rows()) if t]
+    flat, starts = flat_bytes(pa.array(texts))
+    assert len(A.word_starts(flat, starts)) > 5 * len(texts)
+    (a, b), counts = aligner.tokens(flat, starts)
+    for side, ids, n in zip(sides, (a, b), counts, strict=True):
+        for text, upto, k in zip(texts, np.cumsum(n), n, strict=True):
+            assert k == 0 and "▁" in text or ids[upto - k:upto].tolist() == side.encode([text])[0]
+
+
 def test_alignment_of_long_text_and_nothing(spark):
     rng = random.Random(1)
     text = sentence(rng, 60_000)
