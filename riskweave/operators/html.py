@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import constants as C
+from riskweave.operators.filings import with_section_html
 
 # FIXED VALUES: markup rules for the precision-first main-text extraction.
 HTML_BODY_RE = r"(?is)<html.*?>(.*?)</html>"
@@ -19,6 +20,7 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 DROP_BLOCKS = ("head", "script", "style", "table", "nav", "header", "footer", "aside", "noscript")
 AD_BLOCK_RE = r"""(?is)<div[^>]*class="[^"]*\b(ad|ads|advert|banner|promo)\b[^"]*"[^>]*>.*?</div\s*>"""
 BREAK_RE = r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|article|section|tr|blockquote)\s*>"
+BLOCK_OPEN_RE = r"(?i)<(p|div|h[1-6]|li|article|section|tr|blockquote)\b"
 TAG_RE = r"<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -80,54 +82,20 @@ def extract_section(df: DataFrame, html_col: str, start: Sequence[str], end: Seq
               .withColumn("is_short", (F.col("status") == 0) & (F.length(out) < C.SHORT_SECTION_CHARS)))
 
 
-HEADING_DROP_RE = r"[.:,;]"
-
-
-def clean_heading(line: Column) -> Column:
-    """a line as it is compared with heading patterns: without ``. : , ;``, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, HEADING_DROP_RE, ""), r"[\s\u00A0]+", " "))
-
-
-def page_lines(html: Column) -> Column:
-    """All lines of a page: block ends are line breaks, tags go, entities are decoded. Tables stay (filings
-    put headings into them), their cells joined by blanks."""
-    x = F.regexp_replace(html, COMMENT_RE, "")
-    for tag in ("head", "script", "style"):
-        x = F.regexp_replace(x, drop_block_re(tag), "")
-    x = F.regexp_replace(x, r"[\r\n]+", " ")
-    x = F.regexp_replace(F.regexp_replace(x, BREAK_RE, "\n"), r"(?i)</t[dh]\s*>", " ")
-    x = F.regexp_replace(x, TAG_RE, "")
-    for ent, ch in (("&#160;", " "), *ENTITIES):
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, INLINE_WS_RE, " ")))
-
-
 def extract_filing_section(df: DataFrame, html_col: str, key: str, start: Sequence[str] = C.SECTION_START_PATTERNS,
                            end: Sequence[str] = C.SECTION_END_PATTERNS, out: str = "section") -> DataFrame:
-    """T6 for filings: the lines between a heading line that matches a ``start`` pattern whole and the next
-    one that matches an ``end`` pattern whole (case-insensitive, headings cleaned first). Of several starts
-    the last that has an end after it counts, so a table of contents or a mention in prose is never the
-    section. ``status``, ``out`` and ``is_short`` as in ``extract_section``; ``error`` tells what is missing."""
-    def whole(patterns):
-        return "(?i)^(?:" + "|".join(patterns) + ")$"
-
-    ok_body = F.coalesce(has_html_body(F.col(html_col)), F.lit(False))
-    d = df.withColumn("_lines", F.when(ok_body, page_lines(F.col(html_col))).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_heads", F.transform("_lines", clean_heading))
-    at = lambda pats: F.filter(F.transform("_heads", lambda s, i: F.when(s.rlike(whole(pats)), i)), lambda i: i.isNotNull())
-    d = d.withColumn("_starts", at(start)).withColumn("_ends", at(end))
-    d = d.withColumn("_start", F.array_max(F.filter("_starts", lambda i: i < F.array_max("_ends"))))
-    d = d.withColumn("_end", F.array_min(F.filter("_ends", lambda i: i > F.col("_start"))))
-    text = F.array_join(F.filter(F.slice("_lines", F.col("_start") + 2, F.greatest(F.col("_end") - F.col("_start") - 1, F.lit(0))),
-                                 lambda s: s != ""), "\n")
-    found = F.col("_start").isNotNull()
-    error = (F.when(~ok_body, "no html body").when(F.size("_starts") == 0, "no start heading")
-             .when(~found, "no end heading after a start"))
+    """T6 for filings: the text between the last heading that matches a ``start`` pattern whole and the next one that
+    matches an ``end`` pattern whole (case-insensitive, headings cleaned first), wherever a heading's element is nested
+    (``operators/filings.py``). ``status``, ``out`` and ``is_short`` as in ``extract_section``; ``error`` tells what is
+    missing. A null page has no body; other columns stay."""
+    d = with_section_html(df, html_col, start, end, "_section_html", "error")
+    found = F.col("error").isNull()
+    # A line break inside markup is white space; a block begins a line also where the one before was left open.
+    text = html_to_text(F.regexp_replace(F.regexp_replace("_section_html", r"[\r\n]+", " "), BLOCK_OPEN_RE, "\n$0"))
     failed = F.concat(F.lit("<FAILED>"), F.col(key).cast("string"), F.lit("</FAILED>"))
-    return (d.withColumn("status", F.when(found, F.lit(0)).otherwise(F.lit(1))).withColumn("error", error)
+    return (d.withColumn("status", F.when(found, F.lit(0)).otherwise(F.lit(1)))
             .withColumn(out, F.when(found, text).otherwise(failed))
-            .withColumn("is_short", found & (F.length(out) < C.SHORT_SECTION_CHARS))
-            .drop("_lines", "_heads", "_starts", "_ends", "_start", "_end"))
+            .withColumn("is_short", found & (F.length(out) < C.SHORT_SECTION_CHARS)).drop("_section_html"))
 
 
 def merge_paragraphs(c: Column) -> Column:

@@ -150,3 +150,53 @@ def bag_vectors(embeddings: DataFrame) -> DataFrame:
     top = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= BAG_SIZE)
     return top.join(embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(
         F.col("label").alias("topic"), "vec_id", "vector")
+
+
+# Raw-filing role of pages: filing dates, and the article between headings in one of these markups (by page number;
+# two more numbers have no start, and no end, heading).
+FIRST_FILED_YEAR, FILED_YEARS = 2002, 31
+ARTICLE_RE = r"(?is)<article>(.*?)</article>"
+HEADING_FORMS = (
+    "<p>{0} {1}</p>", "<div><b>{0}</b> <b>{1}</b></div>", "<p>{0}<br>{1}</p>", "<div><p>{0}</p><p>{1}</p></div>",
+    "<p><b>{0}&#xA0;&nbsp;{1}</b></p>", "<font size=2>{0} {1}</font>", "<table><tr><td>{0}</td><td> {1}:</td></tr></table>",
+)
+START_HEADING, END_HEADING = ("Item 1A.", "Risk Factors"), ("ITEM 1B.", "Unresolved Staff Comments")
+CONTENTS = ("<table><tr><td>Item 1A.</td><td>Risk Factors</td><td>7</td></tr><tr><td>Item 1B. Unresolved Staff Comments</td></tr></table>"
+            "<p>Item 1A. Risk Factors</p><div>Item 2. Properties</div><p>Business as in <b>Item 2</b> and elsewhere.</p>")
+
+
+def filing_pages(t: Tables) -> DataFrame:
+    """pages as filings: ``page_id, html``: contents, a heading, the page's article, the next heading. Pages without
+    ``</html>`` stay without it."""
+    p = t.pages.select("page_id", "html")
+    n = len(HEADING_FORMS)
+    form = F.col("page_id") % (n + 2)
+
+    def heading(words):
+        return F.element_at(F.array(*[F.lit(f.format(*words)) for f in HEADING_FORMS]), (form % n + 1).cast("int"))
+
+    start = F.when(form == n, "<h1>Risks</h1>").otherwise(heading(START_HEADING))
+    contents = F.when(form >= n, "<p>No contents.</p>").otherwise(F.lit(CONTENTS))
+    end = F.when(form == n + 1, "<p>The end.</p>").otherwise(heading(END_HEADING))
+    body = F.concat(F.lit("<html><body>"), contents, start, F.lit("\n"), F.regexp_extract("html", ARTICLE_RE, 1), end,
+                    F.lit("<p>None.</p></body>"))
+    return p.select("page_id", F.concat(body, F.when(F.col("html").rlike("(?i)</html>"), "</html>").otherwise("")).alias("html"))
+
+
+def filed_pages(t: Tables) -> DataFrame:
+    """pages as filings of a firm (the site) on a date: ``page_id, symbol, filed ('yyyyMMdd'), html``."""
+    site = F.regexp_extract("url", r"([a-z0-9-]+)\.example\.", 1)
+    filed = F.concat((F.lit(FIRST_FILED_YEAR) + F.col("page_id") % FILED_YEARS).cast("string"),
+                     F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15"))
+    return t.pages.select("page_id", F.coalesce(F.when(site != "", site), F.lit("none")).alias("symbol"), filed.alias("filed"), "html")
+
+
+def filings_with_header(t: Tables) -> DataFrame:
+    """pages with a header block before them: ``page_id, raw``."""
+    def line(name, value):
+        return F.concat(F.lit(name + ":\t\t"), value, F.lit("\n"))
+
+    return filed_pages(t).select("page_id", F.concat(
+        F.lit("<SEC-HEADER>\n"), line("ACCESSION NUMBER", F.col("page_id").cast("string")), line("CONFORMED SUBMISSION TYPE", F.lit("10-K")),
+        line("FILED AS OF DATE", F.col("filed")), line("  COMPANY CONFORMED NAME", F.col("symbol")), line("FILED AS OF DATE", F.lit("19000101")),
+        F.lit("no field here\n</SEC-HEADER>\n"), F.coalesce("html", F.lit(""))).alias("raw"))

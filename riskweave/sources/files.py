@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +53,32 @@ def read_json(spark: SparkSession, path_or_glob: str, schema: T.StructType, mult
     return spark.read.schema(schema).option("multiLine", multiline).json(path_or_glob)
 
 
-def read_html_files(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Whole HTML files as ``(path, html)`` rows — one row per file."""
-    return (spark.read.option("wholetext", True).text(path_glob)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))
+# FIXED VALUES: the layout of a filings folder (symbol, form, filing date) and the years whose filings have the section.
+FILING_PATH_RE = r"/([^/]+)/10-K/(20[0-9]{2})([0-9]{2})[0-9]+/"
+FIRST_FILING_YEAR, LAST_FILING_YEAR = 2006, 2029
+
+
+def read_html_files(spark: SparkSession, path_glob: str, path_re: str = FILING_PATH_RE, first_year: int = FIRST_FILING_YEAR,
+                    last_year: int = LAST_FILING_YEAR) -> DataFrame:
+    """Whole HTML files as ``(path, symbol, year, month, html)``, one row per file. ``path_re`` has the symbol, the
+    year and the month as groups; files with other paths or of other years are never opened: the conditions are on the
+    files' paths alone, so the scan drops them when it lists its files."""
+    path = F.col("_metadata.file_path")
+    year = F.regexp_extract(path, path_re, 2)
+    files = spark.read.text(path_glob, wholetext=True).where(
+        path.rlike(path_re) & (year >= F.lit(str(first_year))) & (year <= F.lit(str(last_year))))
+    return files.select(path.alias("path"), F.regexp_extract(path, path_re, 1).alias("symbol"), year.cast("int").alias("year"),
+                        F.regexp_extract(path, path_re, 3).cast("int").alias("month"), F.col("value").alias("html"))
+
+
+def write_html_files(df: DataFrame, path: str, html_col: str, by: Sequence[str]) -> None:
+    """One file per row, in folders ``name=value`` of the ``by`` columns, which together are a key."""
+    df.select(*by, F.col(html_col).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
+    """A Parquet folder per value of ``by``; a rerun replaces only the folders of values it has rows for."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:

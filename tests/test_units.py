@@ -247,3 +247,80 @@ def test_filing_section_by_whole_heading_lines(spark):
     assert [(got[i].status, got[i].error) for i in (2, 3, 4, 5, 7)] == [
         (1, "no end heading after a start"), (1, "no start heading"), (1, "no html body"), (1, "no html body"), (1, "no end heading after a start")]
     assert got[6].section == "a.b" and got[6].is_short and got[5].section == "<FAILED>5</FAILED>"
+
+
+def test_filing_section_in_every_kind_of_heading(spark):
+    forms = ["<p>Item 1A. Risk Factors</p>", "<div><b>Item 1A.</b> <b>Risk Factors</b></div>", "<p>Item 1A.<br>Risk Factors</p>",
+             "<div><p>Item 1A.</p><p>Risk Factors</p></div>", "<p><b>ITEM&#xA0;1A.&nbsp;Risk&#160;Factors</b></p>",
+             "<font size=2>Item 1A. Risk Factors</font>", "<table><tr><td>Item 1A.</td><td> Risk Factors:</td></tr></table>",
+             "<B>Item 1A. Risk Factors</B> ", "<p><!-- x -->Item 1A.<script>var p='<p>';</script> Risk Factors"]
+    ends = [f.replace("1A", "1B").replace("Risk&#160;Factors", "Unresolved Staff Comments").replace("Risk Factors", "Unresolved Staff Comments") for f in forms]
+    rows = [(i * 10 + j, f"<html><p>Item 1A Risk Factors, in short</p>{f}<p>We may see <b>Item 1A. Risk Factors</b> again.\n<p>A &lt; B</p>{e}<p>No.</html>")
+            for i, f in enumerate(forms) for j, e in enumerate(ends)]
+    got = H.extract_filing_section(spark.createDataFrame(rows, "id int, html string"), "html", "id").collect()
+    assert len(got) == 81
+    assert {(r.section, r.status, r.error) for r in got} == {("We may see Item 1A. Risk Factors again.\nA < B", 0, None)}
+
+
+def test_heading_positions_and_long_elements():
+    import regex
+    from riskweave.operators.filings import clean_heading, heading_elements
+    kinds = {"start": regex.compile(r"item 1a ?risk factors \(.*?\)", regex.I | regex.S)}
+    page = f"<div><p>Item 1A: Risk Factors (as {'very ' * 200}long)</p></div><p>Item 1A Risk Factors (open {'x ' * 400}"
+    assert [page[a:b][:5] for _, a, b in heading_elements(page, kinds)] == ["<p>It", "<div>"]
+    assert heading_elements("", kinds) == [] and heading_elements("</p></b><", kinds) == []
+    assert clean_heading(" Item\u00a01A.:\n Risk, Factors; ") == "Item 1A Risk Factors"
+
+
+def test_header_fields(spark):
+    from riskweave.operators.filings import filing_headers
+    raw = "x\n<SEC-HEADER>\r\nFILED AS OF DATE:\t\t20070115\r\n  Conformed submission-type: 10-K/A \nTIME: 10:30\nFILED AS OF DATE: 1\n: y\n</SEC-HEADER>"
+    rows = [(1, raw), (2, "no block"), (3, None), (4, "<sec-header>FILED AS OF DATE: soon</sec-header>"), (5, "<SEC-HEADER></SEC-HEADER>")]
+    got = {r.id: r for r in filing_headers(spark.createDataFrame(rows, "id int, raw string"), "raw").collect()}
+    assert got[1].fields == {"FILED_AS_OF_DATE": "20070115", "CONFORMED_SUBMISSION_TYPE": "10-K/A", "TIME": "10:30"}
+    assert (got[1].form, str(got[1].filed)) == ("10-K/A", "2007-01-15")
+    assert got[2].fields is None and got[3].fields is None and got[4].filed is None and got[5].fields == {}
+
+
+def test_only_filing_dates_with_rows_are_replaced(spark, tmp_path):
+    from riskweave.sources.files import overwrite_partitions
+    path = str(tmp_path / "by_date")
+    overwrite_partitions(spark.createDataFrame([("a", 1), ("b", 2)], "filed string, v int"), path, "filed")
+    overwrite_partitions(spark.createDataFrame([("b", 3), ("c", 4)], "filed string, v int"), path, "filed")
+    assert sorted((r.filed, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_html_files_of_other_years_are_not_opened(spark, tmp_path):
+    from riskweave.sources.files import read_html_files
+    for symbol, form, filed in (("ABC", "10-K", "20070301"), ("ABC", "10-K", "20050301"), ("X-Y", "10-K", "20291231"), ("X-Y", "10-K", "20300101"),
+                                ("X-Y", "20-F", "20100101")):
+        d = tmp_path / "filings" / symbol / form / filed
+        d.mkdir(parents=True)
+        (d / "page.htm").write_text(f"<html>\n{symbol} {filed}\n</html>\n")
+    df = read_html_files(spark, f"{tmp_path}/filings/*/*/*/*.htm")
+    got = sorted((r.symbol, r.year, r.month, r.html) for r in df.collect())
+    assert got == [("ABC", 2007, 3, "<html>\nABC 20070301\n</html>\n"), ("X-Y", 2029, 12, "<html>\nX-Y 20291231\n</html>\n")]
+    assert read_html_files(spark, f"{tmp_path}/filings/*/*/*/*.htm", first_year=2005, last_year=2005).count() == 1
+    # Listed but not opened: a file of another year that vanishes before the scan is not missed, one of these years is.
+    df = read_html_files(spark, f"{tmp_path}/filings/*/*/*/*.htm")
+    (tmp_path / "filings/ABC/10-K/20050301/page.htm").unlink()
+    (tmp_path / "filings/X-Y/20-F/20100101/page.htm").unlink()
+    assert df.count() == 2
+    (tmp_path / "filings/ABC/10-K/20070301/page.htm").unlink()
+    with pytest.raises(Exception, match="(?i)does not exist|FILE_NOT_EXIST"):
+        df.collect()
+
+
+@pytest.mark.parametrize("blocked", ["xxhash", "riskweave.llm", "corpus_pipeline", "tokenizers"])
+def test_core_queries_without_training_data_modules(blocked):
+    """With a module missing, the library's own queries are registered all the same."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.modules[{blocked!r}] = None; sys.path.insert(0, {root!r}); import __spark_entry__ as e; "
+            "from riskweave.plans.registry import load_all, QUERIES; load_all(); n = len(QUERIES); "
+            "q = e.queries(); assert len(q) >= n and set(e.oracle_sql()) <= set(q); print('ok', n > 80)")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/", timeout=120)
+    assert done.stdout.split() == ["ok", "True"], done.stderr
+
