@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so their ``@register`` calls run."""
     from riskweave.plans import (  # noqa: F401
-        q_text, q_relational, q_lexicon, q_tagging, q_rank, q_stats, q_html, q_filings, q_ml, q_io,
+        q_text, q_relational, q_lexicon, q_tagging, q_rank, q_stats, q_html, q_filings, q_utterances, q_ml, q_io,
     )

@@ -14,6 +14,7 @@ from riskweave import constants as C
 from riskweave.functions.misc import md5_int
 from riskweave.functions.text import stopword_share
 from riskweave.operators import text as TX
+from riskweave.sources.files import stage
 from riskweave.sources.tables import Tables
 
 # The documents → filings role (FIXTURES.md B).
@@ -30,6 +31,9 @@ LEXICON_TOP = 20
 LEXICON_MIN_LEN = 4
 CLUSTERS = tuple(f"cluster{i}" for i in range(N_TOPICS))
 PILLARS = tuple(f"pillar{i}" for i in range(N_PILLARS))
+# Bag role: the labels of embeddings as topics.
+N_LABELS = 10
+LABEL_CLUSTERS = tuple(f"label{i}" for i in range(N_LABELS))
 # MaxSim match threshold suited to this vector fixture (API default stays 0.9).
 FIXTURE_MATCH_THRESH = 0.25
 FIXTURE_MAXSIM_TAG_THRESH = 0.5
@@ -120,6 +124,19 @@ def topic_token_counts(t: Tables, spark: SparkSession, names=CLUSTERS) -> DataFr
     return tok.groupBy(topic.alias("topic_num"), "token").count()
 
 
+def lexicon_counts(t: Tables, spark: SparkSession) -> DataFrame:
+    """``source, token, count`` over all documents, staged: the lexicons of any topic names come from it, so that the
+    documents' tokens are read once."""
+    tok = doc_tokens(t, spark).where(F.length("token") >= LEXICON_MIN_LEN)
+    return stage(spark, tok.groupBy("source", "token").count(), "lexicon_counts")
+
+
+def lexicon_from_counts(counts: DataFrame, names=CLUSTERS) -> DataFrame:
+    """``topic_lexicon`` from ``lexicon_counts``."""
+    topic = (md5_int(F.coalesce("source", F.lit(""))) % len(names)).cast("int")
+    return lexicon_of(counts.groupBy(topic.alias("topic_num"), "token").agg(F.sum("count").alias("count")), names)
+
+
 def lexicon_of(counts: DataFrame, names=CLUSTERS) -> DataFrame:
     w = Window.partitionBy("topic_num").orderBy(F.desc("count"), F.asc("token"))
     top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= LEXICON_TOP)
