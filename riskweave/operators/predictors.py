@@ -42,6 +42,35 @@ def make_maxsim_tagger(bag_vectors: DataFrame, vectors_for: Callable[[DataFrame]
     return tag
 
 
+def bag_words(bags: DataFrame, topic_col: str = "topic_num", word_col: str = "keyword", lemmas: DataFrame | None = None) -> DataFrame:
+    """V1: the words of topic bags as ``topic, token``: bag entries (words or phrases) tokenised as texts are, each word
+    once per topic."""
+    words = TX.tokens(bags.select(F.col(topic_col).alias("topic"), F.col(word_col).alias("_phrase")), ["topic"], text_col="_phrase", lemmas=lemmas)
+    return words.distinct()
+
+
+def make_word_bag_tagger(bags: DataFrame, vectors_for: Callable[[DataFrame], DataFrame], thresh_matching: float = C.MAXSIM_MATCH_DEFAULT,
+                         topic_col: str = "topic_num", word_col: str = "keyword", stopwords=None, lemmas=None) -> Tagger:
+    """V1 from words: bag words are looked up in the word vectors like a text's own words; words without a vector take no
+    part, and a bag of such words scores 0 everywhere. ``return_all_scores`` gives ``keys, scores``: one row per sentence,
+    a score for every topic of ``bags`` in ascending order (0: no match)."""
+    words = bag_words(bags, topic_col, word_col, lemmas)
+    bank = TG.bank_of(words.join(vectors_for(words), "token").select("topic", "vector"), "topic", "vector")
+    topics = sorted(r[0] for r in bags.select(topic_col).distinct().collect())  # the topics' names, as many as bags
+
+    def tag(df: DataFrame, keys: Sequence[str], text_col: str = "sentence", thresh: float = C.MAXSIM_TAG_DEFAULT,
+            return_all_scores: bool = False) -> DataFrame:
+        toks = _tokens(df, keys, text_col, stopwords, lemmas)
+        scores = TG.maxsim_scores(toks, TG.maxsim_table(vectors_for(toks), bank, thresh_matching), keys)
+        if not return_all_scores:
+            return TG.tags_from_scores(df.select(*keys), scores, keys, thresh)
+        per = scores.groupBy(*keys).agg(*[F.sum(F.when(F.col("topic") == t, F.col("score"))).alias(f"_s{i}") for i, t in enumerate(topics)])
+        out = df.select(*keys).join(per, list(keys), "left")
+        return out.select(*keys, F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(len(topics))]).alias("scores"))
+
+    return tag
+
+
 def make_tfidf_tagger(lexicon: DataFrame, stopwords=None, lemmas=None, argmax_fallback: bool = False) -> Tagger:
     """TF-IDF cosine against bags; optional argmax fallback below the threshold."""
     weights = LX.tfidf_weights(lexicon)

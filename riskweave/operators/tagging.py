@@ -134,6 +134,12 @@ def mean_vectors(rows: DataFrame, keys: Sequence[str], vec_col: str) -> DataFram
     return rows.groupBy(*keys).agg(vector_to_array(mean).alias(vec_col))
 
 
+def weighted_mean_vectors(rows: DataFrame, keys: Sequence[str], vec_col: str, weight_col: str) -> DataFrame:
+    """Mean vector per key, each row with its weight (a token's vector is joined once per key, not per occurrence)."""
+    mean = Summarizer.mean(array_to_vector(F.col(vec_col)), F.col(weight_col).cast("double"))
+    return rows.groupBy(*keys).agg(vector_to_array(mean).alias(vec_col))
+
+
 def maxsim_scores(sent_tokens: DataFrame, token_topic: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Steps 2-3 of MaxSim: every token occurrence adds its word's maxsim to the topic score.
 

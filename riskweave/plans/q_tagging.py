@@ -8,18 +8,21 @@ from riskweave import constants as C
 from riskweave.functions import vectors as V
 from riskweave.functions.misc import round6
 from riskweave.operators import lexicon as LX
+from riskweave.operators import predictors as PR
 from riskweave.operators import tagging as TG
 from riskweave.operators import text as TX
 from riskweave.plans import roles as R
 from riskweave.plans import sqlfrag as S
 from riskweave.plans.registry import register
 from riskweave.session import checkpoint_dir
+from riskweave.sources.files import stage
 from riskweave.sources.tables import Tables
 
 KEYS = ["doc_id", "sent_pos"]
 # FIXED VALUES: fixture thresholds (vectors here are unit-length, same-label cosine ≈ 0.3).
 MAXSIM_MATCH = R.FIXTURE_MATCH_THRESH
 MAXSIM_TAG = 1.5
+BAG_MATCH, BAG_TAG = 0.35, 1.5
 DENSE_TAG = 0.3
 TOP_K = 5
 
@@ -128,6 +131,39 @@ def maxsim_topic_tags(spark, sf_dir):
     return _tags_out(TG.tags_from_scores(sent.select(*KEYS), sc, KEYS, MAXSIM_TAG))
 
 
+_BAGS = S.with_ctes(["sent_tokens", "lex_trim", "lemmas", "sentences"]).rstrip() + f""",
+bw AS (SELECT DISTINCT b.topic, coalesce(l.lemma, b.t) AS token FROM (SELECT topic_num AS topic, unnest({S.raw_tokens('keyword')}) AS t FROM lex_trim) b
+       LEFT JOIN lemmas l ON b.t = l.word),
+av AS (SELECT token, e.embedding::DOUBLE[] AS v, sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS n FROM
+       (SELECT token, {S.md5_int('token')} % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT token FROM sent_tokens UNION SELECT token FROM bw))
+       JOIN embeddings e USING (vec_id)),
+tt AS (SELECT w.token, bw.topic, max(round(list_dot_product(w.v, b.v) / (w.n * b.n), 10)) AS maxsim FROM (SELECT DISTINCT token FROM sent_tokens) s
+       JOIN av w USING (token), bw JOIN av b ON bw.token = b.token GROUP BY 1, 2
+       HAVING max(round(list_dot_product(w.v, b.v) / (w.n * b.n), 10)) > {BAG_MATCH}),
+sc AS (SELECT t.doc_id, t.sent_pos, tt.topic, sum(tt.maxsim) AS score FROM sent_tokens t JOIN tt USING (token) GROUP BY 1, 2, 3),
+tp AS (SELECT DISTINCT topic_num AS topic FROM lex_trim)
+"""
+
+
+@register("maxsim_word_bags", _BAGS + f"""
+SELECT doc_id, sent_pos::BIGINT AS sent_pos, array_to_string(list(topic ORDER BY topic) FILTER (WHERE score > {BAG_TAG}), ',') AS tags,
+       list(round(coalesce(score, 0)::DECIMAL(38,10), 6)::DOUBLE ORDER BY topic) AS scores
+FROM (SELECT s.doc_id, s.sent_pos, tp.topic, sc.score FROM sentences s CROSS JOIN tp LEFT JOIN sc USING (doc_id, sent_pos, topic)) GROUP BY 1, 2""")
+def maxsim_word_bags(spark, sf_dir):
+    """V1 + V7: MaxSim against bags of words (the trimmed lexicon): every topic's score for every sentence, and the topics
+    above the threshold."""
+    t = Tables(spark, sf_dir)
+    sent = R.filing_sentences(t).select(*KEYS, "sentence")
+    lex = stage(spark, LX.trim(R.topic_lexicon(t, spark)).select("topic_num", "keyword"), "lexicon")
+    topics = F.array(*[F.lit(r[0]) for r in lex.select("topic_num").distinct().orderBy("topic_num").collect()])
+    tag = PR.make_word_bag_tagger(lex, lambda tokens: R.word_vectors(tokens, t.embeddings), BAG_MATCH,
+                                  stopwords=R.stopwords_df(spark), lemmas=R.lemmas_df(spark))
+    out = tag(sent, KEYS, return_all_scores=True)
+    hit = F.filter(F.transform("scores", lambda x, i: F.when(x > BAG_TAG, F.get(topics, i))), lambda x: x.isNotNull())
+    return out.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"),
+                      F.when(F.size(hit) > 0, F.array_join(hit, ",")).alias("tags"), F.transform("scores", round6).alias("scores"))
+
+
 @register("tfidf_weights", _TFIDF + f"SELECT topic, term, {S.round6('weight')} AS weight FROM wts")
 def tfidf_weights(spark, sf_dir):
     """Bag TF-IDF weights (smooth idf with +1, L2 norm per bag)."""
