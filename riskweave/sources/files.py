@@ -6,7 +6,9 @@ written to a machine-local folder on a cluster.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -86,16 +88,33 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def input_key(spark: SparkSession, df: DataFrame) -> str:
+    """A key of what ``df`` would give now: its optimised plan (without expression numbers) and the path, length and
+    modification time of every file it reads, listed once per folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    plan = re.sub(r"#\d+L?|\bplan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    wanted = set(df.inputFiles())
+    known = {}
+    for folder in sorted({w.rsplit("/", 1)[0] for w in wanted}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for f in path.getFileSystem(conf).listStatus(path):
+            known[f.getPath().toUri().getRawPath()] = f"{f.getLen()} {f.getModificationTime()}"
+    files = sorted(f"{w} {known.get(jvm.java.net.URI(w).getRawPath())}" for w in wanted)
+    return hashlib.sha256("\n".join([plan, *files]).encode()).hexdigest()[:24]
+
+
 def load_or_build(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Reuse a staged Parquet table when it is complete (its success marker is there), otherwise
     build, write and reuse it. A folder without the marker is a write that broke off and is replaced; any
-    other error surfaces. The name must tell the inputs: a stage is reused whatever ``build`` would give now.
+    other error surfaces. A stage is that of ``build``'s plan and of the files it reads as they are now
+    (``input_key``): another plan or changed files make another stage; Python functions count by name only.
 
     Writing the stage also cuts the lineage for everything downstream."""
-    path = os.path.join(root, name)
+    df = build()
+    path = os.path.join(root, name, input_key(spark, df))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

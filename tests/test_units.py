@@ -219,12 +219,38 @@ def test_one_lemma_per_word_and_one_id_per_name(spark):
 def test_stage_without_success_marker_is_rebuilt(spark, tmp_path):
     import os
     from riskweave.sources.files import load_or_build
-    root = str(tmp_path)
-    one = lambda: spark.range(3)
-    assert load_or_build(spark, root, "s", one).count() == 3
-    assert load_or_build(spark, root, "s", lambda: spark.range(9)).count() == 3  # reused
-    os.remove(f"{root}/s/_SUCCESS")
-    assert load_or_build(spark, root, "s", lambda: spark.range(9)).count() == 9
+    root, built = str(tmp_path), []
+
+    def ids(values):
+        def build():
+            built.append(values)
+            return spark.createDataFrame([(v,) for v in values], "v int")
+        return build
+
+    src = str(tmp_path / "src")
+    ids([1, 2, 3])().write.parquet(src)
+    read = lambda: spark.read.parquet(src).where("v > 1")
+    first = load_or_build(spark, root, "s", read)
+    [folder] = first.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[:1]
+    before = os.stat(f"{folder}/_SUCCESS").st_mtime_ns
+    assert load_or_build(spark, root, "s", read).count() == 2 and os.stat(f"{folder}/_SUCCESS").st_mtime_ns == before  # reused
+    os.remove(f"{folder}/_SUCCESS")
+    assert load_or_build(spark, root, "s", read).count() == 2 and os.path.exists(f"{folder}/_SUCCESS")  # rebuilt
+
+
+def test_stage_follows_its_inputs_and_plan(spark, tmp_path):
+    from riskweave.sources.files import input_key, load_or_build
+    src, root = str(tmp_path / "in put"), str(tmp_path / "stages")
+    spark.range(3).write.parquet(src)
+    read = lambda n=0: spark.read.parquet(src).where(f"id >= {n}")
+    assert input_key(spark, read()) == input_key(spark, read()) != input_key(spark, read(1))
+    assert load_or_build(spark, root, "s", read).count() == 3
+    assert load_or_build(spark, root, "s", lambda: read(1)).count() == 2  # another plan
+    spark.range(9).write.mode("overwrite").parquet(src)
+    assert load_or_build(spark, root, "s", read).count() == 9  # another input
+    spark.range(9, 10).write.mode("append").parquet(src)
+    assert load_or_build(spark, root, "s", read).count() == 10
+    assert load_or_build(spark, root, "s", read).count() == 10
 
 
 def test_vector_text_keeps_one_dimensional_rows(spark, tmp_path):
