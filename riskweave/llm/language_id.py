@@ -99,7 +99,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     language usually are. Only the text takes part."""
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # a few centroids of fixed length per language
+    shared = spark.sparkContext.broadcast(tuple(model))  # a few centroids of fixed length per language
     rows = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("_read_text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

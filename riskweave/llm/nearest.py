@@ -178,14 +178,16 @@ def nearest(table: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     few = vectors.where(uniform_hash("q", seed=seed) * size.n < want).select("vec")
     sample = few.mapInPandas(flat, ", ".join(f"p{i} double" for i in dims)).toPandas().to_numpy(dtype=float)
     depth = max(0, min(math.ceil(math.log2(size.n / cell_rows)), int(math.log2(max(len(sample) // CELL_SAMPLE, 1)))))
-    shared = spark.sparkContext.broadcast(plain._replace(**dict(zip(("axis", "split"), fit_tree(sample, depth), strict=True))))
+    # A plain tuple: workers need not be able to import this module.
+    shared = spark.sparkContext.broadcast((projection, size.m, *fit_tree(sample, depth)))
 
     def deal(is_query: bool):
         def run(frames):
             for f in frames:
                 if len(f):
-                    p = project(shared.value, _array(f.vec), is_query)
-                    f["cell"] = cell_of(shared.value, p)
+                    index = Index(*shared.value)
+                    p = project(index, _array(f.vec), is_query)
+                    f["cell"] = cell_of(index, p)
                     f["point"] = list(p)
                     yield f
         return run
@@ -203,7 +205,7 @@ def nearest(table: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
         if not len(data) or not len(qs):
             return pd.DataFrame({"q": pd.Series(dtype=np.int64), "ids": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
         ids = data.ids.to_numpy()
-        found = search_cell(shared.value, np.array([i[0] for i in ids]), _array(data.vec), _array(qs.vec), qs.bound.to_numpy(), k + 1)
+        found = search_cell(Index(*shared.value), np.array([i[0] for i in ids]), _array(data.vec), _array(qs.vec), qs.bound.to_numpy(), k + 1)
         n = [len(r) for r, _ in found]
         return pd.DataFrame({"q": np.repeat(qs.q.to_numpy(), n), "ids": [list(ids[i]) for r, _ in found for i in r],
                              "score": np.concatenate([s for _, s in found])})

@@ -100,13 +100,14 @@ def tail_cuts(start: int, stop: int, length: int = LENGTH) -> list[int]:
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """One row per piece of a document in a sequence: id_col, start (ids of its document before it), length,
     ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (in its sequence).
 
     Documents are taken in ascending id order (null ids first; rows with equal ids in order of their text) within
     ranges of ids; each range is one task's stream, cut in runs of ``STREAM_IDS`` ids whose last window is carried
-    into the next run. A null text is an empty one, of which only ``end_id`` is packed. Repeated rows are packed each."""
+    into the next run. A null text is an empty one, of which only ``end_id`` is packed. Repeated rows are packed each. ``keep_words``: whether a
+    worker remembers words' ids from task to task (faster), or gives their memory back at each task's end."""
     small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)[id_col]
     rows = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -165,6 +166,8 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, length: int = L
                     yield from flush(False)
         if left:
             yield from flush(True)
+        if not keep_words:
+            encoder.forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -88,6 +88,10 @@ class TextEncoder:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._clear()
 
+    def forget(self):
+        """Give back the memory of all words and parts met so far."""
+        self._clear()
+
     def _clear_words(self):
         self.words = _Index()
         self.first = np.zeros(0, dtype=np.int32)  # of each word: the part it starts with, the one behind

@@ -116,7 +116,7 @@ def score_texts(documents: DataFrame, model: Model, text_col: str = "text", scor
     empty text has no n-grams and gets the intercept's score. Texts of any length are scored whole."""
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # 4 bytes * 2**BITS, whatever the corpus
+    shared = spark.sparkContext.broadcast(tuple(model))  # 4 bytes * 2**BITS, whatever the corpus
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

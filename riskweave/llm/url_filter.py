@@ -112,10 +112,10 @@ def url_filter(pages: DataFrame, rules: Iterable[Rule] | DataFrame, id_col: str
             spark = pages.sparkSession
             return _joined(rows, spark.createDataFrame(rules, "verdict string, host string, path string"), id_col, default)
     build_trie(rules)  # refuses malformed rules before a job starts
-    shared = pages.sparkSession.sparkContext.broadcast(rules)
+    shared = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in rules])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = build_trie(shared.value)
+        trie = build_trie(Rule(*r) for r in shared.value)
         for b in batches:
             parts = [split_url(u) for u in b.column("url").to_pylist()]
             found = [longest_match(trie, h, p) or (None, default) for h, p in parts]
