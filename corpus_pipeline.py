@@ -64,7 +64,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents' ids in sequences of at most 2048, one row per piece."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, keep_words=False)
 
 
 STAGES = [
