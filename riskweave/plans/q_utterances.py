@@ -134,13 +134,14 @@ def utterance_sentences(spark, sf_dir):
     return AT.sentence_listing(att, KEYS, TOPICS, noise())
 
 
-def fitted_scorers(spark, t: Tables, labels):
+def fitted_scorers(spark, t: Tables, labels, max_iter: int = 64):
     """Scorers of pipelines fitted on labelled documents: name → column of labels (1 = yes)."""
-    docs = TX.normalize(t.documents.select("doc_id", "text"))
+    docs = t.documents.select("doc_id", "text")
     out = {}
     for name, col in labels.items():
         rows = docs.join(t.labels.select("doc_id", F.col(col).cast("double").alias("label")).where("label is not null"), "doc_id")
-        out[name] = AT.saved_model_scorer(spark, ML.text_classifier(max_iter=64, reg=0.01).fit(rows), f"p_{name}")
+        model = ML.text_classifier(max_iter=max_iter, reg=0.01).fit(TX.normalize(rows))  # only labelled documents are normalised
+        out[name] = AT.saved_model_scorer(spark, model, f"p_{name}")
     return out
 
 
@@ -152,13 +153,13 @@ def utterance_statistics_scored(spark, sf_dir):
     return AT.topic_statistics(att, UTTERANCE, TOPICS, executive_utterances(t), action(), noise())
 
 
-def scored_filing_attributes(spark, t: Tables):
+def scored_filing_attributes(spark, t: Tables, max_iter: int = 64):
     """Attributes of all filing sentences: p_action of a fitted pipeline, cluster and pillar tags by keyword."""
     sent = TX.sentences(TX.normalize(R.filings(t)), ["doc_id"])
     counts = R.lexicon_counts(t, spark)
     taggers = {kind: PR.make_keyword_tagger(LX.trim(R.lexicon_from_counts(counts, names)), R.stopwords_df(spark), R.lemmas_df(spark))
                for kind, names in (("cluster", R.CLUSTERS), ("pillar", R.PILLARS))}
-    return AT.sentence_attributes(spark, sent, ["doc_id", "sent_pos"], taggers, fitted_scorers(spark, t, {"action": "quality"}))
+    return AT.sentence_attributes(spark, sent, ["doc_id", "sent_pos"], taggers, fitted_scorers(spark, t, {"action": "quality"}, max_iter))
 
 
 @register("filing_statistics_scored")

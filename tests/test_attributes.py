@@ -63,7 +63,7 @@ def test_taggers_that_return_less_give_no_topic(spark):
 def test_scored_filing_statistics_recounted(spark):
     """Counts of the query against a plain recount of the staged attributes, and totals against the sentence table."""
     t = Tables(spark, SF)
-    att = U.scored_filing_attributes(spark, t)
+    att = U.scored_filing_attributes(spark, t, max_iter=10)
     every = R.filings(t).select("doc_id", "symbol", "filing_time")
     got = {r.doc_id: r for r in AT.topic_statistics(att, ["doc_id"], {"cluster": R.CLUSTERS, "pillar": R.PILLARS}, every, U.action()).collect()}
     n, acts, per, pillars = Counter(), Counter(), Counter(), Counter()
@@ -89,7 +89,7 @@ def test_scored_filing_statistics_recounted(spark):
 
 def test_scored_utterances_recounted(spark):
     t = Tables(spark, SF)
-    att = U.utterance_attributes(spark, t, U.fitted_scorers(spark, t, {"noise": "toxic", "action": "quality"}))
+    att = U.utterance_attributes(spark, t, U.fitted_scorers(spark, t, {"noise": "toxic", "action": "quality"}, max_iter=8))
     got = AT.topic_statistics(att, U.UTTERANCE, U.TOPICS, U.executive_utterances(t), U.action(), U.noise()).collect()
     n, acts = Counter(), Counter()
     for r in att.collect():
