@@ -118,3 +118,18 @@ def candidate_terms(paras: DataFrame, keys: Sequence[str], text_col: str = "para
         out = out.withColumn("term", F.coalesce("_l", "term")).drop("_w", "_l")
     return out.where(~((F.col("kind") == "key") & F.col("term").isin(*sw)))
 
+
+def content_chunks(paras: DataFrame, keys: Sequence[str], text_col: str = "paragraph", max_words: int = 3,
+                   stopwords: Sequence[str] = C.STOPWORDS) -> DataFrame:
+    """Variable-length chunks ``(keys..., chunk)``: of every maximal run of tokens without a stopword, all stretches of
+    2 to ``max_words`` words, once per occurrence. Array expressions over the paragraph: no shuffle, no Python."""
+    marked = F.transform(FT.raw_tokens(F.col(text_col)), lambda x: F.when(x.isin(*stopwords), F.lit("|")).otherwise(x))
+    runs = F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r)), lambda r: r != "")
+
+    def stretches(run):
+        words = F.split(run, " ")
+        sizes = F.filter(F.array(*[F.lit(n) for n in range(2, max_words + 1)]), lambda n: n <= F.size(words))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(
+            F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
+
+    return paras.select(*keys, F.explode(F.flatten(F.transform(runs, stretches))).alias("chunk"))

@@ -147,6 +147,31 @@ def short_paragraphs(spark, sf_dir):
     return p.where(FT.word_count(F.col("paragraph")) <= 128).select("paragraph").distinct()
 
 
+@register("content_chunks", S.with_ctes(["filings", "stopwords"]).rstrip() + f""",
+tk AS (SELECT doc_id, para, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (
+       SELECT doc_id, para, {S.raw_tokens("regexp_replace(p, '\\s+', ' ', 'g')")} AS t FROM (
+       SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS para FROM (
+       SELECT doc_id, regexp_split_to_array(text, '\\.\\n') AS ps FROM filings)))),
+m AS (SELECT doc_id, para, i, CASE WHEN token NOT IN (SELECT word FROM stopwords) THEN token END AS a FROM tk),
+n AS (SELECT doc_id, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM m WINDOW w AS (PARTITION BY doc_id, para ORDER BY i)),
+g AS (SELECT doc_id, a || ' ' || b AS chunk, 2 AS k FROM n WHERE a IS NOT NULL AND b IS NOT NULL
+      UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c, 3 FROM n WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)
+SELECT d.doc_id, count(g.chunk)::BIGINT AS n_chunks, coalesce(count_if(k = 3), 0)::BIGINT AS n_trigrams, count(DISTINCT g.chunk)::BIGINT AS n_distinct,
+       md5(coalesce(string_agg(DISTINCT g.chunk, ',' ORDER BY g.chunk), '')) AS chunks_md5
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id""")
+def content_chunks(spark, sf_dir):
+    """Chunks of two and three content words per filing (within paragraphs): occurrences, distinct ones, fingerprint."""
+    t = Tables(spark, sf_dir)
+    chunks = TX.content_chunks(TX.paragraphs(TX.normalize(R.filings(t)), ["doc_id"]), ["doc_id"])
+    per = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.size(F.split("chunk", " ")) == 3).alias("n_trigrams"),
+                                       F.array_sort(F.collect_set("chunk")).alias("_set"))
+    out = t.documents.select("doc_id").join(per, "doc_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("doc_id", n("n_chunks").alias("n_chunks"), n("n_trigrams").alias("n_trigrams"),
+                      n(F.when(F.col("_set").isNotNull(), F.size("_set"))).alias("n_distinct"),
+                      F.md5(F.coalesce(F.array_join("_set", ","), F.lit(""))).alias("chunks_md5"))
+
+
 @register("sentence_totals", S.with_ctes(["sentences"]) + """
 SELECT symbol, filing_time, count(*)::BIGINT AS total_risk_sentence_count,
        count_if(is_active)::BIGINT AS total_active_sentence_count,

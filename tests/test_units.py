@@ -350,3 +350,10 @@ def test_core_queries_without_training_data_modules(blocked):
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/", timeout=120)
     assert done.stdout.split() == ["ok", "True"], done.stderr
 
+
+def test_content_chunks_of_two_and_three_words(spark):
+    df = spark.createDataFrame([(1, "Gold mine output fell. The silver price, and copper"), (2, "the of and"), (3, ""), (4, None)], "k int, paragraph string")
+    got = sorted((r.k, r.chunk) for r in TX.content_chunks(df, ["k"], stopwords=["the", "and"]).collect())
+    assert got == [(1, c) for c in ("gold mine", "gold mine output", "mine output", "mine output fell", "output fell", "silver price")]
+    four = [r.chunk for r in TX.content_chunks(df.where("k = 1"), ["k"], max_words=4, stopwords=["the", "and"]).collect()]
+    assert "gold mine output fell" in four and len(four) == 7
