@@ -8,12 +8,15 @@ Shingles have one global order: their 64-bit hashes, the very common ones last.
    ``spare(n) + 1`` of these shingles in common with it: classes with fewer shared ones are out, and of the others the
    ``spare(n)`` most frequent shingles are not needed to find the pair. Unshared shingles also bound what a class can
    have in common with a linked one, so most pairs that share a passage only are never formed.
-3. The rest are blocks: classes that hold one shingle; of blocks with the same members one is kept. Instead of all pairs
-   of a block, its members meet the block's most central member (whose shingles are the most shared ones, as those of a
-   text that others were copied from); linked classes get a common label, and only classes of different labels meet
-   again, at the next central member. When few pairs of different labels are left (or a round finds no link), these are
-   all verified.
-4. A pair is verified exactly: both sets are cut into fragments, overlaps are counted per fragment and summed per pair.
+3. The sets of the remaining classes are searched once more, whole and among themselves: what a set shares with any other
+   bounds all its overlaps, which leaves out nearly all copies that were changed too much to be linked, and orders its
+   shingles by the number of classes that hold them. The rarest make the blocks (classes that hold one shingle); the place
+   of a shingle and the sizes in a block bound the overlap again; of blocks with the same members one is kept.
+4. Instead of all pairs of a block, its members meet the block's most central member (whose shingles are the most shared
+   ones, as those of a text that others were copied from); linked classes get a common label, and only classes of
+   different labels meet again, at the next central member. When few pairs of different labels are left (or a round finds
+   no link), these are all verified.
+5. A pair is verified exactly: both sets are cut into fragments, overlaps are counted per fragment and summed per pair.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import parallelism, small_batches
@@ -109,104 +112,209 @@ def _signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"kind int, id {kind}, n long, c binary, shingle long, texts long")
 
 
+POSTINGS = "fragment long, shingles binary, owners binary, keys binary, sizes binary, starts binary"
+
+
+def _late(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the shingles are very common ones (``common``, sorted)."""
+    if not len(common):
+        return np.zeros(len(s), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+
+
+def _chunk_postings(keys: list, sizes: list, parts: list, common: np.ndarray, fragments: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's shingles, one row per fragment (negative, and spread over many: the very common ones): the shingles,
+    for each the number of its class in the row's own list, and that list (16-byte keys, set sizes, and the place among
+    the class's shingles of its first one here; the others follow it there)."""
+    flat = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
+    place = np.concatenate([np.arange(len(p), dtype=np.uint32) for p in parts])
+    at = np.array((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), dtype=np.int64)
+    at[_late(flat, common)] = -1 - int.from_bytes(keys[0][:4], "big") % fragments
+    order = np.argsort(at, kind="stable")
+    stops = np.flatnonzero(np.diff(at[order], append=fragments + 1))
+    raw, n = np.frombuffer(b"".join(keys), dtype="V16"), np.array(sizes, dtype=np.uint32)
+    begin = 0
+    for stop in (stops + 1).tolist():
+        rows_ = order[begin:stop]
+        own, first, number = np.unique(owner[rows_], return_index=True, return_inverse=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(at[rows_[0]])]), pa.array([flat[rows_].tobytes()], pa.binary()), pa.array([number.astype(np.uint32).tobytes()], pa.binary()),
+             pa.array([raw[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary()), pa.array([place[rows_[first]].tobytes()], pa.binary())],
+            names=["fragment", "shingles", "owners", "keys", "sizes", "starts"])
+        begin = stop
+
+
 def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
-    """Prefix shingles of each chunk's classes, one row per fragment (negative, and spread
-    over many: the very common ones): the shingles, for each
-    the number of its class in the row's own list, and that list (16-byte keys, set sizes, and the place in the class's
-    prefix of its first shingle here; the others follow it there)."""
+    """Prefix shingles of each chunk's classes."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, common = Shingler(), shared.value
         keys, sizes, parts, seen, size = [], [], [], set(), 0
-
-        def send():
-            flat = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
-            place = np.concatenate([np.arange(len(p), dtype=np.uint32) for p in parts])
-            at = np.array((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), dtype=np.int64)
-            if len(common):
-                late = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
-                at[late] = -1 - int.from_bytes(keys[0][:4], "big") % fragments
-            order = np.argsort(at, kind="stable")
-            stops = np.flatnonzero(np.diff(at[order], append=fragments + 1))
-            raw, n = np.frombuffer(b"".join(keys), dtype="V16"), np.array(sizes, dtype=np.uint32)
-            begin = 0
-            for stop in (stops + 1).tolist():
-                rows_ = order[begin:stop]
-                own, first, number = np.unique(owner[rows_], return_index=True, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(at[rows_[0]])]), pa.array([flat[rows_].tobytes()], pa.binary()), pa.array([number.astype(np.uint32).tobytes()], pa.binary()),
-                     pa.array([raw[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary()), pa.array([place[rows_[first]].tobytes()], pa.binary())],
-                    names=["fragment", "shingles", "owners", "keys", "sizes", "starts"])
-                begin = stop
-
         for b in batches:
             for s, key in _sets(b, shingler):
                 if 100 * len(s) < PERCENT * (len(s) + 1) or key in seen:  # so small a set has no link but to equal ones
                     continue
                 seen.add(key)
-                if len(common):
-                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
+                late = _late(s, common)
+                s = np.concatenate([s[~late], s[late]])
                 keys.append(key)
                 sizes.append(len(s))
                 parts.append(s[:prefix_length(len(s))])
                 size += len(parts[-1])
                 if size >= CHUNK:
-                    yield from send()
+                    yield from _chunk_postings(keys, sizes, parts, common, fragments)
                     keys, sizes, parts, seen, size = [], [], [], set(), 0
         if parts:
-            yield from send()
+            yield from _chunk_postings(keys, sizes, parts, common, fragments)
 
-    return rows.mapInArrow(run, "fragment long, shingles binary, owners binary, keys binary, sizes binary, starts binary")
+    return rows.mapInArrow(run, POSTINGS)
+
+
+def _whole_postings(sets: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
+    """All shingles of the searched classes' sets."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, parts, size = [], [], [], 0
+        for b in batches:
+            for c, n, part in zip(*[b.column(x).to_pylist() for x in ("c", "n", "part")], strict=True):
+                if not part:
+                    continue
+                keys.append(c)
+                sizes.append(n)
+                parts.append(np.frombuffer(part, np.uint64))
+                size += len(parts[-1])
+                if size >= CHUNK:
+                    yield from _chunk_postings(keys, sizes, parts, shared.value, fragments)
+                    keys, sizes, parts, size = [], [], [], 0
+        if parts:
+            yield from _chunk_postings(keys, sizes, parts, shared.value, fragments)
+
+    return sets.mapInArrow(run, POSTINGS)
 
 
 def _keys16(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
 
 
-def _shared_shingles(hot: np.ndarray, texts: np.ndarray):
+def _shared(table: pa.Table, hot: np.ndarray, texts: np.ndarray):
     """One fragment: the shingles that occur in two classes or more, with each of these classes and their number.
     The common ones (``hot``, sorted) are known to be shared; ``texts`` has their (approximate) numbers."""
+    flat, keys, sizes, places = [], [], [], []
+    for s, o, k, n, f in zip(*[table.column(c).to_pylist() for c in ("shingles", "owners", "keys", "sizes", "starts")], strict=True):
+        number = np.frombuffer(o, np.uint32)
+        flat.append(np.frombuffer(s, np.uint64))
+        keys.append(np.frombuffer(k, "<u8").reshape(-1, 2)[number])
+        sizes.append(np.frombuffer(n, np.uint32)[number])
+        # A class's shingles stand together in the row, in the order of its prefix.
+        start = np.searchsorted(number, np.arange(number[-1] + 1))
+        places.append(np.frombuffer(f, np.uint32)[number] + (np.arange(len(number)) - start[number]).astype(np.uint32))
+    flat, keys, sizes, places = np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes), np.concatenate(places)
+    common = table.column("fragment")[0].as_py() < 0
+    if not common:
+        order = np.argsort(flat)
+        same = np.zeros(len(flat) + 1, dtype=bool)
+        same[1:-1] = flat[order][1:] == flat[order][:-1]
+        many = order[same[1:] | same[:-1]]  # equal to a neighbour
+        flat, keys, sizes, places = flat[many], keys[many], sizes[many], places[many]
+    # One class may come from several chunks.
+    order = np.lexsort((keys[:, 1], keys[:, 0], flat))
+    flat, keys, sizes, places = flat[order], keys[order], sizes[order], places[order]
+    again = (flat[1:] == flat[:-1]) & (keys[1:] == keys[:-1]).all(axis=1)
+    new = np.concatenate([[True], ~again])[:len(flat)]
+    flat, keys, sizes, places = flat[new], keys[new], sizes[new], places[new]
+    if common:
+        df = texts[np.searchsorted(hot, flat)]
+    else:
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        df = count[at]
+        more = df >= 2
+        flat, keys, sizes, places, df = flat[more], keys[more], sizes[more], places[more], df[more]
+    return flat, keys, sizes, places, df
+
+
+def _shared_shingles(hot: np.ndarray, texts: np.ndarray):
+    """One row per class and shared shingle of a fragment."""
 
     def run(table: pa.Table) -> pa.Table:
-        flat, keys, sizes, places = [], [], [], []
-        for s, o, k, n, f in zip(*[table.column(c).to_pylist() for c in ("shingles", "owners", "keys", "sizes", "starts")], strict=True):
-            number = np.frombuffer(o, np.uint32)
-            flat.append(np.frombuffer(s, np.uint64))
-            keys.append(np.frombuffer(k, "<u8").reshape(-1, 2)[number])
-            sizes.append(np.frombuffer(n, np.uint32)[number])
-            # A class's shingles stand together in the row, in the order of its prefix.
-            start = np.searchsorted(number, np.arange(number[-1] + 1))
-            places.append(np.frombuffer(f, np.uint32)[number] + (np.arange(len(number)) - start[number]).astype(np.uint32))
-        flat, keys, sizes, places = np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes), np.concatenate(places)
-        common = table.column("fragment")[0].as_py() < 0
-        if not common:
-            order = np.argsort(flat)
-            same = np.zeros(len(flat) + 1, dtype=bool)
-            same[1:-1] = flat[order][1:] == flat[order][:-1]
-            many = order[same[1:] | same[:-1]]  # equal to a neighbour
-            flat, keys, sizes, places = flat[many], keys[many], sizes[many], places[many]
-        # One class may come from several chunks.
-        order = np.lexsort((keys[:, 1], keys[:, 0], flat))
-        flat, keys, sizes, places = flat[order], keys[order], sizes[order], places[order]
-        again = (flat[1:] == flat[:-1]) & (keys[1:] == keys[:-1]).all(axis=1)
-        new = np.concatenate([[True], ~again])[:len(flat)]
-        flat, keys, sizes, places = flat[new], keys[new], sizes[new], places[new]
-        if common:
-            df = texts[np.searchsorted(hot, flat)]
-        else:
-            _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-            df = count[at]
-            more = df >= 2
-            flat, keys, sizes, places, df = flat[more], keys[more], sizes[more], places[more], df[more]
+        flat, keys, sizes, places, df = _shared(table, hot, texts)
         return pa.table({"shingle": pa.array(flat.view(np.int64)), "c": _keys16(keys), "n": pa.array(sizes.astype(np.int64)),
                          "df": pa.array(df.astype(np.int64)), "place": pa.array(places.astype(np.int32))})
 
     return run
 
 
+def _shared_parts(hot: np.ndarray, texts: np.ndarray):
+    """One row per class of a fragment: how many shared shingles it has there, the sum of their numbers of classes, and
+    the rarest of them (as many as a class can need) with these numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat, keys, sizes, _, df = _shared(table, hot, texts)
+        order = np.lexsort((flat, df, keys[:, 1], keys[:, 0]))
+        flat, keys, sizes, df = flat[order], keys[order], sizes[order].astype(np.int64), df[order].astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])[:len(flat)])
+        count = np.diff(begin, append=len(flat))
+        n = sizes[begin]
+        take = np.minimum(count, n - -(-PERCENT * n // 100) + 1)
+        parts = [(flat[i:i + k].tobytes(), df[i:i + k].tobytes()) for i, k in zip(begin.tolist(), take.tolist(), strict=True)]
+        return pa.table({"c": _keys16(keys[begin]), "n": pa.array(n), "k": pa.array(count),
+                         "t": pa.array(np.add.reduceat(df, begin) if len(begin) else np.zeros(0, np.int64)),
+                         "shingles": pa.array([p[0] for p in parts], pa.binary()), "df": pa.array([p[1] for p in parts], pa.binary())})
+
+    return run
+
+
+def _rarest(parts: str, k: Column) -> Column:
+    """The k rarest shingles (ties: the smaller) of the parts of a class, rarest first."""
+
+    @F.arrow_udf("array<long>")
+    def merge(found: pa.Array, count: pa.Array) -> pa.Array:
+        out = []
+        for p, m in zip(found.to_pylist(), count.to_pylist(), strict=True):
+            flat = np.frombuffer(b"".join(x["shingles"] for x in p), np.uint64)
+            df = np.frombuffer(b"".join(x["df"] for x in p), np.int64)
+            out.append(flat[np.lexsort((flat, df))[:m]].view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return merge(parts, k)
+
+
+def _least(n) -> Column:
+    """``needed`` as an expression."""
+    return F.ceil(PERCENT * F.col(n) / 100).cast("long")
+
+
+def _members(blocks: DataFrame) -> DataFrame:
+    """(shingle, c, n, e, w), without members whose e, what they can have in common with a class that shares no rarer
+    shingle, is too little for the smallest size in the block, and without blocks of one. Of blocks with the same members
+    the rarest is kept, where e is greatest for all of them."""
+    for _ in range(2):  # the second time with the sizes that are left
+        size = blocks.groupBy("shingle").agg(F.min("n").alias("_n"))
+        blocks = blocks.join(size, "shingle").where((100 + PERCENT) * F.col("e") >= PERCENT * (F.col("n") + F.greatest("_n", _least("n")))).drop("_n")
+    found = blocks.groupBy("shingle").agg(F.count("*").alias("k"), F.sum("e").alias("t"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
+    one = found.where(F.col("k") > 1).groupBy("k", "x", "y").agg(F.max(F.struct("t", "shingle")).alias("m")).select(F.col("m.shingle").alias("shingle"))
+    return blocks.join(one, "shingle")
+
+
+def _searched_blocks(spark: SparkSession, sets: DataFrame, hot: np.ndarray, texts: np.ndarray) -> DataFrame:
+    """The blocks of a second search, among the classes of the first one only. A shingle that none of these others has
+    cannot be in common with a linked class, wherever it stands in the order: what is left of a set (e shingles) bounds
+    every overlap, so a class with e < needed(n) is out, and of the others the e - needed(n) + 1 rarest suffice. A linked
+    pair is found where its rarest common shingle is: there the rarer ones of either set are not in common, so each row's
+    e leaves them out."""
+    total = sets.agg(F.coalesce(F.sum(F.length("part")), F.lit(0)) / 8).first()[0]
+    fragments = max(parallelism(sets), math.ceil(total / FRAGMENT_SHINGLES))
+    parts = _whole_postings(sets, hot, fragments).groupBy("fragment").applyInArrow(
+        _shared_parts(hot, texts), "c binary, n long, k long, t long, shingles binary, df binary")
+    classes = parts.groupBy("c", "n").agg(F.sum("k").alias("e"), F.sum("t").alias("t"), F.collect_list(F.struct("shingles", "df")).alias("p"))
+    kept = classes.where(F.col("e") >= _least("n"))
+    rare = kept.select("c", "n", "e", (F.col("t") / F.col("n")).alias("w"), _rarest("p", F.col("e") - _least("n") + 1).alias("s"))
+    rows = rare.select("c", "n", "e", "w", F.posexplode("s").alias("i", "shingle"))
+    return stage(spark, rows.select("shingle", "c", "n", (F.col("e") - F.col("i")).alias("e"), "w"), "searched_blocks")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose sets link: overlaps per fragment, summed per pair."""
 
@@ -233,14 +341,14 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 
 def _asked_sets(rows: DataFrame, field: np.ndarray) -> DataFrame:
-    """(c, cut, part): sets that the bit field lets through, cut into ``CUTS`` fragments; once per class."""
+    """(c, cut, part, n): sets that the bit field lets through, cut into ``CUTS`` fragments; once per class."""
     shared = rows.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, wanted, seen = Shingler(), shared.value, set()
         edges = [np.uint64(i << 62) for i in range(1, CUTS)]
         for b in batches:
-            c, cut, part = [], [], []
+            c, cut, part, n = [], [], [], []
             for s, key in _sets(b, shingler):
                 spots = [int.from_bytes(key[4 * i:4 * i + 4], "big") % (1 << BLOOM_BITS) for i in range(3)]
                 if key in seen or not all(int(wanted[p >> 6]) >> (p & 63) & 1 for p in spots):
@@ -251,14 +359,15 @@ def _asked_sets(rows: DataFrame, field: np.ndarray) -> DataFrame:
                     c.append(key)
                     cut.append(i)
                     part.append(piece.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(cut, pa.int32()), pa.array(part, pa.binary())], names=["c", "cut", "part"])
+                    n.append(len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(cut, pa.int32()), pa.array(part, pa.binary()), pa.array(n, pa.int64())],
+                                             names=["c", "cut", "part", "n"])
 
-    return rows.mapInArrow(run, "c binary, cut int, part binary").dropDuplicates(["c", "cut"])
+    return rows.mapInArrow(run, "c binary, cut int, part binary, n long").dropDuplicates(["c", "cut"])
 
 
-def _class_links(spark: SparkSession, blocks: DataFrame, rows: DataFrame) -> DataFrame:
+def _class_links(spark: SparkSession, blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): classes that have links, and the smallest class of their component (as ``components`` gives them)."""
-    sets = stage(spark, _asked_sets(rows, _bloom(blocks.select("c").distinct())), "asked_sets")
     # Sizes that allow a link, and enough shingles that both can have in common.
     near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & ((100 + PERCENT) * F.least("ea", "eb") >= PERCENT * (F.col("na") + F.col("nb")))
     here, links, tried = blocks.withColumn("label", F.col("c")), None, None
@@ -325,10 +434,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
                             F.slice(F.sort_array("s", asc=False), (aside + 1).cast("int"), F.size("s")).alias("s")).where(F.col("e") >= least)
     kept = bounded.select("c", "n", "e", "w", F.explode("s").alias("s"))
     every = stage(spark, kept.select("c", "n", "e", "w", F.col("s.shingle").alias("shingle")), "all_blocks")
-    members = every.groupBy("shingle").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
-    one = members.where(F.col("k") > 1).groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
-    blocks = stage(spark, every.join(one, "shingle"), "blocks")
-    links = _class_links(spark, blocks, rows)
+    size = every.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > 1)
+    searched = every.join(size.select("shingle"), "shingle", "left_semi").select("c").distinct()
+    sets = stage(spark, _asked_sets(rows, _bloom(searched)), "asked_sets")
+    blocks = stage(spark, _members(_searched_blocks(spark, sets, hot, texts)), "blocks")
+    links = _class_links(spark, blocks, sets)
     # Components of classes, then of rows; a class or component of any size is one partial minimum per task.
     least_id = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
     named = least_id.join(links.select(F.col("a").alias("c"), F.col("b").alias("_to")), "c", "left").select("c", "id", F.coalesce("_to", "c").alias("label"))

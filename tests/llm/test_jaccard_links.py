@@ -45,3 +45,28 @@ def test_smallest_sets_with_links(spark):
     assert got == Counter(plain_components(rows))
     eight = {(9, 4, 9), (10, 5, 9), (11, 5, 9)}
     assert eight <= set(got)
+
+
+@pytest.mark.parametrize("most_common, chunk", [(400_000, 1 << 20), (50, 400), (0, 3000)])
+def test_copies_about_as_far_from_their_origin_as_a_link_allows(spark, monkeypatch, most_common, chunk):
+    """Copies, copies of copies, cut and lengthened ones, most of them near the similarity of 0.8, and texts that only
+    share a passage: links that the bounds must not lose and pairs that they may leave out."""
+    monkeypatch.setattr(J, "MOST_COMMON", most_common)
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    rng, texts = random.Random(11), []
+    for _ in range(4):
+        made = [sentence(rng, rng.choice([40, 90, 150])).split()]
+        passage = made[0][:30]
+        for k in range(45):
+            words = list(rng.choice(made[:8]))
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                words[rng.randrange(len(words))] = f"new{len(texts)}x{rng.randrange(10 ** 6)}"
+            cut = rng.choice([0, 0, rng.randint(0, len(words) // 6)])
+            words = words[cut:] + [f"tail{k}x{i}" for i in range(rng.choice([0, 0, 0, len(words) // 8]))]
+            made.append(words)
+        texts += [" ".join(w) for w in made] + [" ".join(passage + sentence(rng, rng.randint(5, 60)).split()) for _ in range(15)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    want = Counter(plain_components(rows))
+    assert 20 < len({k[2] for k in want}) < len(rows) - 60
+    assert found(spark, rows, 5) == want
