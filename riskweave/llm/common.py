@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +39,16 @@ def parallelism(df: DataFrame) -> int:
                df.sparkSession.sparkContext.defaultParallelism)
 
 
+def give_back_memory():
+    """Return memory that a worker has freed, but Arrow and the C library keep for later, to the system: workers live on
+    from task to task, so what each keeps at its peak would stay."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def scan_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle of the table's own rows: as many as its scan has, or more."""
     return max(parallelism(df), df.rdd.getNumPartitions())

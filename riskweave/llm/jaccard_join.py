@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import parallelism, small_batches
+from riskweave.llm.common import give_back_memory, parallelism, small_batches
 from riskweave.llm.components import components
 from riskweave.llm.shingles import Shingler
 from riskweave.plans.registry import register
@@ -39,7 +39,7 @@ from riskweave.sources.tables import read_table
 
 PERCENT = 80
 CHUNK = 1 << 20  # shingles that a task gathers before it sends them
-FRAGMENT_SHINGLES = 1 << 21  # shingles that one fragment of the first pass holds, about
+FRAGMENT_SHINGLES = 1 << 19  # shingles that one fragment holds, about
 CUTS = 4  # fragments that verified sets are cut into
 # Common shingles go last in the global order: those in so many texts of a chunk, the most frequent so many of each
 # chunk, and of these the most frequent so many (a list of fixed size, which is broadcast). They only make the search
@@ -108,6 +108,8 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 held, size = {}, 0
         if held:
             yield common(id_type)
+        held = {}
+        give_back_memory()
 
     return rows.mapInArrow(run, f"kind int, id {kind}, n long, c binary, shingle long, texts long")
 
@@ -168,6 +170,8 @@ def _postings(rows: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
                     keys, sizes, parts, seen, size = [], [], [], set(), 0
         if parts:
             yield from _chunk_postings(keys, sizes, parts, common, fragments)
+        keys, sizes, parts, seen = [], [], [], set()
+        give_back_memory()
 
     return rows.mapInArrow(run, POSTINGS)
 
@@ -191,6 +195,8 @@ def _whole_postings(sets: DataFrame, hot: np.ndarray, fragments: int) -> DataFra
                     keys, sizes, parts, size = [], [], [], 0
         if parts:
             yield from _chunk_postings(keys, sizes, parts, shared.value, fragments)
+        keys, sizes, parts = [], [], []
+        give_back_memory()
 
     return sets.mapInArrow(run, POSTINGS)
 
@@ -240,45 +246,64 @@ def _shared_shingles(hot: np.ndarray, texts: np.ndarray):
 
     def run(table: pa.Table) -> pa.Table:
         flat, keys, sizes, places, df = _shared(table, hot, texts)
+        give_back_memory()
         return pa.table({"shingle": pa.array(flat.view(np.int64)), "c": _keys16(keys), "n": pa.array(sizes.astype(np.int64)),
                          "df": pa.array(df.astype(np.int64)), "place": pa.array(places.astype(np.int32))})
 
     return run
 
 
-def _shared_parts(hot: np.ndarray, texts: np.ndarray):
-    """One row per class of a fragment: how many shared shingles it has there, the sum of their numbers of classes, and
-    the rarest of them (as many as a class can need) with these numbers."""
+def _shared_parts(hot: np.ndarray, texts: np.ndarray, buckets: int):
+    """One row per bucket of classes of a fragment: the classes, how many shared shingles each has there, the sum of
+    their numbers of classes, and the rarest of them (as many as a class can need) with these numbers."""
 
     def run(table: pa.Table) -> pa.Table:
         flat, keys, sizes, _, df = _shared(table, hot, texts)
-        order = np.lexsort((flat, df, keys[:, 1], keys[:, 0]))
-        flat, keys, sizes, df = flat[order], keys[order], sizes[order].astype(np.int64), df[order].astype(np.int64)
+        bucket = (keys[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((flat, df, keys[:, 1], keys[:, 0], bucket))
+        flat, keys, n, df, bucket = flat[order], keys[order], sizes[order].astype(np.int64), df[order].astype(np.int64), bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])[:len(flat)])
         count = np.diff(begin, append=len(flat))
-        n = sizes[begin]
-        take = np.minimum(count, n - -(-PERCENT * n // 100) + 1)
-        parts = [(flat[i:i + k].tobytes(), df[i:i + k].tobytes()) for i, k in zip(begin.tolist(), take.tolist(), strict=True)]
-        return pa.table({"c": _keys16(keys[begin]), "n": pa.array(n), "k": pa.array(count),
-                         "t": pa.array(np.add.reduceat(df, begin) if len(begin) else np.zeros(0, np.int64)),
-                         "shingles": pa.array([p[0] for p in parts], pa.binary()), "df": pa.array([p[1] for p in parts], pa.binary())})
+        total = np.add.reduceat(df, begin) if len(begin) else begin
+        rank = np.arange(len(flat)) - np.repeat(begin, count)
+        rare = rank <= n - -(-PERCENT * n // 100)
+        taken = np.add.reduceat(rare.astype(np.int64), begin) if len(begin) else begin
+        edge = np.flatnonzero(np.diff(bucket[begin], prepend=-1))  # classes that begin a bucket
+        rows = []
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(begin)], strict=True):
+            here = slice(begin[a], begin[b] if b < len(begin) else len(flat))
+            rows.append((int(bucket[begin[a]]), keys[begin[a:b]].tobytes(), np.stack([n[begin[a:b]], count[a:b], total[a:b], taken[a:b]]).astype(np.int64).tobytes(),
+                         flat[here][rare[here]].tobytes(), df[here][rare[here]].tobytes()))
+        give_back_memory()
+        return pa.table([pa.array([r[x] for r in rows], t) for x, t in enumerate([pa.int64()] + 4 * [pa.binary()])],
+                        names=["bucket", "keys", "numbers", "shingles", "df"])
 
     return run
 
 
-def _rarest(parts: str, k: Column) -> Column:
-    """The k rarest shingles (ties: the smaller) of the parts of a class, rarest first."""
-
-    @F.arrow_udf("array<long>")
-    def merge(found: pa.Array, count: pa.Array) -> pa.Array:
-        out = []
-        for p, m in zip(found.to_pylist(), count.to_pylist(), strict=True):
-            flat = np.frombuffer(b"".join(x["shingles"] for x in p), np.uint64)
-            df = np.frombuffer(b"".join(x["df"] for x in p), np.int64)
-            out.append(flat[np.lexsort((flat, df))[:m]].view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return merge(parts, k)
+def _class_rows(table: pa.Table) -> pa.Table:
+    """One bucket of classes: each class's e - needed(n) + 1 rarest shared shingles, with e less one for each rarer one."""
+    parts = [table.column(x).to_pylist() for x in ("keys", "numbers", "shingles", "df")]
+    keys = np.frombuffer(b"".join(parts[0]), "<u8").reshape(-1, 2)
+    n, count, total, taken = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in parts[1]], axis=1)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(np.concatenate([[False], (keys[order][1:] != keys[order][:-1]).any(axis=1)]))
+    _, first = np.unique(number, return_index=True)
+    keys, n = keys[first], n[first]
+    e, t = np.bincount(number, weights=count).astype(np.int64), np.bincount(number, weights=total)
+    flat, df = np.frombuffer(b"".join(parts[2]), np.uint64), np.frombuffer(b"".join(parts[3]), np.int64)
+    owner = np.repeat(number, taken)
+    order = np.lexsort((flat, df, owner))
+    owner, flat = owner[order], flat[order]
+    held = np.bincount(owner, minlength=len(n))
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held)
+    rest = e[owner] - rank
+    keep = rest >= -(-PERCENT * n[owner] // 100)
+    owner = owner[keep]
+    give_back_memory()
+    return pa.table({"shingle": pa.array(flat[keep].view(np.int64)), "c": _keys16(keys[owner]), "n": pa.array(n[owner]),
+                     "e": pa.array(rest[keep]), "w": pa.array((t / n)[owner])})
 
 
 def _least(n) -> Column:
@@ -305,14 +330,11 @@ def _searched_blocks(spark: SparkSession, sets: DataFrame, hot: np.ndarray, text
     pair is found where its rarest common shingle is: there the rarer ones of either set are not in common, so each row's
     e leaves them out."""
     total = sets.agg(F.coalesce(F.sum(F.length("part")), F.lit(0)) / 8).first()[0]
-    fragments = max(parallelism(sets), math.ceil(total / FRAGMENT_SHINGLES))
+    fragments = max(1, math.ceil(total / FRAGMENT_SHINGLES))  # and as many buckets of classes
     parts = _whole_postings(sets, hot, fragments).groupBy("fragment").applyInArrow(
-        _shared_parts(hot, texts), "c binary, n long, k long, t long, shingles binary, df binary")
-    classes = parts.groupBy("c", "n").agg(F.sum("k").alias("e"), F.sum("t").alias("t"), F.collect_list(F.struct("shingles", "df")).alias("p"))
-    kept = classes.where(F.col("e") >= _least("n"))
-    rare = kept.select("c", "n", "e", (F.col("t") / F.col("n")).alias("w"), _rarest("p", F.col("e") - _least("n") + 1).alias("s"))
-    rows = rare.select("c", "n", "e", "w", F.posexplode("s").alias("i", "shingle"))
-    return stage(spark, rows.select("shingle", "c", "n", (F.col("e") - F.col("i")).alias("e"), "w"), "searched_blocks")
+        _shared_parts(hot, texts, fragments), "bucket long, keys binary, numbers binary, shingles binary, df binary")
+    rows = parts.groupBy("bucket").applyInArrow(_class_rows, "shingle long, c binary, n long, e long, w double")
+    return stage(spark, rows, "searched_blocks")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
