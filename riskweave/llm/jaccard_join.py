@@ -270,7 +270,7 @@ def _shared_parts(hot: np.ndarray, texts: np.ndarray, buckets: int):
         taken = np.add.reduceat(rare.astype(np.int64), begin) if len(begin) else begin
         edge = np.flatnonzero(np.diff(bucket[begin], prepend=-1))  # classes that begin a bucket
         rows = []
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(begin)], strict=True):
+        for a, b in zip(edge.tolist(), np.append(edge, len(begin))[1:].tolist(), strict=True):
             here = slice(begin[a], begin[b] if b < len(begin) else len(flat))
             rows.append((int(bucket[begin[a]]), keys[begin[a:b]].tobytes(), np.stack([n[begin[a:b]], count[a:b], total[a:b], taken[a:b]]).astype(np.int64).tobytes(),
                          flat[here][rare[here]].tobytes(), df[here][rare[here]].tobytes()))

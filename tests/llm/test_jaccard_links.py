@@ -70,3 +70,11 @@ def test_copies_about_as_far_from_their_origin_as_a_link_allows(spark, monkeypat
     want = Counter(plain_components(rows))
     assert 20 < len({k[2] for k in want}) < len(rows) - 60
     assert found(spark, rows, 5) == want
+
+
+def test_a_fragment_without_shared_shingles_has_no_rows():
+    import numpy as np
+
+    none = np.zeros(0, np.uint64)
+    [batch] = J._chunk_postings([b"a" * 16, b"b" * 16], [9, 9], [np.arange(9, dtype=np.uint64), np.arange(9, 18, dtype=np.uint64)], none, 1)
+    assert J._shared_parts(none, none, 3)(J.pa.Table.from_batches([batch])).num_rows == 0
