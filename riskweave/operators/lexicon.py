@@ -24,6 +24,25 @@ def bags(lexicon: DataFrame, topic_col: str = "topic_num", word_col: str = "keyw
             .agg(F.array_sort(F.collect_set(word_col)).alias("keywords")))
 
 
+def retokenize(words: DataFrame, topic_col: str = "topic_num", word_col: str = "keyword", score_col: str = "cosine_score",
+               stopwords: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+    """V6, second pass: keywords and phrases become the tokens they consist of, each once per topic with the best score
+    it comes with (null only where all are). A phrase without a token leaves none."""
+    toks = TX.tokens(words, [topic_col, score_col], text_col=word_col, stopwords=stopwords, lemmas=lemmas)
+    return toks.groupBy(topic_col, F.col("token").alias(word_col)).agg(F.max(score_col).alias(score_col))
+
+
+def one_topic_per_word(words: DataFrame, topic_col: str = "topic_num", word_col: str = "keyword",
+                       score_col: str = "cosine_score") -> DataFrame:
+    """A word that several topics hold stays in the one where it scores best (ties: the smallest topic; null is the lowest
+    score); ``n_topics`` counts those that held it. Aggregated before the shuffle, so a word of any frequency is one row
+    per task."""
+    better = F.struct(F.coalesce(-F.col(score_col), F.lit(float("inf"))), F.col(topic_col))
+    return words.groupBy(word_col).agg(
+        F.min_by(F.struct(topic_col, score_col), better).alias("_b"), F.countDistinct(topic_col).alias("n_topics")).select(
+        F.col(f"_b.{topic_col}").alias(topic_col), word_col, F.col(f"_b.{score_col}").alias(score_col), "n_topics")
+
+
 def tag_by_keywords(sentences: DataFrame, keys: Sequence[str], lexicon: DataFrame,
                     stopwords: DataFrame | None = None, lemmas: DataFrame | None = None,
                     text_col: str = "sentence", carry: Sequence[str] = ()) -> DataFrame:

@@ -199,3 +199,15 @@ def centroids(vectors: DataFrame, group: str, vec_col: str) -> DataFrame:
     per = ex.groupBy(group, "d").agg(F.avg("x").alias("x"))
     return per.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))),
                                               lambda s: s["x"]).alias("centroid"))
+
+
+def argmax_tags(sentences: DataFrame, sims: DataFrame, keys: Sequence[str], thresh: float, first_topic: int = 0) -> DataFrame:
+    """The sentences with ``topic_ids``: sorted topics above ``thresh``, else the best topic (ties: the smallest),
+    else, where no topic scores, ``first_topic``. One aggregate of the scores and one join, whatever the sentences carry.
+    A null score counts as none."""
+    best = sims.where(F.col("sim").isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("sim") > thresh, F.col("topic")))).alias("_above"),
+        F.min_by("topic", F.struct(-F.col("sim"), F.col("topic"))).alias("_best"))
+    out = sentences.join(best, list(keys), "left")
+    tags = F.when(F.size("_above") > 0, F.col("_above")).otherwise(F.array(F.coalesce("_best", F.lit(first_topic))))
+    return out.withColumn("topic_ids", tags).drop("_above", "_best")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave import constants as C
+from riskweave.functions import text as FT
 from riskweave.functions import vectors as V
 from riskweave.functions.misc import round6
 from riskweave.operators import lexicon as LX
 from riskweave.operators import predictors as PR
+from riskweave.operators import stats as ST
 from riskweave.operators import tagging as TG
 from riskweave.operators import text as TX
 from riskweave.plans import roles as R
 from riskweave.plans import sqlfrag as S
+from riskweave.plans.q_text import TOPICS, firm_year_select
 from riskweave.plans.registry import register
 from riskweave.session import checkpoint_dir
 from riskweave.sources.files import stage
@@ -195,6 +198,27 @@ def tfidf_argmax_tags(spark, sf_dir):
     return _tags_out(out)
 
 
+@register("firm_year_tfidf_distribution", _TFIDF.rstrip() + f""",
+pick AS (SELECT doc_id, sent_pos, list_sort(list(topic) FILTER (WHERE sim > {C.TFIDF_ARGMAX_TAG_DEFAULT})) AS above,
+         list(topic ORDER BY sim DESC, topic)[1] AS best FROM sims GROUP BY 1, 2),
+tfidf_tagged AS (SELECT s.symbol, s.filing_time, s.is_active, s.is_action,
+         CASE WHEN len(p.above) > 0 THEN p.above ELSE [coalesce(p.best, 0)] END AS topic_ids
+         FROM sentences s LEFT JOIN pick p USING (doc_id, sent_pos))
+""" + firm_year_select("tfidf_tagged"))
+def firm_year_tfidf_distribution(spark, sf_dir):
+    """PL4 on the TF-IDF tagger: topics above the threshold, else the best one, counted per firm-year. The text becomes
+    words once, in a staged table that tags and attributes both come from; labels meet rows without text or words."""
+    t = Tables(spark, sf_dir)
+    sent = TX.voice(TX.sentences(TX.normalize(R.filings(t)), ["doc_id", "symbol", "filing_time"]))
+    rows = stage(spark, sent.select(*KEYS, "symbol", "filing_time", "is_active", FT.raw_tokens(F.col("sentence")).alias("words")), "sentence_words")
+    toks = TX.lemmatize(rows.select(*KEYS, F.explode("words").alias("token")), R.lemmas_df(spark))
+    w, idf = tfidf_parts(spark, t)
+    sims = TG.tfidf_sentence_cosine(TX.remove_stopwords(toks, R.stopwords_df(spark)), w, idf, KEYS)
+    tagged = TG.argmax_tags(rows.drop("words"), sims, KEYS, C.TFIDF_ARGMAX_TAG_DEFAULT)
+    flagged = tagged.join(R.doc_labels(t).select("doc_id", "is_action"), "doc_id", "left")
+    return ST.firm_year_topic_distribution(flagged.withColumn("is_action", F.coalesce("is_action", F.lit(False))), TOPICS)
+
+
 @register("argmax_topic", _TFIDF + f"""
 SELECT doc_id, sent_pos::BIGINT AS sent_pos, topic, {S.round6('sim')} AS sim FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY sim DESC, topic ASC) AS rn FROM sims) WHERE rn = 1""")

@@ -195,17 +195,18 @@ def topic_pivot(spark, sf_dir):
     return ST.topic_pivot(tagged_filing_sentences(spark, sf_dir), TOPICS)
 
 
-def _firm_year_sql():
+def firm_year_select(rel):
+    """SQL of the firm-year columns over a relation of tagged sentences."""
     parts = ["count(*)::BIGINT AS total_risk_sentence_count"]
     parts += [f"count_if(list_contains(topic_ids, {t}))::BIGINT AS topic_reduced_{t}" for t in TOPICS]
     parts += ["count_if(is_active)::BIGINT AS total_active_sentence_count"]
     parts += [f"count_if(is_active AND list_contains(topic_ids, {t}))::BIGINT AS topic_reduced_active_{t}" for t in TOPICS]
     parts += ["count_if(is_action)::BIGINT AS total_action_sentence_count"]
     parts += [f"count_if(is_action AND list_contains(topic_ids, {t}))::BIGINT AS topic_reduced_action_{t}" for t in TOPICS]
-    return S.with_ctes(["tagged"]) + f"SELECT symbol, filing_time, {', '.join(parts)} FROM tagged GROUP BY symbol, filing_time"
+    return f"SELECT symbol, filing_time, {', '.join(parts)} FROM {rel} GROUP BY symbol, filing_time"
 
 
-@register("firm_year_topic_distribution", _firm_year_sql())
+@register("firm_year_topic_distribution", S.with_ctes(["tagged"]) + firm_year_select("tagged"))
 def firm_year_topic_distribution(spark, sf_dir):
     """J4 flagship: documents → sentences → tokens → lexicon tags → firm-year topic counts."""
     return ST.firm_year_topic_distribution(tagged_filing_sentences(spark, sf_dir), TOPICS)

@@ -29,6 +29,7 @@ N_TOPICS = 9
 N_PILLARS = 3
 LEXICON_TOP = 20
 LEXICON_MIN_LEN = 4
+SECOND_REVIEW = 7
 CLUSTERS = tuple(f"cluster{i}" for i in range(N_TOPICS))
 PILLARS = tuple(f"pillar{i}" for i in range(N_PILLARS))
 # Bag role: the labels of embeddings as topics.
@@ -149,6 +150,11 @@ def lexicon_of(counts: DataFrame, names=CLUSTERS) -> DataFrame:
         F.element_at(F.array(*[F.lit(n) for n in names]), F.col("topic_num") + 1).alias("topic_name"))
 
 
+def second_review(words: DataFrame) -> DataFrame:
+    """Reviewer's role for an augmented word list: ``drop`` is 1 for words whose length is a multiple of SECOND_REVIEW."""
+    return words.withColumn("drop", F.when(F.length("keyword") % SECOND_REVIEW == 0, F.lit(1)))
+
+
 def word_vectors(tokens: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Vector role: ``token, vector`` for the distinct tokens given."""
     distinct = tokens.select("token").distinct()

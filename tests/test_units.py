@@ -357,3 +357,23 @@ def test_content_chunks_of_two_and_three_words(spark):
     assert got == [(1, c) for c in ("gold mine", "gold mine output", "mine output", "mine output fell", "output fell", "silver price")]
     four = [r.chunk for r in TX.content_chunks(df.where("k = 1"), ["k"], max_words=4, stopwords=["the", "and"]).collect()]
     assert "gold mine output fell" in four and len(four) == 7
+
+
+def test_argmax_tags(spark):
+    sent = spark.createDataFrame([(d, 0, f"x{d}") for d in range(1, 6)], "doc_id int, sent_pos int, symbol string")
+    sims = spark.createDataFrame([(1, 0, 4, 0.5), (1, 0, 2, 0.2), (1, 0, 7, 0.1), (2, 0, 5, 0.05), (2, 0, 3, 0.05), (2, 0, 6, 0.01),
+                                  (3, 0, 8, None), (3, 0, 1, -0.2), (4, 0, 2, None)], "doc_id int, sent_pos int, topic int, sim double")
+    got = {r.doc_id: (r.topic_ids, r.symbol) for r in TG.argmax_tags(sent, sims, ["doc_id", "sent_pos"], 0.1).collect()}
+    assert got == {1: ([2, 4], "x1"), 2: ([3], "x2"), 3: ([1], "x3"), 4: ([0], "x4"), 5: ([0], "x5")}
+
+
+def test_second_pass_of_a_lexicon(spark):
+    rows = [(0, "Climate Change", 0.5), (0, "climate", 0.9), (1, "climate", 0.9), (1, "the mines", 0.4), (2, "mine", 0.7), (2, "change", None),
+            (2, "no", 1.0), (3, None, 0.3), (3, "water", None), (4, "water", None)]
+    words = spark.createDataFrame(rows, "topic_num int, keyword string, cosine_score double")
+    lemmas = spark.createDataFrame([("mines", "n", "mine")], "word string, pos string, lemma string")
+    toks = LX.retokenize(words, stopwords=spark.createDataFrame([("the",)], "word string"), lemmas=lemmas)
+    assert sorted((r.topic_num, r.keyword, r.cosine_score) for r in toks.where("keyword <> 'water'").collect()) == [
+        (0, "change", 0.5), (0, "climate", 0.9), (1, "climate", 0.9), (1, "mine", 0.4), (2, "change", None), (2, "mine", 0.7)]
+    one = {r.keyword: (r.topic_num, r.cosine_score, r.n_topics) for r in LX.one_topic_per_word(toks).collect()}
+    assert one == {"change": (0, 0.5, 2), "climate": (0, 0.9, 2), "mine": (2, 0.7, 2), "water": (3, None, 2)}
