@@ -80,14 +80,15 @@ def fit(texts: list[str], langs: list[str], clusters: int = CENTROIDS) -> Model:
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about ``SAMPLE_PER_LANG`` hash-chosen texts per language (texts over ``SAMPLE_CHARS``
-    characters and those without a letter are no examples; null languages neither)."""
+    characters and those without a letter are no examples; null languages neither). Of the texts that one id has in a
+    language, the smallest is taken, and null ids count as one id."""
     usable = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     # Rows per language over all rows (one row per language), so that the share to pick is known.
     sizes = usable.groupBy("_lang").agg(F.count("*").alias("_n"))
     rows = (usable.where(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(sizes), "_lang")
             .where(uniform_hash("_id", seed=5) * F.col("_n") < F.lit(float(SAMPLE_PER_LANG)))
-            .select("_id", "_text", "_lang").collect())
+            .groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).collect())
     rows = sorted((r for r in rows if _LETTER.search(r._text)), key=lambda r: (r._id is None, r._id or 0, r._text))
     return fit([r._text for r in rows], [r._lang for r in rows])
 

@@ -1,9 +1,9 @@
 """Toxicity (operator 10): linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct hashed n-grams of its lower-cased whole text. Feature f has the value
-r[f] = log(share of label-1 texts that hold f / share of label-0 texts that do). The features of clearly positive
-ratio enter a logistic regression on these values, with weights of at least 0, so a text is judged by what marks label
-1 in it and not by what else it holds, however long it is. The weights are a vector of fixed size (``2**BITS``).
+r[f] = log(share of label-1 texts that hold f / share of label-0 texts that do). The features whose ratio, of either sign,
+is clearly not 0 (by ``MIN_STRENGTH`` standard errors, so a text's many ordinary n-grams do not drown what marks it) enter
+a logistic regression on these values. The weights are a vector of fixed size (``2**BITS``).
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from riskweave.sources.tables import read_table
 
 ORDERS = (4, 5)
 BITS = 20
-MAX_FEATURES = 20_000
 MIN_TEXTS = 3
-MIN_STRENGTH = 4.0  # standard errors that a feature's log ratio must be above 0
+MIN_STRENGTH = 4.0  # standard errors that a feature's log ratio must be away from 0
 # The fit's bounded sample of labelled rows: this many per class, of at most so many characters each.
 SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
@@ -64,10 +63,7 @@ def fit(texts: list[str], labels: list[int], positive_rate: float) -> Model:
     p, q = ones + 1, total - ones + 1
     ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
     strength = np.abs(ratio) / np.sqrt(1 / p + 1 / q)  # in standard errors of the log ratio
-    strength[(total < MIN_TEXTS) | (ratio < 0)] = 0
-    chosen = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
-    keep = np.zeros(1 << BITS, dtype=bool)
-    keep[chosen[strength[chosen] >= MIN_STRENGTH]] = True
+    keep = (total >= MIN_TEXTS) & (strength >= MIN_STRENGTH)
     at = np.cumsum(keep) - 1
     used = keep[ids]
     col, row, size = at[ids[used]], row[used], int(keep.sum())
@@ -81,7 +77,6 @@ def fit(texts: list[str], labels: list[int], positive_rate: float) -> Model:
         grad = np.append(np.bincount(col, weights=slope[row] * value, minlength=size) + 1e-3 * w[:-1], slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-        w[:-1] = np.maximum(w[:-1], 0)
     weights[keep] = w[:-1] * scale
     prior = min(max(positive_rate, 1e-6), 1 - 1e-6)
     return Model(weights, float(w[-1] + np.log(prior / (1 - prior))))
@@ -95,7 +90,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
           label_col: str = "toxic") -> Model:
     """Fit on a bounded sample: per class the ``SAMPLE_PER_CLASS`` labelled ids of smallest hash whose
     texts have at most ``SAMPLE_CHARS`` characters. Null ids, labels and texts are left out; an id with
-    several labels counts as the largest."""
+    several labels counts as the largest, of an id with several texts the smallest is taken."""
     lab = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
            .groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y")))
     share = lab.agg(F.avg("_y")).first()[0] or 0.0
@@ -106,8 +101,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     # The id list has at most 2 * SAMPLE_PER_CLASS rows: a bounded broadcast.
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(
         F.col("_text").isNotNull() & (F.length("_text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(picked), "_id").collect()
-    rows.sort(key=lambda r: (r._id, r._text))
+    # One text per id, however many rows have it, so at most 2 * SAMPLE_PER_CLASS texts reach the driver.
+    rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
+    rows.sort(key=lambda r: r._id)
     return fit([r._text for r in rows], [r._y for r in rows], share)
 
 

@@ -98,3 +98,70 @@ def test_far_texts_are_rejected():
 def test_gram_counts_of_lower_orders_are_not_doubled_by_pieces():
     # The overlap repeats few n-grams only: at most two per million characters.
     assert G.counts("ab " * 10)[:].sum() == pytest.approx(sum(32 - k for k in range(3)) - 0, abs=4)
+
+
+def _labelled_texts(seed, n=300):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    label = (rng.random(n) < 0.3).astype(int)
+    texts = [" ".join([*rng.choice(words[:50], 12), *(rng.choice(words[50:55], 2) if y else words[59:])]) for y in label]
+    return texts, label.tolist()
+
+
+def test_toxicity_matches_a_dense_version(spark):
+    texts, label = _labelled_texts(3)
+    got = X.fit(texts, label, 0.1)
+    x = np.zeros((len(texts), 1 << X.BITS), dtype=np.float32)
+    for i, t in enumerate(texts):
+        x[i, [gram_ids(np.array([ord(c) for c in t[j:j + k]], np.uint32), (k,), X.BITS)[0] for k in X.ORDERS for j in range(len(t) - k + 1)]] = 1
+    held, y = np.flatnonzero(x.any(axis=0)), np.array(label, float)
+    x = x[:, held].astype(float)
+    p, q = y @ x + 1, (1 - y) @ x + 1
+    r = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
+    used = (x.sum(axis=0) >= X.MIN_TEXTS) & (np.abs(r) / np.sqrt(1 / p + 1 / q) >= X.MIN_STRENGTH)
+    assert (r[used] > 0).any() and (r[used] < 0).any()  # features of both signs take part
+    z = np.hstack([x[:, used] * r[used], np.ones((len(y), 1))])
+    cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    w = m = v = np.zeros(z.shape[1])
+    for step in range(1, X.STEPS + 1):
+        g = z.T @ ((1 / (1 + np.exp(-(z @ w))) - y) * cost) + 1e-3 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+    want = 1 / (1 + np.exp(-(z[:, :-1] @ w[:-1] + w[-1] + np.log(0.1 / 0.9))))
+    scores = X.score_texts(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), got).select("doc_id", "score").collect()
+    assert np.allclose([r.score for r in sorted(scores, key=lambda r: r.doc_id)], want, atol=1e-4)
+
+
+def test_language_matches_a_dense_version(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list(a), 80)) for a in ("abcde ", "defgh ", "ghijk ") for _ in range(40)]
+    langs = [x for x in "abc" for _ in range(40)]
+    model = G.fit(texts, langs)
+    probe = texts[::7] + ["abc efg", "zz", "k j i"]
+    got = sorted(G.identify(documents(spark, [(i, t, "en", "s") for i, t in enumerate(probe)]), model).collect(), key=lambda r: r.doc_id)
+    for t, r in zip(probe, got, strict=True):
+        padded = " " + " ".join(t.split(" ")) + " "
+        grams = Counter(int(gram_ids(np.array([ord(c) for c in padded[j:j + k]], np.uint32), (k,), G.BITS)[0])
+                        for k in G.ORDERS for j in range(len(padded) - k + 1))
+        if "  " in padded:
+            continue  # blanks in a row are one
+        x = np.zeros(1 << G.BITS)
+        x[list(grams)] = list(grams.values())
+        x *= model.idf
+        sims = model.centroids @ (x / np.linalg.norm(x))
+        best = int(np.argmax(sims))
+        assert r.lang_pred == model.langs[best] and r.score == pytest.approx(min(max(sims[best], 0), 1), abs=1e-5)
+        assert r.rejected == (r.score < model.floor[best])
+
+
+def test_examples_of_repeated_and_null_ids_are_one(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(X, "fit", lambda texts, labels, share: seen.update(toxic=(texts, labels)))
+    monkeypatch.setattr(G, "fit", lambda texts, langs: seen.update(lang=(texts, langs)))
+    rows = [(1, t, "en", "s") for t in ("b c", "a b", "c d")] * 50 + [(2, "two", "en", "s"), (None, "none one", "en", "s"), (None, "none two", "en", "s")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    X.train(docs, labels)
+    assert seen["toxic"] == (["a b", "two"], [1, 0])
+    G.train(docs)
+    assert seen["lang"] == (["a b", "two", "none one"], ["en"] * 3)
