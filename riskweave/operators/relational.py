@@ -28,19 +28,22 @@ def resolve_by_prefix(queries: DataFrame, entities: DataFrame, *, q_name: str =
     country id (then smallest id), else not found. The theta join becomes two equi joins: every
     entity emits its name prefixes of exactly the lengths that occur among the query names (a
     join on the length; exact, no cap) and is pre-aggregated to ONE best candidate per (prefix,
-    country) and per prefix, so a popular prefix never fans out and every query joins against
-    unique keys. Adds ``resolved_id`` and ``match_type``.
+    country) and, from those, per prefix, so a popular prefix never fans out and every query joins
+    against unique keys. Adds ``resolved_id`` and ``match_type``.
     """
     qk = F.lower(F.col(q_name))
     lengths = queries.select(F.length(qk).alias("_n")).where("_n IS NOT NULL").distinct()
     name = F.lower(F.col(e_name))
     e = entities.select(F.col(e_id).alias("_id"), F.col(e_country).alias("_cty"), name.alias("_name"),
                         F.explode(F.sequence(F.lit(0), F.length(name))).alias("_n"))
-    e = e.join(lengths, "_n").select("_id", "_cty", F.expr("substring(_name, 1, _n)").alias("_prefix"))
+    # A plan's size estimate knows nothing of this explode: without hints the prefixes, many times the entities, are sent to
+    # the driver and broadcast, here and in the joins below. The lengths are at most as many as a name's characters.
+    e = e.join(F.broadcast(lengths), "_n").select("_id", "_cty", F.expr("substring(_name, 1, _n)").alias("_prefix"))
     in_country = e.groupBy("_prefix", "_cty").agg(F.min("_id").alias("_id_in"))
     # highest country id, then smallest entity id: max of (country, -id)
-    best = e.groupBy("_prefix").agg(F.max(F.struct(F.col("_cty"), (-F.col("_id")).alias("neg"))).alias("_b"))
+    best = in_country.groupBy("_prefix").agg(F.max(F.struct(F.col("_cty"), (-F.col("_id_in")).alias("neg"))).alias("_b"))
     best = best.select(F.col("_prefix").alias("_prefix2"), (-F.col("_b.neg")).alias("_id_any"))
+    in_country, best = in_country.hint("merge"), best.hint("merge")
     out = (queries
            .join(in_country, (qk == F.col("_prefix")) & (F.col(q_country) == F.col("_cty")), "left")
            .drop("_prefix", "_cty")

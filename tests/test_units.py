@@ -59,6 +59,23 @@ def test_latest_version_keeps_ties(spark):
     assert got == ["a", "b", "d"]
 
 
+def test_resolve_by_prefix_broadcasts_only_the_lengths(spark):
+    ents = spark.createDataFrame([(1, "Acme Gold", 3)], "entity_id long, entity_name string, country_id int")
+    q = spark.createDataFrame([("a", "acme", 3)], "query_id string, name string, country_id int")
+    r = RL.resolve_by_prefix(q, ents)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan, plan
+    assert r.first().resolved_id == 1
+
+
+def test_normalize_sends_only_non_ascii_texts_to_python(spark):
+    texts = ["caf\u00e9 ﬁne", "plain", None, "", "\u4e2d"]
+    df = TX.normalize(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string"))
+    assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.text for r in df.orderBy("i").collect()] == ["cafe fine", "plain", None, "", ""]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= C.BATCH_ROWS
+
+
 def test_resolve_by_prefix_fallbacks(spark):
     ents = spark.createDataFrame([(10, "Rio Tinto plc", 1), (11, "Rio Tinto Ltd", 2), (12, "Rio Grande", 3),
                                   (13, "Barrick 50% Gold", 1)], "entity_id long, entity_name string, country_id int")
