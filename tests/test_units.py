@@ -60,12 +60,12 @@ def test_latest_version_keeps_ties(spark):
 
 
 def test_resolve_by_prefix_broadcasts_only_the_lengths(spark):
-    ents = spark.createDataFrame([(1, "Acme Gold", 3)], "entity_id long, entity_name string, country_id int")
-    q = spark.createDataFrame([("a", "acme", 3)], "query_id string, name string, country_id int")
+    ents = spark.range(1).select(F.col("id").alias("entity_id"), F.concat(F.lit("Acme"), F.col("id")).alias("entity_name"), F.lit(3).alias("country_id"))
+    q = spark.range(2).select(F.col("id").alias("query_id"), F.expr("substring('acme', 1, 3 + cast(id as int))").alias("name"), F.lit(3).alias("country_id"))
     r = RL.resolve_by_prefix(q, ents)
-    plan = r._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan, plan
-    assert r.first().resolved_id == 1
+    joins = [x for x in r._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    assert joins and all("[_n#" in x and "BuildRight" in x for x in joins), joins
+    assert [(x.resolved_id, x.match_type) for x in r.collect()] == [(0, "in_country")] * 2
 
 
 def test_normalize_sends_only_non_ascii_texts_to_python(spark):
@@ -76,6 +76,28 @@ def test_normalize_sends_only_non_ascii_texts_to_python(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= C.BATCH_ROWS
 
 
+@pytest.mark.parametrize("group_words", [3, 1000])
+def test_mean_word_vectors(spark, monkeypatch, group_words):
+    monkeypatch.setattr(TG, "GROUP_WORDS", group_words)
+    monkeypatch.setattr(TG, "SUM_ROWS", 2)
+    vecs = {"a": [[1.0, 0.0]], "b": [[0.0, 2.0]], "c": [[4.0, 4.0], [2.0, 0.0]], "n": [None]}
+    table = spark.createDataFrame([(w, v) for w, vs in vecs.items() for v in vs], "token string, vector array<float>")
+    bags = [(1, 0, "aab"), (1, 1, "bzn"), (2, 0, "zn"), (3, 0, "ccb"), (None, 0, "ab"), (4, 5, "b"), (None, 0, "a"), (5, 0, "abc")]
+    rows = spark.createDataFrame([(d, s, w) for d, s, ws in bags for w in ws], "d long, s int, token string")
+    asked = []
+    out = TG.mean_word_vectors(rows, ["d", "s"], lambda words: asked.append(words) or table.join(words.distinct(), "token"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "summar" not in plan.lower() and "FlatMapCoGroupsInArrow" in plan  # no vector or sum per occurrence is shuffled
+    want = {}
+    for d, s, ws in bags:
+        want.setdefault((d, s), []).extend(v for w in ws for v in vecs.get(w, []) if v)
+    want = {k: [sum(c) / len(v) for c in zip(*v)] for k, v in want.items() if v}
+    got = {(r.d, r.s): r.vector for r in out.collect()}
+    assert set(got) == set(want) and len(asked) == 1
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+
+
 def test_resolve_by_prefix_fallbacks(spark):
     ents = spark.createDataFrame([(10, "Rio Tinto plc", 1), (11, "Rio Tinto Ltd", 2), (12, "Rio Grande", 3),
                                   (13, "Barrick 50% Gold", 1)], "entity_id long, entity_name string, country_id int")
