@@ -416,3 +416,23 @@ def test_second_pass_of_a_lexicon(spark):
         (0, "change", 0.5), (0, "climate", 0.9), (1, "climate", 0.9), (1, "mine", 0.4), (2, "change", None), (2, "mine", 0.7)]
     one = {r.keyword: (r.topic_num, r.cosine_score, r.n_topics) for r in LX.one_topic_per_word(toks).collect()}
     assert one == {"change": (0, 0.5, 2), "climate": (0, 0.9, 2), "mine": (2, 0.7, 2), "water": (3, None, 2)}
+
+
+def test_rarest_terms_from_postings_equal_those_of_rows(spark):
+    """Terms travel once per block: postings need no shuffle after the texts', and one term's rows have no document keys."""
+    keys = ["doc_id", "symbol"]
+    rows = [(i, None if i % 11 == 0 else f"s{i % 3}", f"w{j}") for i in range(40) for j in range(30) if (i * j + j) % (j + 2) < 3]
+    rows += rows[:50] + [(None, "s1", "w1")]
+    terms = spark.createDataFrame(rows, "doc_id long, symbol string, term string").withColumn("kind", F.lit("key"))
+    docs = terms.select(*keys).distinct()
+    dfs = RK.doc_freq(terms, keys, {"key": 3})
+    want = sorted(map(str, RK.rarest_terms(terms, dfs, docs, keys, 40, ["key"]).collect()))
+
+    known = F.col("doc_id").isNotNull() & F.col("symbol").isNotNull()
+    dealt = RK.blocked(terms.withColumn("term", F.when(known, F.col("term"))), keys, 4)
+    posted = RK.postings(dealt.select("_b", "_no", "kind", "term"))
+    plan = posted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") == 1
+    top = RK.rarest_of_postings(posted, {"key": 3}, 4)
+    got = RK.rarest_scores(top, RK.blocked(docs, keys, 4), ["_b", "_no"], keys, 40, ["key"])
+    assert sorted(map(str, got.collect())) == want
