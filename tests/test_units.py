@@ -436,3 +436,14 @@ def test_rarest_terms_from_postings_equal_those_of_rows(spark):
     top = RK.rarest_of_postings(posted, {"key": 3}, 4)
     got = RK.rarest_scores(top, RK.blocked(docs, keys, 4), ["_b", "_no"], keys, 40, ["key"])
     assert sorted(map(str, got.collect())) == want
+
+
+def test_word_lists_are_broadcast(spark):
+    """Tokens are not shuffled to meet the lemmas and the stopwords."""
+    from riskweave.plans import roles as R
+
+    d = spark.range(100).select("id", F.lit("The mines were paid, you're told").alias("text"))
+    toks = TX.tokens(d, ["id"], stopwords=R.stopwords_df(spark), lemmas=R.lemmas_df(spark))
+    plan = toks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert {r.token for r in toks.distinct().collect()} == {"pay", "told"}
