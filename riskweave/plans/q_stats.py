@@ -16,6 +16,7 @@ from riskweave.plans import sqlfrag as S
 from riskweave.plans.q_tagging import tfidf_sims
 from riskweave.plans.q_text import TOPICS, tagged_filing_sentences
 from riskweave.plans.registry import register
+from riskweave.sources.files import stage
 from riskweave.sources.tables import Tables
 
 # Target topic set for overlap filters, pillar id offset, sample / review sizes.
@@ -246,15 +247,23 @@ tn AS (SELECT doc_id, sent_pos, string_agg(nm.topic_name, ', ' ORDER BY x.topic)
 SELECT t.doc_id, t.sent_pos::BIGINT AS sent_pos, tn.tag_names, t.sentence FROM tagged t JOIN tn USING (doc_id, sent_pos)
 ORDER BY md5(CAST(t.doc_id AS VARCHAR) || '-' || CAST(t.sent_pos AS VARCHAR)) LIMIT {SAMPLE_N}""".replace("\n, nm AS", ",\nnm AS", 1))
 def tagged_sentence_samples(spark, sf_dir):
-    """Review sample — sentence with comma-joined tag names; untagged sentences dropped."""
+    """Review sample — sentence with comma-joined tag names; untagged sentences dropped. All sentences are tagged, without
+    their text; the text is read again for the documents of the sample only."""
     t = Tables(spark, sf_dir)
-    tg = tagged_filing_sentences(spark, sf_dir, with_text=True)
-    names = R.topic_lexicon(t, spark).select("topic_num", "topic_name").distinct()
+    lex = stage(spark, R.topic_lexicon(t, spark), "lexicon")
+    names = lex.select("topic_num", "topic_name").distinct()
+    sent = TX.sentences(TX.normalize(R.filings(t)), ["doc_id"])
+    tagged = LX.tag_by_keywords(sent, ["doc_id", "sent_pos"], LX.trim(lex), R.stopwords_df(spark), R.lemmas_df(spark))
+    key = F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("sent_pos").cast("string"))
+    # Every key has a sentence, so that the first SAMPLE_N keys hold the first SAMPLE_N sentences, however often a key occurs.
+    some = tagged.where(F.col("doc_id").isNotNull() & (F.col("topic_ids")[0] != C.NULL_TOPIC)).select("doc_id", "sent_pos", "topic_ids")
+    some = stage(spark, RL.stable_sample(some, key, SAMPLE_N), "sampled_keys")
+    docs = t.documents.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    tg = stage(spark, R.filing_sentences(t, docs).select("doc_id", "sent_pos", "sentence").join(F.broadcast(some), ["doc_id", "sent_pos"]), "sampled_sentences")
     ex = tg.select("doc_id", "sent_pos", F.explode("topic_ids").alias("topic_num"))
     named = ex.join(F.broadcast(names), "topic_num").groupBy("doc_id", "sent_pos").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_num", "topic_name"))), lambda s: s["topic_name"]), ", ").alias("tag_names"))
     j = named.join(tg.select("doc_id", "sent_pos", "sentence"), ["doc_id", "sent_pos"])
-    key = F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("sent_pos").cast("string"))
     return RL.stable_sample(j, key, SAMPLE_N).select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "tag_names", "sentence")
 
 

@@ -1,6 +1,8 @@
 """Hand-made rows for each semantic rule and quirk, checked against small brute-force versions."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,16 @@ def test_normalize(spark):
     assert [got[i] for i in range(len(rows))] == list(rows.values())
 
 
+def test_keep_printable_drops_the_same_characters_as_the_oracle(spark):
+    """Every code point, also those of two UTF-16 units, between kept ones and two in a row."""
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + "a".join(map(chr, every[i:i + 4096])) + "\U0001F600\U0001F600z" for i in range(0, len(every), 4096)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", FT.keep_printable(F.col("text")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [re.sub(FT.NOT_KEPT_RE, "", x) for x in texts]
+    # Looking for a negated class took most of a text query's time.
+    assert "[^" not in FT.keep_printable(F.col("text"))._jc.toString()
+
+
 def test_sentences_split_and_min_tokens(spark):
     df = spark.createDataFrame([(1, "One two three four five. Short one! Six seven eight nine ten?\nA b c d e f")],
                                "doc_id int, text string")
@@ -447,3 +459,29 @@ def test_word_lists_are_broadcast(spark):
     plan = toks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
     assert {r.token for r in toks.distinct().collect()} == {"pay", "told"}
+
+
+def test_tagged_sentence_samples_shuffles_no_text(spark, tmp_path):
+    """Repeated and null ids, repeated labels; the sample is chosen without texts, which come for its documents only."""
+    from riskweave.plans import q_stats as QS
+
+    words = ["credit", "market", "energy", "supply", "demand", "carbon"]
+    docs = [(i, " ".join(f"The {words[(i + k) % 6]} of the {words[(i * k) % 6]} is here{'' if k % 3 else ' twice'}." for k in range(8)), "en", f"s{i % 3}") for i in range(6)]
+    docs += [docs[1], docs[2], (None, docs[0][1], "en", "s0"), (9, None, "en", "s1"), (10, "One of it is to be so.", "en", "s1")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = QS.tagged_sentence_samples(spark, str(tmp_path))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()  # texts are staged, for the sample only
+    got = [(r.doc_id, r.sent_pos, r.tag_names, r.sentence) for r in out.collect()]
+    tagged = QS.tagged_filing_sentences(spark, str(tmp_path), with_text=True).collect()
+    names = {r.topic_num: r.topic_name for r in QS.R.topic_lexicon(QS.Tables(spark, str(tmp_path)), spark).collect()}
+    want = []
+    for r in tagged:
+        same = [t for x in tagged if (x.doc_id, x.sent_pos) == (r.doc_id, r.sent_pos) for t in x.topic_ids if t in names]
+        if same:
+            want.append((r.doc_id, r.sent_pos, ", ".join(names[t] for t in sorted(same)), r.sentence))
+    want.sort(key=lambda r: hashlib.md5(f"{r[0]}-{r[1]}".encode()).hexdigest())
+    assert len(want) > QS.SAMPLE_N and len({r[:2] for r in want}) < len(want)
+    last = want[QS.SAMPLE_N - 1][:2]  # its copies are chosen among
+    assert len(got) == QS.SAMPLE_N and set(got) <= set(want)
+    assert sorted(r for r in got if r[:2] != last) == sorted(r for r in want[:QS.SAMPLE_N] if r[:2] != last)
