@@ -117,6 +117,15 @@ def _signatures(rows: DataFrame) -> DataFrame:
 POSTINGS = "fragment long, shingles binary, owners binary, keys binary, sizes binary, starts binary"
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by place of their bytes: the upper ones are mostly zero, so they take little room in a shuffle."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _late(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Which of the shingles are very common ones (``common``, sorted)."""
     if not len(common):
@@ -126,8 +135,8 @@ def _late(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def _chunk_postings(keys: list, sizes: list, parts: list, common: np.ndarray, fragments: int) -> Iterator[pa.RecordBatch]:
     """A chunk's shingles, one row per fragment (negative, and spread over many: the very common ones): the shingles,
-    for each the number of its class in the row's own list, and that list (16-byte keys, set sizes, and the place among
-    the class's shingles of its first one here; the others follow it there)."""
+    for each the step to the number of its class in the row's own list, and that list (16-byte keys, set sizes, and the
+    place among the class's shingles of its first one here; the others follow it there)."""
     flat = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
     place = np.concatenate([np.arange(len(p), dtype=np.uint32) for p in parts])
@@ -141,8 +150,8 @@ def _chunk_postings(keys: list, sizes: list, parts: list, common: np.ndarray, fr
         rows_ = order[begin:stop]
         own, first, number = np.unique(owner[rows_], return_index=True, return_inverse=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(at[rows_[0]])]), pa.array([flat[rows_].tobytes()], pa.binary()), pa.array([number.astype(np.uint32).tobytes()], pa.binary()),
-             pa.array([raw[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary()), pa.array([place[rows_[first]].tobytes()], pa.binary())],
+            [pa.array([int(at[rows_[0]])]), pa.array([flat[rows_].tobytes()], pa.binary()), pa.array([_planes(np.diff(number, prepend=0))], pa.binary()),
+             pa.array([raw[own].tobytes()], pa.binary()), pa.array([_planes(n[own])], pa.binary()), pa.array([_planes(place[rows_[first]])], pa.binary())],
             names=["fragment", "shingles", "owners", "keys", "sizes", "starts"])
         begin = stop
 
@@ -210,13 +219,13 @@ def _shared(table: pa.Table, hot: np.ndarray, texts: np.ndarray):
     The common ones (``hot``, sorted) are known to be shared; ``texts`` has their (approximate) numbers."""
     flat, keys, sizes, places = [], [], [], []
     for s, o, k, n, f in zip(*[table.column(c).to_pylist() for c in ("shingles", "owners", "keys", "sizes", "starts")], strict=True):
-        number = np.frombuffer(o, np.uint32)
+        number = np.cumsum(_from_planes(o), dtype=np.int64)
         flat.append(np.frombuffer(s, np.uint64))
         keys.append(np.frombuffer(k, "<u8").reshape(-1, 2)[number])
-        sizes.append(np.frombuffer(n, np.uint32)[number])
+        sizes.append(_from_planes(n)[number])
         # A class's shingles stand together in the row, in the order of its prefix.
         start = np.searchsorted(number, np.arange(number[-1] + 1))
-        places.append(np.frombuffer(f, np.uint32)[number] + (np.arange(len(number)) - start[number]).astype(np.uint32))
+        places.append(_from_planes(f)[number] + (np.arange(len(number)) - start[number]).astype(np.uint32))
     flat, keys, sizes, places = np.concatenate(flat), np.concatenate(keys), np.concatenate(sizes), np.concatenate(places)
     common = table.column("fragment")[0].as_py() < 0
     if not common:
@@ -337,16 +346,28 @@ def _searched_blocks(spark: SparkSession, sets: DataFrame, hot: np.ndarray, text
     return stage(spark, rows, "searched_blocks")
 
 
+def _let_through(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose class is among the ``keys`` (and a few others), found where they are read."""
+    shared = sets.sparkSession.sparkContext.broadcast(_bloom(keys))
+
+    @F.arrow_udf("boolean")
+    def asked(c: pa.Array) -> pa.Array:
+        spots = np.frombuffer(b"".join(c.to_pylist()), ">u4").reshape(-1, 4)[:, :3].astype(np.int64) % (1 << BLOOM_BITS)
+        return pa.array((shared.value[spots >> 6] >> (spots & 63) & 1).all(axis=1))
+
+    return sets.where(asked("c"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose sets link: overlaps per fragment, summed per pair."""
+    """(a, b) of the pairs whose sets link: overlaps per fragment, summed per pair. Only sets of these pairs are shuffled."""
 
     @F.arrow_udf("long")
     def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([len(np.intersect1d(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64), assume_unique=True))
                          for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int64())
 
-    left = sets.select(F.col("c").alias("a"), "cut", F.col("part").alias("pa"))
-    right = sets.select(F.col("c").alias("b"), "cut", F.col("part").alias("pb"))
+    left = _let_through(sets, pairs.select(F.col("a").alias("c"))).select(F.col("c").alias("a"), "cut", F.col("part").alias("pa"))
+    right = _let_through(sets, pairs.select(F.col("b").alias("c"))).select(F.col("c").alias("b"), "cut", F.col("part").alias("pb"))
     both = pairs.join(left, "a").join(right, ["b", "cut"])
     total = both.groupBy("a", "b", "na", "nb").agg(F.sum(overlap("pa", "pb")).alias("o"))
     return total.where(100 * F.col("o") >= PERCENT * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
@@ -421,7 +442,8 @@ def _class_links(spark: SparkSession, blocks: DataFrame, sets: DataFrame) -> Dat
     x = here.select("shingle", F.col("c").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("label").alias("la"))
     y = here.select("shingle", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("label").alias("lb"))
     pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b", "na", "nb").distinct()
-    return components(links.unionByName(_linked(pairs.join(tried, ["a", "b"], "left_anti"), sets)))
+    last = stage(spark, pairs.join(tried, ["a", "b"], "left_anti"), "last_pairs")
+    return components(links.unionByName(_linked(last, sets)))
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,3 +78,28 @@ def test_a_fragment_without_shared_shingles_has_no_rows():
     none = np.zeros(0, np.uint64)
     [batch] = J._chunk_postings([b"a" * 16, b"b" * 16], [9, 9], [np.arange(9, dtype=np.uint64), np.arange(9, 18, dtype=np.uint64)], none, 1)
     assert J._shared_parts(none, none, 3)(J.pa.Table.from_batches([batch])).num_rows == 0
+
+
+def test_only_sets_of_the_asked_classes_are_let_through(spark):
+    """A round verifies few pairs: the sets of all other classes stay where they are read, and no asked one is lost."""
+    import hashlib
+
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(3000)]
+    sets = spark.createDataFrame([(k, cut, b"", 9) for k in keys for cut in range(2)], "c binary, cut int, part binary, n long")
+    asked = spark.createDataFrame([(k,) for k in keys[:40]], "c binary")
+    got = Counter(bytes(r.c) for r in J._let_through(sets, asked).collect())
+    assert all(got[k] == 2 for k in keys[:40])
+    assert len(got) < 50
+    assert J._let_through(sets, asked.where("false")).count() == 0
+
+
+def test_numbers_of_postings_by_place_of_their_bytes():
+    """Small numbers, as set sizes and places are, compress to less than as plain 32-bit ones; all come back."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    few = rng.integers(0, 60_000, 5000).astype(np.uint32)
+    for numbers in (few, np.array([0, 1, 255, 256, (1 << 32) - 1], np.uint32), np.zeros(0, np.uint32)):
+        assert (J._from_planes(J._planes(numbers)) == numbers).all()
+    size = [len(J.pa.Codec("lz4_raw").compress(raw)) for raw in (J._planes(few), few.tobytes())]
+    assert size[0] < 0.8 * size[1]
