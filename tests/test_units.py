@@ -485,3 +485,11 @@ def test_tagged_sentence_samples_shuffles_no_text(spark, tmp_path):
     last = want[QS.SAMPLE_N - 1][:2]  # its copies are chosen among
     assert len(got) == QS.SAMPLE_N and set(got) <= set(want)
     assert sorted(r for r in got if r[:2] != last) == sorted(r for r in want[:QS.SAMPLE_N] if r[:2] != last)
+
+
+def test_long_run_of_capitalised_words_is_one_candidate(spark):
+    """Java's greedy repetition of a group overflows the stack on it, which ends the executor."""
+    run = " ".join(["Abcdefg"] * 20_000)
+    df = spark.createDataFrame([(1, f"{run} and Rio Tinto, Xy  Z Bcd.")], "doc_id int, paragraph string")
+    got = TX.candidate_terms(df, ["doc_id"]).where(F.col("kind") == "ent").collect()
+    assert sorted(r.term for r in got) == sorted([run.lower(), "rio tinto", "xy", "bcd"])
