@@ -69,7 +69,7 @@ def dense_sims(spark, sf_dir, **options):
     """V4: mean token vector per sentence vs. topic centroid (mean of the bag's unit vectors)."""
     t = Tables(spark, sf_dir)
     sent, toks = sentence_tokens(spark, t)
-    per = TG.mean_word_vectors(toks, KEYS, lambda words: R.word_vectors(words, t.embeddings))
+    per = TG.mean_word_vectors(toks, KEYS, R.keyed_vectors(t.embeddings))
     cents = TG.centroids(R.bag_vectors(t.embeddings), "topic", "vector")
     bank = TG.bank_of(cents, "topic", "centroid")
     return sent, TG.cosine_to_bank(per, KEYS, "vector", bank, **options)
