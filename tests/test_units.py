@@ -493,3 +493,24 @@ def test_long_run_of_capitalised_words_is_one_candidate(spark):
     df = spark.createDataFrame([(1, f"{run} and Rio Tinto, Xy  Z Bcd.")], "doc_id int, paragraph string")
     got = TX.candidate_terms(df, ["doc_id"]).where(F.col("kind") == "ent").collect()
     assert sorted(r.term for r in got) == sorted([run.lower(), "rio tinto", "xy", "bcd"])
+
+
+def test_html_files_are_read_in_few_tasks_and_no_folder_becomes_a_column(spark, tmp_path):
+    from riskweave.sources import files as IO
+    pages = [(f"s{i % 3}", "10-K", f"{2004 + i % 8}0115", i, f"<html>{i}</html>") for i in range(160)]
+    df = spark.createDataFrame(pages, "symbol string, form string, filed string, page_id long, html string").repartition(3)
+    IO.write_html_files(df, str(tmp_path / "f"), "html", ["symbol", "form", "filed", "page_id"])
+    back = IO.read_html_files(spark, str(tmp_path / "f"), path_re=r"/symbol=([^/]+)/form=10-K/filed=(20[0-9]{2})([0-9]{2})[0-9]+/", whole_tree=True)
+    assert back.rdd.getNumPartitions() <= IO.FILE_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert "filed" not in back._jdf.queryExecution().analyzed().toString().split("Relation")[1]  # before: a type was inferred from all paths
+    got = sorted((r.symbol, r.year, r.month, r.html.rstrip("\n")) for r in back.collect())
+    assert got == sorted((s, int(d[:4]), 1, h) for s, _, d, _, h in pages if d >= "2006")
+
+
+def test_terms_per_filing_are_not_shuffled(spark):
+    """Before: every distinct term of every filing went through a shuffle; now the texts do, once."""
+    from riskweave.plans.registry import QUERIES, load_all
+    load_all()
+    plan = QUERIES["candidate_phrases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(doc_id" in line for line in dealt) and not any("term" in line for line in dealt)
